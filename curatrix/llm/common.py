@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,10 +28,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_WRITTEN: dict[int, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; Spark deletes the files once nothing refers to them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: the rows as a table written in the shared folder, which a lost executor can't take away.
+
+    A written table also starts the planner's size estimates afresh; those of a checkpoint carry on, and a loop of joins
+    multiplies them until planning takes longer than the work."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = path
+    weakref.finalize(table, _WRITTEN.pop, id(table), None)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing will read again."""
+    for table in tables:
+        path = _WRITTEN.pop(id(table), None)
+        if path:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def sample_share(rows: int, bound: int) -> float:

@@ -4,9 +4,10 @@ One pass over the texts gives each row the hash of its whole shingle set, band k
 odd sketch: the signature's samples folded into a parity bitmap. Rows with equal sets become one class before
 anything is compared, so thousands of copies cost one row. Classes that share a band key are linked to that bucket's
 hub, not to each other; the XOR population count of two sketches estimates the similarity and discards unlikely
-pairs; what remains is confirmed on the full sets of both texts. Afterwards every bucket that still holds more than
-one component has its strays (members outside its largest component) compared with all members of other components,
-so no pair that shares a band and could join two components is left out.
+pairs; what remains is confirmed on the full sets of both texts, each class with its likeliest partner first.
+Buckets that then still hold several components connect texts to blobs. In a blob every text outside the largest
+component is compared with all others, block by block inside tasks and without emitting pairs, so no pair that shares a band and
+could join two components is left out.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no band with probability 3e-6. The sketch threshold lies
 more than six standard deviations below 0.8."""
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import cut, slices
+from curatrix.llm.common import cut, release, slices
 
 BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
@@ -33,6 +34,8 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _CHUNK = 4096
+#: Shingles in a block of texts that meets another.
+BLOCK_SHINGLES = 1 << 20
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
@@ -130,12 +133,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if total == before or total is None:
+            release(both)
             return labels
         before = total
         seen = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("component").alias("near"))
         lower = labels.join(seen, "v").select("v", F.least("component", "near").alias("component"))
         jump = lower.select(F.col("v").alias("component"), F.col("component").alias("further"))
-        labels = cut(lower.join(jump, "component", "left").select("v", F.coalesce(F.least("component", "further"), "component").alias("component")))
+        old, labels = labels, cut(lower.join(jump, "component", "left").select("v", F.coalesce(F.least("component", "further"), "component").alias("component")))
+        release(old)
 
 
 def _bits_apart() -> Column:
@@ -152,6 +157,57 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits & (apart <= _differing_bits(percent / 100 - SLACK))).select("a", "b", apart.alias("apart"))
 
 
+def _cross(shingle: int, percent: int):
+    """Links between strays and members of other components of one pair of blocks: for each stray and component the smallest partner."""
+
+    def run(strays: pa.Table, members: pa.Table) -> pa.Table:
+        a_out: list[int] = []
+        b_out: list[int] = []
+        if len(strays) and len(members):
+            ids, own = members.column("doc_id").to_numpy(), members.column("c").to_numpy()
+            sets = list(kernel.shingle_sets(members.column("text").combine_chunks(), shingle))
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for stray, c, mine in zip(strays.column("stray_doc_id").to_pylist(), strays.column("stray_c").to_pylist(), kernel.shingle_sets(strays.column("stray_text").combine_chunks(), shingle), strict=True):
+                low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hits = np.flatnonzero((100 * both >= percent * (sizes + len(mine) - both)) & (own != c))
+                hits = hits[np.lexsort((ids[hits], own[hits]))]
+                first = np.concatenate([[True], own[hits][1:] != own[hits][:-1]]) if len(hits) else np.zeros(0, bool)
+                b_out += ids[hits[first]].tolist()
+                a_out += [stray] * int(first.sum())
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
+def _strays_met(docs: DataFrame, blobs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
+    """Links between members of different components of a blob, a set of texts that open buckets connect.
+
+    All texts outside a blob's largest component meet all of its texts, in blocks of about BLOCK_SHINGLES shingles on
+    either side; counting shared shingles within a pair of blocks emits links only, never pairs."""
+    placed = docs.join(blobs.select(F.col("v").alias("doc_id"), F.col("component").alias("blob")), "doc_id").join(classes.select("doc_id", "n_shingles"), "doc_id")
+    placed = cut(placed)
+    largest = placed.groupBy("blob", "c").count().groupBy("blob").agg(F.max(F.struct("count", "c")).alias("top")).select("blob", F.col("top.c").alias("main"))
+    placed = placed.join(largest, "blob").withColumn("stray", F.col("c") != F.col("main"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    plan = placed.groupBy("blob").agg(blocks(F.sum("n_shingles")).alias("m_blocks"), blocks(F.sum(F.when(F.col("stray"), F.col("n_shingles")).otherwise(0))).alias("s_blocks"))
+    own = texts.join(placed.select("doc_id"), "doc_id", "left_semi")
+    own = own.groupBy("doc_id").agg(F.first("text").alias("text")) if repeated else own
+    rows = placed.join(plan, "blob").join(own, "doc_id")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("m", block("m_blocks")).withColumn("s", each("s_blocks")).select("blob", "m", "s", "doc_id", "c", "text")
+    strays = rows.where("stray").withColumn("s", block("s_blocks")).withColumn("m", each("m_blocks"))
+    strays = strays.select(*[F.col(x).alias(f"stray_{x}") for x in ("blob", "m", "s", "doc_id", "c", "text")])
+    keys = ["blob", "m", "s"]
+    return cut(strays.groupBy(*[f"stray_{x}" for x in keys]).cogroup(members.groupBy(*keys)).applyInArrow(_cross(shingle, percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for every input row.
 
@@ -164,7 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
     classes = cut(sets.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]))
     members = classes.select("doc_id", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "doc_id").alias("rank"), "doc_id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", F.col("hub.doc_id").alias("hub"))
+    # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    central = cut(members.join(sizes, "band").groupBy("doc_id").agg(F.sum("n").alias("weight")))
+    shared = members.join(central, "doc_id")
+    hubs = shared.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "doc_id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", F.col("hub.doc_id").alias("hub"))
     buckets = cut(members.join(hubs, "band"))
     stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = cut(_likely(stars, classes, percent))
@@ -189,6 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     edges = confirmed(best)
     labels = components(edges)
+    release(central)
 
     rest = cut(apart(likely.join(best, ["a", "b"], "left_anti"), labels).select("a", "b"))
     if rest.limit(1).count():
@@ -197,20 +258,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             edges = edges.union(more)
             labels = components(edges)
 
-    # Buckets that still hold several components: their strays meet the members of other components.
+    release(rest, likely)
+    # Buckets that still hold several components: their strays meet all members that buckets connect them with.
     placed = buckets.select("band", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    open_buckets = cut(placed.join(mixed, "band", "left_semi"))
-    shares = open_buckets.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).alias("largest")).select("band", F.col("largest.c").alias("main"))
-    strays = open_buckets.join(shares, "band").where("c <> main").select("band", F.col("doc_id").alias("a"), F.col("c").alias("a_c"))
-    facing = strays.join(open_buckets.select("band", F.col("doc_id").alias("b"), F.col("c").alias("b_c")), "band").where("a_c <> b_c")
-    crossing = facing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = cut(_likely(crossing.join(tested, ["a", "b"], "left_anti"), classes, percent))
-    if last.limit(1).count():
-        more = confirmed(last)
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("doc_id").alias("a")).where("low < high").select("band", "a")
+    open_buckets = cut(placed.join(mixed, "band").select("a", "doc_id", "c"))
+    if open_buckets.limit(1).count():
+        blobs = components(open_buckets.select("a", F.col("doc_id").alias("b")))
+        more = _strays_met(open_buckets.select("doc_id", "c").distinct(), blobs, classes, texts, shingle, percent, repeated)
         if more.limit(1).count():
             labels = components(edges.union(more))
+        release(blobs, more)
+    release(buckets, open_buckets, edges)
 
     found = classes.select("h1", "h2", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
     found = found.select("h1", "h2", F.coalesce("component", "doc_id").alias("class_id"))
