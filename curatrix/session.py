@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +41,16 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("curatrix", os.path.relpath(full, top)))
     context.addPyFile(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A result that a plan uses more than once, written to the folder that spark.checkpoint.dir names and read back.
+
+    Only a session that names none, as in tests, gets a local folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatrix-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
