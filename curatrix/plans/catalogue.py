@@ -465,10 +465,10 @@ def column_union(spark, sf_dir):
     return left.unionByName(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), allowMissingColumns=True)
 
 
-@query("SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey < 40)")
+@query("SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 40)")
 def unmatched_distinct(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.select("p_type").distinct().join(part.where("p_partkey < 40").select("p_type"), "p_type", "left_anti")
+    return part.select("p_name").distinct().join(part.where("p_partkey < 40").select("p_name"), "p_name", "left_anti")
 
 
 # Scalars
