@@ -89,10 +89,9 @@ def author_display_contact_first(spark, sf_dir):
     return nested(spark, sf_dir).select(F.regexp_extract("file_title", r"(\d+)$", 1).cast("long").alias("k"), records.author_display(F.col("authors"), F.col("contact")).alias("author_display"))
 
 
-@query("SELECT doc_id, trim(split_part(text, ',', 1)) AS short FROM documents WHERE text IS NOT NULL AND strpos(split_part(text, ',', 1), chr(10)) = 0")
+@query("SELECT doc_id, trim(split_part(text, ',', 1)) AS short FROM documents")
 def short_institution(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return docs.where(F.instr(F.substring_index("text", ",", 1), "\n") == 0).select("doc_id", text.short_institution(F.col("text")).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.short_institution(F.col("text")).alias("short"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'file_' || o_orderkey ELSE o_orderstatus END AS title, left(strftime(o_orderdate, '%Y-%m-%d'), 4) AS year FROM orders")
@@ -581,19 +580,19 @@ def record_lookup(spark, sf_dir):
 
 # Triples and graph
 
-EDGES_SQL = """ua AS (SELECT DISTINCT 'a:' || l_orderkey AS a, 'u:' || l_suppkey AS u FROM lineitem WHERE l_orderkey < 40),
-    uf AS (SELECT DISTINCT 'u:' || s_suppkey AS u, 'f:' || s_nationkey AS f FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey < 40))"""
+EDGES_SQL = """ua AS (SELECT DISTINCT 'a:' || l_orderkey AS a, 'u:' || l_suppkey AS u FROM lineitem),
+    uf AS (SELECT DISTINCT 'u:' || s_suppkey AS u, 'f:' || s_nationkey AS f FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))"""
 
 
 def edges(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 40")
+    line = table(spark, sf_dir, "lineitem")
     abs_au = line.select(F.concat(F.lit("a:"), "l_orderkey").alias("a"), F.concat(F.lit("u:"), "l_suppkey").alias("u")).distinct()
     own = table(spark, sf_dir, "supplier").join(line.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
     return cut(abs_au), cut(own.select(F.concat(F.lit("u:"), "s_suppkey").alias("u"), F.concat(F.lit("f:"), "s_nationkey").alias("f")).distinct())
 
 
 TRIPLES_SQL = f"""{EDGES_SQL},
-    ab AS (SELECT 'a:' || o_orderkey AS a, o_orderpriority AS title, (SELECT min(u) FROM ua WHERE a = 'a:' || o_orderkey) AS contact FROM orders WHERE o_orderkey < 40),
+    ab AS (SELECT 'a:' || o_orderkey AS a, o_orderpriority AS title, c.u AS contact FROM orders LEFT JOIN (SELECT a, min(u) AS u FROM ua GROUP BY 1) c ON c.a = 'a:' || o_orderkey),
     t AS (SELECT a AS s, 'rdf:type' AS p, 'ex:Abstract' AS o, 'uri' AS o_kind FROM ab UNION SELECT a, 'rdfs:label', title, 'literal' FROM ab
         UNION SELECT a, 'ex:contactPoint', contact, 'uri' FROM ab WHERE contact IS NOT NULL UNION SELECT contact, 'ex:isContactFor', a, 'uri' FROM ab WHERE contact IS NOT NULL
         UNION SELECT a, 'ex:hasAuthor', u, 'uri' FROM ua UNION SELECT u, 'ex:isAuthorOf', a, 'uri' FROM ua UNION SELECT u, 'rdf:type', 'foaf:Person', 'uri' FROM ua
@@ -603,7 +602,7 @@ TRIPLES_SQL = f"""{EDGES_SQL},
 def derived(spark, sf_dir):
     abs_au, au_aff = edges(spark, sf_dir)
     contact = abs_au.groupBy("a").agg(F.min("u").alias("contact"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.concat(F.lit("a:"), "o_orderkey").alias("a"), F.col("o_orderpriority").alias("title"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("a:"), "o_orderkey").alias("a"), F.col("o_orderpriority").alias("title"))
     return cut(triples.instance_triples(orders.join(contact, "a", "left"), abs_au, au_aff))
 
 
@@ -654,7 +653,7 @@ def uri_merge(spark, sf_dir):
     return triples.merge_uris(derived(spark, sf_dir), chain)
 
 
-ORPHAN_SQL = f"""{TRIPLES_SQL}, doomed AS (SELECT DISTINCT s FROM t WHERE s LIKE 'a:%' AND substr(s, 3)::INT < 20),
+ORPHAN_SQL = f"""{TRIPLES_SQL}, doomed AS (SELECT DISTINCT s FROM t WHERE p = 'ex:hasAuthor' AND o IN (SELECT s FROM t WHERE p = 'ex:hasAffiliation' AND o = 'f:0')),
     refs AS (SELECT s, o AS node FROM t WHERE p IN ('ex:hasAuthor', 'ex:contactPoint')),
     po AS (SELECT DISTINCT node FROM refs WHERE s IN (SELECT s FROM doomed) AND node NOT IN (SELECT node FROM refs WHERE s NOT IN (SELECT s FROM doomed))),
     oref AS (SELECT s, o AS node FROM t WHERE p = 'ex:hasAffiliation'),
@@ -663,7 +662,9 @@ ORPHAN_SQL = f"""{TRIPLES_SQL}, doomed AS (SELECT DISTINCT s FROM t WHERE s LIKE
 
 
 def _doomed(t):
-    return t.where(F.startswith("s", F.lit("a:")) & (F.substring("s", 3, 9).try_cast("int") < 20)).select("s").distinct()
+    """Abstracts that somebody of nation 0 wrote."""
+    people = t.where((F.col("p") == triples.AFFILIATION) & (F.col("o") == "f:0")).select(F.col("s").alias("o"))
+    return t.where(F.col("p") == triples.AUTHOR).join(people, "o", "left_semi").select("s").distinct()
 
 
 @query(f"WITH {ORPHAN_SQL} SELECT node, kind FROM orphan")
