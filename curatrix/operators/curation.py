@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.functions import text
+from curatrix.operators import matching
+
 STAGING = ("_status", "_aff_decisions", "_raw_affiliations")
 
 
@@ -69,3 +72,27 @@ def cyclic_next(df: DataFrame, key: str, group: Column) -> DataFrame:
     w = Window.partitionBy(group).orderBy(key)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn("next", F.coalesce(F.lead(key).over(w), F.first(key).over(whole)))
+
+
+def lazy_decisions(pairs: DataFrame, decisions: DataFrame, registry: DataFrame, similarity=text.levenshtein_similarity) -> DataFrame:
+    """decisions (author, raw, matched_canonical, match_score, decision) with one by matching for every pair (author, raw) that has none; only names that lack one are matched."""
+    names = ["author", "raw", "matched_canonical", "match_score", "decision"]
+    open_pairs = pairs.select("author", "raw").distinct().join(decisions.select("author", "raw"), ["author", "raw"], "left_anti")
+    made = matching.decided(matching.best_match(matching.scored(open_pairs.select("raw"), registry, similarity)))
+    made = open_pairs.join(made, "raw", "left").select("author", "raw", F.col("canonical").alias("matched_canonical"), F.coalesce("score", F.lit(0.0)).alias("match_score"), F.coalesce("decision", F.lit("auto_new")).alias("decision"))
+    return decisions.select(names).unionByName(made)
+
+
+def review(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Decisions (author, raw, matched_canonical, decision, new_canonical) after a reviewer's overrides (author, raw, choice, name).
+
+    A choice of existing or new takes its name; revert restores what matching found, an automatic decision as a plain
+    one; without an override nothing changes."""
+    by = overrides.select("author", "raw", "choice", "name")
+    choice, was = F.col("choice"), F.col("decision")
+    plain = F.when(was == "auto_existing", "existing").when(was == "auto_new", "new").otherwise(F.lit("pending"))
+    decision = F.when(choice.isin("existing", "new"), choice).when(choice == "revert", plain).otherwise(was)
+    matched = F.when(choice == "existing", F.col("name")).otherwise(F.col("matched_canonical"))
+    new = F.when(choice == "new", F.col("name")).when((choice == "revert") & (was == "auto_new"), F.col("raw")).otherwise(F.col("new_canonical"))
+    changed = decisions.join(by, ["author", "raw"], "left")
+    return changed.select("author", "raw", matched.alias("matched_canonical"), decision.alias("decision"), new.alias("new_canonical"))

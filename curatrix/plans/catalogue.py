@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions import text
-from curatrix.operators import curation, matching, records, triples
+from curatrix.functions import documents, text
+from curatrix.operators import curation, matching, profiles, records, search, triples
 from curatrix.operators.graph import Graph
 from curatrix.session import cut
 
@@ -778,3 +778,123 @@ def raw_affiliation_backup(spark, sf_dir):
 @query("SELECT DISTINCT n_name || ', ' || r_name AS canonical FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def canonical_set(spark, sf_dir):
     return nested(spark, sf_dir).select(F.explode("authors").alias("a")).select(F.explode("a.affiliations").alias("c")).select(F.trim("c").alias("canonical")).where("canonical <> ''").distinct()
+
+
+# Profiles, decisions on demand, fuzzy search, documents
+
+
+def _uri(x: str) -> str:
+    return f"'http://example.org/ns#' || replace(replace(regexp_replace(trim({x}), '[^A-Za-z0-9\\s._-]', '', 'g'), '.', ''), ' ', '_')"
+
+
+CELLS_SQL = f"""{AUTHORS_SQL},
+    ab AS (SELECT 'a:' || o_orderkey AS a, o_orderpriority AS title, o_orderstatus AS status, 'https://doi.org/10.1234/' || o_orderkey AS rel, '10.1234/' || o_orderkey AS bare FROM orders WHERE o_orderkey IN (SELECT k FROM au)),
+    ppl AS (SELECT DISTINCT 'a:' || k AS a, 'dct:contributor' AS p, name, {_uri("name")} AS node FROM named UNION SELECT 'a:' || k, 'dcat:contactPoint', arg_max(name, pos), {_uri("arg_max(name, pos)")} FROM named GROUP BY k),
+    org AS (SELECT DISTINCT 'a:' || k AS a, split_part(aff, ', ', 1) AS short, split_part(aff, ', ', 2) AS place, replace(aff, ', ', ', Street 7, ') AS raw FROM named)"""
+
+
+def cells(spark, sf_dir):
+    """Orders as the rows of a workbook, one cell a row."""
+    one = F.sort_array(F.collect_list(F.struct("pos", "name")))
+    org = F.replace("aff", F.lit(", "), F.lit(", Street 7, "))
+    by = authorship(spark, sf_dir).groupBy("k").agg(F.array_join(F.transform(one, lambda x: x["name"]), ", ").alias("names"), F.max_by("name", "pos").alias("contact"), F.array_join(F.collect_set(org), "; ").alias("orgs"))
+    rows = table(spark, sf_dir, "orders").join(by, F.col("o_orderkey") == F.col("k"))
+    stack = "stack(6, 'dct:title', o_orderpriority, 'FOAF:Agent', names, 'dcat:contactPoint', contact, 'schema:Organization', orgs, 'Further reading', concat('doi:10.1234/', k), 'odd:status', o_orderstatus) as (`column`, value)"
+    return rows.select(F.concat(F.lit("a:"), "k").alias("a"), F.expr(stack))
+
+
+@query(f"""WITH {CELLS_SQL}, o AS (SELECT a, short, place, raw, CASE WHEN short < 'J' THEN short ELSE raw END AS name, short < 'J' AS known FROM org),
+    oo AS (SELECT *, {_uri("name")} AS node FROM o)
+    SELECT 'ex:Abstracts' AS s, 'rdf:type' AS p, 'ex:ConferenceAbstractCollection' AS o, 'uri' AS o_kind
+    UNION SELECT 'ex:Abstracts', 'ex:has_abstract', a, 'uri' FROM ab UNION SELECT a, 'rdf:type', 'ex:Abstract', 'uri' FROM ab
+    UNION SELECT a, 'dct:title', title, 'literal' FROM ab UNION SELECT a, 'rdfs:label', title, 'literal' FROM ab
+    UNION SELECT a, 'ex:status', status, 'literal' FROM ab UNION SELECT a, 'ex:Further_reading', rel, 'uri' FROM ab
+    UNION SELECT a, p, node, 'uri' FROM ppl UNION SELECT node, 'rdf:type', 'foaf:Agent', 'uri' FROM ppl UNION SELECT node, 'rdfs:label', name, 'literal' FROM ppl
+    UNION SELECT a, 'schema:Organization', node, 'uri' FROM oo UNION SELECT node, 'rdf:type', 'schema:Organization', 'uri' FROM oo UNION SELECT node, 'rdfs:label', name, 'literal' FROM oo
+    UNION SELECT node, 'schema:address', node || '_address', 'uri' FROM oo WHERE known UNION SELECT node || '_address', 'rdf:type', 'schema:PostalAddress', 'uri' FROM oo WHERE known
+    UNION SELECT node || '_address', 'schema:streetAddress', 'Street 7', 'literal' FROM oo WHERE known UNION SELECT node, 'schema:location', place, 'literal' FROM oo WHERE known""")
+def flat_profile_triples(spark, sf_dir):
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = F.concat("n_name", F.lit(", Street 7, "), "r_name")
+    known = places.where("n_name < 'J'").select(whole.alias("raw"), F.col("n_name").alias("name"), whole.alias("address"))
+    return profiles.flat(cells(spark, sf_dir), known)
+
+
+@query(f"""WITH {CELLS_SQL}, oo AS (SELECT *, {_uri("short")} AS node FROM org),
+    links AS (SELECT 'ex:Abstracts' AS s, 'ex:has_abstract' AS p, a AS o, 'uri' AS k FROM ab UNION SELECT a, p, node, 'uri' FROM ppl UNION SELECT a, 'schema:Organization', node, 'uri' FROM oo
+        UNION SELECT node, 'schema:address', node || '_address', 'uri' FROM oo UNION SELECT node || '_address', 'schema:streetAddress', 'Street 7', 'literal' FROM oo UNION SELECT node, 'schema:location', place, 'literal' FROM oo
+        UNION SELECT a, 'dct:title', title, 'literal' FROM ab UNION SELECT a, 'ex:status', status, 'literal' FROM ab UNION SELECT a, 'ex:Further_reading', rel, 'uri' FROM ab),
+    r AS (SELECT *, '_:' || left(md5(s || '|' || p || '|' || o), 16) AS b FROM links),
+    kinds AS (SELECT p, min(k) AS k FROM links GROUP BY 1),
+    c AS (SELECT a AS node, replace(a, ':', ' ') AS label, 'ex:Abstract' AS parent FROM ab UNION SELECT node, name, 'foaf:Agent' FROM ppl UNION SELECT node, short, 'schema:Organization' FROM oo
+        UNION SELECT node || '_address', short || ' address', 'schema:PostalAddress' FROM oo UNION SELECT rel, 'doi:' || bare, NULL FROM ab)
+    SELECT s, 'rdfs:subClassOf' AS p, b AS o, 'bnode' AS o_kind FROM r UNION SELECT b, 'rdf:type', 'owl:Restriction', 'uri' FROM r UNION SELECT b, 'owl:onProperty', p, 'uri' FROM r
+    UNION SELECT b, CASE WHEN k = 'literal' THEN 'owl:hasValue' ELSE 'owl:someValuesFrom' END, o, k FROM r
+    UNION SELECT p, 'rdf:type', CASE WHEN k = 'literal' THEN 'owl:DatatypeProperty' ELSE 'owl:ObjectProperty' END, 'uri' FROM kinds UNION SELECT p, 'rdfs:label', replace(split_part(p, ':', 2), '_', ' '), 'literal' FROM kinds
+    UNION SELECT node, 'rdf:type', 'owl:Class', 'uri' FROM c UNION SELECT node, 'rdfs:label', label, 'literal' FROM c UNION SELECT node, 'rdfs:subClassOf', parent, 'uri' FROM c WHERE parent IS NOT NULL""")
+def class_profile_triples(spark, sf_dir):
+    return profiles.classes(cells(spark, sf_dir))
+
+
+@query(f"""WITH p AS (SELECT 'p:' || p_partkey AS a, p_name || ' ' || p_type AS c FROM part), n AS (SELECT *, {_uri("c")} AS node FROM p)
+    SELECT a AS s, 'dct:relation' AS p, node AS o, 'uri' AS o_kind FROM n UNION SELECT node, 'rdf:type', 'ex:Citation', 'uri' FROM n UNION SELECT node, 'dct:bibliographicCitation', c, 'literal' FROM n
+    UNION SELECT node, 'rdf:type', 'owl:Class', 'uri' FROM n UNION SELECT node, 'rdfs:subClassOf', 'ex:Citation', 'uri' FROM n UNION SELECT node, 'rdfs:label', c, 'literal' FROM n UNION SELECT a || '/plain', 'dct:relation', c, 'literal' FROM n""")
+def citation_mode(spark, sf_dir):
+    """Citations as classes, and as literals of a second set of abstracts."""
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("a"), F.concat("p_name", F.lit(" "), "p_type").alias("citation"))
+    plain = rows.withColumn("a", F.concat("a", F.lit("/plain")))
+    return profiles.citations(rows, True).union(profiles.citations(plain))
+
+
+@query()
+def vowl_document(spark, sf_dir):
+    t = derived(spark, sf_dir)
+    kind = F.when(F.col("o") == triples.PERSON, "person").when(F.col("o") == triples.ABSTRACT, "abstract").otherwise("organisation")
+    nodes = t.where(F.col("p") == triples.TYPE).select(F.col("s").alias("id"), kind.alias("kind")).join(triples.labels(t).withColumnRenamed("s", "id"), "id")
+    return profiles.drawing(nodes, t.where(F.col("p").isin(*profiles.BASE_PROPERTIES)))
+
+
+@query(f"""WITH {RAWS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, o) AS r FROM pairs)
+    SELECT p_partkey AS author, raw, CASE WHEN p_size > 25 THEN p_brand WHEN s >= 0.7 THEN c END AS matched_canonical, CASE WHEN p_size > 25 THEN 1.0 ELSE round(s, 4) END::DOUBLE AS match_score,
+        CASE WHEN p_size > 25 THEN 'existing' WHEN s >= 0.95 THEN 'auto_existing' WHEN s < 0.7 THEN 'auto_new' ELSE 'pending' END AS decision
+    FROM part JOIN best ON raw = p_name || ' ' || lower(p_type) WHERE r = 1""")
+def lazy_decisions(spark, sf_dir):
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("author"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("raw"), "p_size", "p_brand")
+    made = pairs.where("p_size > 25").select("author", "raw", F.col("p_brand").alias("matched_canonical"), F.lit(1.0).alias("match_score"), F.lit("existing").alias("decision"))
+    return curation.lazy_decisions(pairs, made, registry(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT l.doc_id AS author, coalesce(source, 'none') AS raw, lang, CASE WHEN quality = 1 THEN 'auto_existing' WHEN toxic = 1 THEN 'pending' ELSE 'auto_new' END AS was FROM labels l JOIN documents x ON l.doc_id = x.doc_id)
+    SELECT author, raw, CASE WHEN lang = 'en' THEN 'chosen' WHEN was = 'auto_existing' THEN 'canonical ' || raw END AS matched_canonical,
+        CASE WHEN lang = 'en' THEN 'existing' WHEN lang = 'de' THEN 'new' WHEN lang = 'fr' THEN (CASE was WHEN 'auto_existing' THEN 'existing' WHEN 'auto_new' THEN 'new' ELSE 'pending' END) ELSE was END AS decision,
+        CASE WHEN lang = 'de' THEN 'made' WHEN lang = 'fr' AND was = 'auto_new' THEN raw END AS new_canonical FROM d""")
+def review_overrides(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("author"), F.coalesce("source", F.lit("none")).alias("raw"), "lang", F.when(F.col("quality") == 1, "auto_existing").when(F.col("toxic") == 1, "pending").otherwise("auto_new").alias("decision"))
+    made = rows.select("author", "raw", F.when(F.col("decision") == "auto_existing", F.concat(F.lit("canonical "), "raw")).alias("matched_canonical"), "decision", F.lit(None).cast("string").alias("new_canonical"))
+    choice = F.when(F.col("lang") == "en", "existing").when(F.col("lang") == "de", "new").when(F.col("lang") == "fr", "revert")
+    overrides = rows.select("author", "raw", choice.alias("choice"), F.when(F.col("lang") == "en", "chosen").when(F.col("lang") == "de", "made").alias("name")).where("choice is not null")
+    return curation.review(made, overrides)
+
+
+@query()
+def fuzzy_search_all(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    entries = part.select("p_partkey", F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array("p_type").alias("affiliations"))
+    return search.fuzzy_search(entries, "blue steal").select("p_partkey", F.round("score", 4).alias("score")).orderBy("score", "p_partkey")
+
+
+@query()
+def suggest_six(spark, sf_dir):
+    return search.suggestions(registry(spark, sf_dir).select(F.col("ord").alias("id"), F.col("candidate").alias("label")), "blue steal")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'that') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents WHERE text IS NOT NULL")
+def search_contains_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.contains(F.lower("text"), F.lit("that")).cast("double").alias("score"))
+
+
+@query()
+def author_block(spark, sf_dir):
+    block = documents.author_block(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", block.alias("block"), documents.attributed(block).alias("authors"))
