@@ -166,3 +166,13 @@ def test_records_are_appended_once(spark, tmp_path):
         spark.createDataFrame(batch, "key string, n int").write.mode("append").json(source)
         ingest.ingest(spark.readStream.schema("key string, n int").json(source), store, "key", str(tmp_path / "c")).awaitTermination(120)
     assert sorted((r.key, r.n) for r in spark.read.parquet(store).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_drawing(spark):
+    nodes = spark.createDataFrame([("u:1", "person", "Ann"), ("a:1", "abstract", "T")], "id string, kind string, label string")
+    edges = spark.createDataFrame([("a:1", "ex:hasAuthor", "u:1"), ("a:1", "ex:hasAuthor", "u:none")], "s string, p string, o string")
+    rows = [(r.section, json.loads(r.item)) for r in profiles.drawing(nodes, edges).collect()]
+    ids = {x["iri"]: x["id"] for kind, x in rows if kind == "class"}
+    assert len(rows) == 3 + 6 + 2 + 1 and ids["u:1"].startswith("person_")
+    (link,) = [x for kind, x in rows if x["id"].startswith("prop_")]
+    assert (link["domain"], link["range"], link["parent"], link["label"]) == (ids["a:1"], ids["u:1"], "ex_hasAuthor", "hasAuthor")
