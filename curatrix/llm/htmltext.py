@@ -5,7 +5,8 @@ many pages of different content each recurs; what recurs on many of a host's pag
 deletes those subtrees and what its tag, role or class names as furniture, and writes the blocks of what is left.
 
 Per host only subtrees on at least MIN_SHARE of its pages are template, so a host has at most (subtrees per page) /
-MIN_SHARE of them. The planner joins that table to the pages by its own size check."""
+MIN_SHARE of them. Pages of a host with many are dealt into slices, each of which meets a copy of the host's row, so
+no task reads a whole host; the planner picks the join by its own size check."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ from curatrix.llm.common import slices
 
 #: A subtree is template from this many pages of different content on, if they are this share of the host's.
 MIN_PAGES, MIN_SHARE = 4, 0.3
+#: A host is split from this many pages on; in large tables from a MAX_SPLIT-th of all pages, so at most MAX_SPLIT hosts are.
+SLICE_PAGES, MAX_SPLIT = 256, 20_000
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -234,13 +237,22 @@ def templates(pages: DataFrame) -> DataFrame:
     return recurring.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("template"))
 
 
+def _split_hosts(source: DataFrame) -> DataFrame:
+    """(host, slices): hosts with more pages than a slice holds."""
+    held = max(SLICE_PAGES, -(-source.count() // MAX_SPLIT))
+    return source.groupBy("host").count().where(F.col("count") > held).select("host", F.ceil(F.col("count") / held).cast("int").alias("slices"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for every input row.
 
     Null or empty html gives an empty text; a null address belongs to the host ''. Ids may be null; rows that repeat
     are pages of equal content and count once towards a template. Other columns are not read."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
-    joined = source.join(templates(pages), "host", "left").select("page_id", "url", "html", "template")
+    split = F.broadcast(_split_hosts(source))  # at most MAX_SPLIT rows
+    dealt = source.join(split, "host", "left").withColumn("slice", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("slices", F.lit(1))).cast("int"))
+    known = templates(pages).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    joined = dealt.join(known.select("host", "slice", "template"), ["host", "slice"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,6 +55,15 @@ def test_html_tables(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_of_a_split_host(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("url", F.expr("if(page_id % 3 = 0, 'http://hot.example/' || page_id, url)"))
+    pages = pages.unionByName(pages.where("page_id < 9"))
+    whole = sorted(map(tuple, htmltext.main_text(pages).collect()))
+    monkeypatch.setattr(htmltext, "SLICE_PAGES", 5)
+    assert htmltext._split_hosts(pages.withColumn("host", htmltext._host(F.col("url")))).where("host = 'hot.example' and slices > 10").count() == 1
+    assert sorted(map(tuple, htmltext.main_text(pages).collect())) == whole and len(whole) == pages.count()
+
+
 def test_html_pages_keep_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in htmltext.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
