@@ -33,6 +33,9 @@ BLOCKS = frozenset("address article blockquote body center dd details div dl dt
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related respond reply replies search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert".split())
+#: Of these, what stays furniture even with most of a page's text, unless it holds the h1.
+FIRM = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr promo promotion related respond reply replies sponsor sponsored".split())
+_WITH = re.compile(r"\b(?:no|has|with|without)[-_]\w+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -102,20 +105,90 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_furniture(node: Node, inside_article: bool) -> bool:
-    tag = node.tag
-    if tag in DROPPED or (tag == "header" and not inside_article):
+def _named(node: Node) -> int:
+    """1 if its names, role or tag call a node furniture, 2 if they call it comments, adverts or the like, else 0."""
+    if node.tag in ("html", "body", "main"):
+        return 0
+    if node.attributes:
+        names = _WITH.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", node.attribute("class", "id")).lower())
+        found = FURNITURE.intersection(re.split(r"[^a-z0-9]+", names))
+        if found and (node.tag != "article" or found & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"}):
+            return 2 if found & FIRM else 1
+        if node.attribute("role").lower() in ROLES:
+            return 1
+    return int(node.tag == "form")
+
+
+def _dropped(node: Node, inside_article: bool) -> bool:
+    """What goes whatever it holds: by tag, or hidden."""
+    if (node.tag in DROPPED and node.tag != "form") or (node.tag == "header" and not inside_article):
         return True
-    if tag in ("html", "body", "article", "main") and not node.attributes:
+    if not node.attributes or (node.tag in ("article", "main", "body", "html") and not node.attributes.strip(" /")):
         return False
-    if node.attributes:
-        names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", node.attribute("class", "id")).lower()))
-        if names & FURNITURE and tag not in ("html", "body", "main") and not (tag == "article" and names.isdisjoint({"comment", "comments", "reply", "related", "promo", "ad", "sponsored"})):
-            return True
-        if node.attribute("role").lower() in ROLES or node.attribute("aria-hidden").lower() == "true" or re.search(r"display\s*:\s*none", node.attribute("style")):
-            return True
-        return any(name.lower() == "hidden" for name, *_ in _ATTRIBUTE.findall(node.attributes))
-    return False
+    if node.attribute("aria-hidden").lower() == "true" or re.search(r"display\s*:\s*none", node.attribute("style")):
+        return True
+    return any(name.lower() == "hidden" for name, *_ in _ATTRIBUTE.findall(node.attributes))
+
+
+def furniture(root: Node) -> set[Node]:
+    """The outermost nodes that are furniture.
+
+    Names, roles and forms make no furniture of what holds half of the text of the page's articles (or main elements),
+    or else of the page; comments, adverts and the like must hold its h1 as well. If that still leaves out more than
+    half of the articles' text, whatever holds an article stays."""
+    out: set[Node] = set()
+    order, named = [], {}
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        order.append(node)
+        for child in node.children:
+            if isinstance(child, Node):
+                within = inside or child.tag in ("article", "main")
+                if _dropped(child, within):
+                    out.add(child)
+                    continue
+                if kind := _named(child):
+                    named[child] = kind
+                stack.append((child, within))
+    if not named:
+        return out
+    size: dict[Node, int] = {}
+    head: set[Node] = set()
+    for node in reversed(order):
+        size[node] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in node.children)
+        if node.tag == "h1" or any(c in head for c in node.children if isinstance(c, Node)):
+            head.add(node)
+    firm = {n for n, kind in named.items() if kind == 2 and n not in head}
+    told: dict[Node, int] = {}  # text of articles in a node
+    for wanted in ("article", "main"):
+        mains, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if _wanted(node, wanted):
+                mains.append(node)
+            else:
+                stack += [c for c in node.children if isinstance(c, Node) and c not in out and c not in firm]
+        if any(size[m] for m in mains):
+            break
+    for node in mains:
+        up = node
+        while up is not None:
+            told[up] = told.get(up, 0) + size[node]
+            up = up.parent
+    whole = told.get(root, 0)
+    spared = {n for n in named if n not in firm and (2 * told.get(n, 0) >= whole if whole and n in told else 2 * size[n] >= size[root] > 0)}
+
+    def free(node: Node | None) -> bool:
+        while node is not None:
+            if node in named and node not in spared:
+                return False
+            node = node.parent
+        return True
+
+    if 2 * sum(size[m] for m in mains if free(m)) < whole:
+        spared |= {n for n in told if n in named}
+    return out | (named.keys() - spared)
 
 
 def digest(node: Node, into: dict[int, int] | None, protected: bool) -> tuple[int, int]:
@@ -146,22 +219,26 @@ def digest(node: Node, into: dict[int, int] | None, protected: bool) -> tuple[in
             frame = (child, held or child.tag in ("article", "main"), [], [0], iter(child.children))
 
 
-def main_root(root: Node) -> list[Node]:
+def _wanted(node: Node, wanted: str) -> bool:
+    return node.tag == wanted or (wanted == "main" and node.attribute("role").lower() == "main")
+
+
+def main_root(root: Node, gone: set[Node]) -> list[Node]:
     """The outermost articles that are no furniture, else main elements, else the page."""
     for wanted in ("article", "main"):
         found, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node.tag == wanted or (wanted == "main" and node.attribute("role").lower() == "main"):
+            if _wanted(node, wanted):
                 found.append(node)
                 continue
-            stack += [c for c in reversed(node.children) if isinstance(c, Node) and not (is_furniture(c, c.tag == "article"))]
+            stack += [c for c in reversed(node.children) if isinstance(c, Node) and c not in gone]
         if found:
             return found
     return [root]
 
 
-def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
+def blocks_of(root: Node, template: frozenset[int], gone: set[Node]) -> list[str]:
     """Texts of the blocks below root, in order, without furniture and template subtrees."""
     hashes: dict[int, int] = {}
     out: list[str] = []
@@ -184,7 +261,7 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
         elif isinstance(node, str):
             now.append(node)
         else:
-            if node is not root and is_furniture(node, inside):
+            if node is not root and node in gone:
                 if node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED:
                     flush()
                 continue
@@ -206,7 +283,8 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
 
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(page)
-    return "\n".join(b for node in main_root(root) for b in blocks_of(node, template))
+    gone = furniture(root)
+    return "\n".join(b for node in main_root(root, gone) for b in blocks_of(node, template, gone))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
