@@ -1,12 +1,14 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-Each page is parsed into a tree. The first pass hashes the subtrees outside the article and counts, per host, on how
-many pages of different content each recurs; what recurs on many of a host's pages is template. The second pass
-deletes those subtrees and what its tag, role or class names as furniture, and writes the blocks of what is left.
+Each page is parsed into a tree. The first pass hashes the subtrees that no tag, role or name calls furniture and
+counts, per host, on how many pages of different content each recurs, and inside articles in how many different
+articles; what recurs is template. The second pass deletes those subtrees and the furniture, and writes the blocks of
+what is left.
 
-Per host only subtrees on at least MIN_SHARE of its pages are template, so a host has at most (subtrees per page) /
-MIN_SHARE of them. Pages of a host with many are dealt into slices, each of which meets a copy of the host's row, so
-no task reads a whole host; the planner picks the join by its own size check."""
+Blocks (and inside articles whole divs, sections, lists and tables) recur by a count that stops growing with the host.
+Parts of lists, tables and lines outside of articles, which recur by chance on a large host, need a share of its pages;
+passages of an article, which several pages may quote, need nearly all of its articles. Recurring subtrees stay rows of
+host and hash and meet the subtrees of pages, so that a page comes with its own template only."""
 
 from __future__ import annotations
 
@@ -19,10 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import slices
+from curatrix.llm.common import cut, slices
 
 #: A subtree is template from this many pages of different content on, if they are this share of the host's.
 MIN_PAGES, MIN_SHARE = 4, 0.3
+#: A passage of an article is template only from this many different articles on, if they are this share of the host's.
+MIN_ARTICLES, NEARLY_ALL = 8, 0.9
+# Kinds of subtrees: outside of articles blocks and parts of tables, lists and lines, inside them layout and passages. Hashes that count pages and articles.
+BLOCK, PART, LAYOUT, PASSAGE = range(4)
+PAGE, ARTICLE = 0, 1
+#: A subtree's hash inside an article is another than outside.
+_INSIDE = 0x2545F4914F6CDD1D
 #: A host is split from this many pages on; in large tables from a MAX_SPLIT-th of all pages, so at most MAX_SPLIT hosts are.
 SLICE_PAGES, MAX_SPLIT = 256, 20_000
 # Elements of HTML by what they do.
@@ -36,6 +45,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Of these, what stays furniture even with most of a page's text, unless it holds the h1.
 FIRM = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr promo promotion related respond reply replies sponsor sponsored".split())
 _WITH = re.compile(r"\b(?:no|has|with|without)[-_]\w+")
+PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li summary tbody td tfoot th thead tr".split())
+PASSAGES = frozenset("blockquote p pre".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -191,32 +202,61 @@ def furniture(root: Node) -> set[Node]:
     return out | (named.keys() - spared)
 
 
-def digest(node: Node, into: dict[int, int] | None, protected: bool) -> tuple[int, int]:
-    """(hash, characters of text) of a subtree; into gets both for every subtree that isn't in an article and holds text."""
-    stack: list[tuple[Node, bool, list[bytes], list[int], Iterator]] = []
-    result = (0, 0)
-    frame = (node, protected, [], [0], iter(node.children))
-    while True:
-        own, held, parts, size, rest = frame
-        child = next(rest, None)
-        if child is None:
-            value = hashlib.blake2b(b"\x00".join([own.tag.encode(), *parts]), digest_size=8).digest()
-            result = (int.from_bytes(value, "big", signed=True), size[0])
-            if into is not None and not held and size[0] and own.tag not in ("#root", "html", "body"):
-                into[result[0]] = result[1]
-            if not stack:
-                return result
-            frame = stack.pop()
-            frame[2].append(value)
-            frame[3][0] += result[1]
-        elif isinstance(child, str):
-            text = _SPACE.sub(" ", child).strip()
-            if text:
-                parts.append(text.encode("utf-8", "replace"))
-                size[0] += len(text)
-        elif child.tag not in ("script", "style"):
-            stack.append(frame)
-            frame = (child, held or child.tag in ("article", "main"), [], [0], iter(child.children))
+def digests(root: Node) -> dict[Node, tuple[bytes, int]]:
+    """(hash, characters of text) of every subtree without scripts and styles."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style")]
+    out: dict[Node, tuple[bytes, int]] = {}
+    for node in reversed(order):
+        parts, size = [node.tag.encode("utf-8", "replace")], 0
+        for child in node.children:
+            if isinstance(child, str):
+                text = _SPACE.sub(" ", child).strip()
+                if text:
+                    parts.append(text.encode("utf-8", "replace"))
+                    size += len(text)
+            elif child in out:
+                parts.append(out[child][0])
+                size += out[child][1]
+        out[node] = hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), size
+    return out
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True)
+
+
+def candidates(root: Node, gone: set[Node]) -> Iterator[tuple[Node, int, int, int]]:
+    """(node, hash, kind, content) of the subtrees that may be template: with text, but not most of what they stand in.
+
+    Content is the hash of that: the page, or from an article or main on the outermost of these. The page itself comes
+    as hash PAGE, articles as ARTICLE. Inline elements amid text are no subtrees of their own."""
+    known = digests(root)
+    stack: list[tuple[Node, Node]] = [(root, root)]
+    yield root, PAGE, BLOCK, _number(known[root][0])
+    while stack:
+        node, holder = stack.pop()
+        amid = any(isinstance(c, str) and c.strip() for c in node.children)
+        for child in node.children:
+            if isinstance(child, str) or child in gone or child not in known:
+                continue
+            value, size = known[child]
+            own = holder
+            if holder is root and child.tag in ("article", "main"):
+                own = child
+                if size:
+                    yield child, ARTICLE, LAYOUT, _number(value)
+            if size and own is not child and child.tag not in ("html", "body") and (child.tag in BLOCKS or not amid) and 2 * size <= known[own][1]:
+                if own is root:
+                    kind = PART if child.tag in PARTS or child.tag not in BLOCKS else BLOCK
+                    yield child, _number(value), kind, _number(known[root][0])
+                else:
+                    kind = PASSAGE if child.tag in PARTS or child.tag in PASSAGES or child.tag not in BLOCKS else LAYOUT
+                    yield child, _number(value) ^ _INSIDE, kind, _number(known[own][0])
+            stack.append((child, own))
 
 
 def _wanted(node: Node, wanted: str) -> bool:
@@ -238,9 +278,8 @@ def main_root(root: Node, gone: set[Node]) -> list[Node]:
     return [root]
 
 
-def blocks_of(root: Node, template: frozenset[int], gone: set[Node]) -> list[str]:
-    """Texts of the blocks below root, in order, without furniture and template subtrees."""
-    hashes: dict[int, int] = {}
+def blocks_of(root: Node, gone: set[Node]) -> list[str]:
+    """Texts of the blocks below root, in order, without the nodes that are gone."""
     out: list[str] = []
     now: list[str] = []
 
@@ -250,33 +289,23 @@ def blocks_of(root: Node, template: frozenset[int], gone: set[Node]) -> list[str
         if text:
             out.append(text)
 
-    protected = root.tag in ("article", "main")
-    total = digest(root, hashes, protected)[1] if template else 0
-    doomed = {h for h, size in hashes.items() if h in template and 2 * size <= total}
-    stack: list[tuple[Node | str | None, bool]] = [(root, protected)]
+    stack: list[Node | str | None] = [root]
     while stack:
-        node, inside = stack.pop()
+        node = stack.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
             now.append(node)
-        else:
-            if node is not root and node in gone:
-                if node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED:
-                    flush()
-                continue
-            inside = inside or node.tag in ("article", "main")
-            if doomed and not inside and node is not root and digest(node, None, True)[0] in doomed:
+        elif node is not root and node in gone:
+            if node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED:
                 flush()
-                continue
-            if node.tag == "br":
-                now.append(" ")
-                continue
-            block = node.tag in BLOCKS
-            if block:
+        elif node.tag == "br":
+            now.append(" ")
+        else:
+            if node.tag in BLOCKS:
                 flush()
-                stack.append((None, inside))
-            stack += [(c, inside) for c in reversed(node.children)]
+                stack.append(None)
+            stack += reversed(node.children)
     flush()
     return out
 
@@ -284,53 +313,57 @@ def blocks_of(root: Node, template: frozenset[int], gone: set[Node]) -> list[str
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(page)
     gone = furniture(root)
-    return "\n".join(b for node in main_root(root, gone) for b in blocks_of(node, template, gone))
+    mains = main_root(root, gone)
+    if template:
+        gone |= {node for node, value, *_ in candidates(root, gone) if value in template}
+    return "\n".join(b for node in mains for b in blocks_of(node, gone))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            hosts, body, hashes = [], [], []
-            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            out: list[tuple] = []
+            for host, key, page in zip(*(part.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
                 root = parse(page or "")
-                found: dict[int, int] = {}
-                whole, size = digest(root, found, False)
-                own = [h for h, n in found.items() if 2 * n <= size] + [0]  # 0 counts the pages
-                hosts += [host] * len(own)
-                body += [whole] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(body, pa.int64())], names=["host", "hash", "body"])
+                out += [(host, key, *found) for found in {c[1:] for c in candidates(root, furniture(root))}]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "key", "hash", "kind", "body"])
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): subtrees that recur on many pages of different content of a host."""
-    rows = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(_subtrees, "host string, hash long, body long")
-    counts = rows.groupBy("host", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    recurring = counts.where((F.col("n") >= MIN_PAGES) & (F.col("hash") != 0))
-    sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return recurring.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("template"))
-
-
 def _split_hosts(source: DataFrame) -> DataFrame:
     """(host, slices): hosts with more pages than a slice holds."""
     held = max(SLICE_PAGES, -(-source.count() // MAX_SPLIT))
     return source.groupBy("host").count().where(F.col("count") > held).select("host", F.ceil(F.col("count") / held).cast("int").alias("slices"))
 
 
+def templates(source: DataFrame) -> DataFrame:
+    """(host, key, template array<long>): for each page by its host and key, which of its subtrees recur on the host."""
+    rows = source.select("host", "key", "html").mapInArrow(_subtrees, "host string, key long, hash long, kind int, body long")
+    whole = F.col("hash").isin(PAGE, ARTICLE)
+    inside = (F.col("kind") >= LAYOUT).alias("inside")
+    counts = rows.groupBy("host", "kind", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "kind", "hash").agg(F.count("*").alias("n"))
+    counts = cut(counts.where(whole | (F.col("n") >= MIN_PAGES)))
+    split = F.broadcast(_split_hosts(source))  # at most MAX_SPLIT rows
+    sizes = counts.where(whole).select("host", inside, F.col("n").alias("pages")).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    dealt = counts.where(~whole).select("*", inside).join(split, "host", "left").withColumn("slice", F.pmod("hash", F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    share = F.greatest(F.lit(MIN_PAGES), MIN_SHARE * F.col("pages"))
+    least = F.when(F.col("kind") == PART, share).when(F.col("kind") == PASSAGE, F.greatest(F.lit(MIN_ARTICLES), NEARLY_ALL * F.col("pages"))).otherwise(share)
+    recurring = cut(dealt.join(sizes, ["host", "inside", "slice"]).where(F.col("n") >= least).select("host", "kind", "hash"))
+    met = rows.where(~whole).join(recurring, ["host", "kind", "hash"])
+    return cut(met.groupBy("host", "key").agg(F.collect_set("hash").alias("template")))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for every input row.
 
     Null or empty html gives an empty text; a null address belongs to the host ''. Ids may be null; rows that repeat
     are pages of equal content and count once towards a template. Other columns are not read."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
-    split = F.broadcast(_split_hosts(source))  # at most MAX_SPLIT rows
-    dealt = source.join(split, "host", "left").withColumn("slice", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("slices", F.lit(1))).cast("int"))
-    known = templates(pages).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    joined = dealt.join(known.select("host", "slice", "template"), ["host", "slice"], "left").select("page_id", "url", "html", "template")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("key"))
+    joined = source.join(templates(source), ["host", "key"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

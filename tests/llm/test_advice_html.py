@@ -23,3 +23,11 @@ def test_articles_of_comments_stay_furniture():
 
 def test_articles_in_many_wrappers():
     assert htmltext.extract("".join(f"<div class='widget'><article><p>text {i}</p></article></div>" for i in range(5))) == "\n".join(f"text {i}" for i in range(5))
+
+
+def test_notices_in_articles_go_and_shared_passages_stay(spark):
+    notice, advert = "<div><p>Sign up for all of our letters</p></div>", "<p>Support this site today</p>"
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>Title {i}</h1>{notice}<p>{f'own{i} ' * 40}</p>{'<p>A passage that many quote</p>' if i % 2 else ''}{advert}</article>") for i in range(12)]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and not any("Sign up" in r.text or "Support" in r.text for r in got)
+    assert all(f"Title {r.page_id}" in r.text and f"own{r.page_id}" in r.text and ("many quote" in r.text) == (r.page_id % 2 == 1) for r in got)
