@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import cut, slices
 
-#: A subtree is template from this many pages of different content on, if they are this share of the host's.
-MIN_PAGES, MIN_SHARE = 4, 0.3
+#: A subtree is template from this many pages of different content on, if they are this share of the host's; a block also from ENOUGH_PAGES on, however many pages the host has.
+MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 4, 0.3, 20
 #: A passage of an article is template only from this many different articles on, if they are this share of the host's.
 MIN_ARTICLES, NEARLY_ALL = 8, 0.9
 # Kinds of subtrees: outside of articles blocks and parts of tables, lists and lines, inside them layout and passages. Hashes that count pages and articles.
@@ -351,7 +351,7 @@ def templates(source: DataFrame) -> DataFrame:
     sizes = counts.where(whole).select("host", inside, F.col("n").alias("pages")).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
     dealt = counts.where(~whole).select("*", inside).join(split, "host", "left").withColumn("slice", F.pmod("hash", F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     share = F.greatest(F.lit(MIN_PAGES), MIN_SHARE * F.col("pages"))
-    least = F.when(F.col("kind") == PART, share).when(F.col("kind") == PASSAGE, F.greatest(F.lit(MIN_ARTICLES), NEARLY_ALL * F.col("pages"))).otherwise(share)
+    least = F.when(F.col("kind") == PART, share).when(F.col("kind") == PASSAGE, F.greatest(F.lit(MIN_ARTICLES), NEARLY_ALL * F.col("pages"))).otherwise(F.least(share, F.lit(ENOUGH_PAGES)))
     recurring = cut(dealt.join(sizes, ["host", "inside", "slice"]).where(F.col("n") >= least).select("host", "kind", "hash"))
     met = rows.where(~whole).join(recurring, ["host", "kind", "hash"])
     return cut(met.groupBy("host", "key").agg(F.collect_set("hash").alias("template")))

@@ -31,3 +31,10 @@ def test_notices_in_articles_go_and_shared_passages_stay(spark):
     got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 12 and not any("Sign up" in r.text or "Support" in r.text for r in got)
     assert all(f"Title {r.page_id}" in r.text and f"own{r.page_id}" in r.text and ("many quote" in r.text) == (r.page_id % 2 == 1) for r in got)
+
+
+@pytest.mark.parametrize("url", ["http://hot.example/{}", None])
+def test_templates_of_one_layout_of_many(spark, url):
+    rows = [(i, url and url.format(i), f"<body><div>Layout {i % 5} sells all of it</div><div><p>{f'own{i} ' * 40}</p></div></body>") for i in range(300)]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 300 and all("sells" not in r.text and f"own{r.page_id}" in r.text for r in got)
