@@ -1,9 +1,10 @@
 """Toxicity scores from a learned lexicon, Levenshtein automata and context windows.
 
 Terms are learned: words, and word beginnings of four letters or more, that labelled toxic documents hold far more
-often than clean ones. They form a trie. A word is matched by walking the trie together with the Levenshtein automata of all
+often than clean ones. All the words form a trie. A word is matched by walking the trie together with the Levenshtein automata of all
 terms at once: a state is a set of (trie node, automaton row) and is built when first reached, so a misspelled term
-is found in one walk over the word and most words die after a few letters. A term's beginning matches exactly.
+is found in one walk over the word and most words die after a few letters. A term's beginning matches exactly. What a
+term weighs when misspelled is learned as well: less if what is near it also stands in clean training texts.
 
 Each hit is weighed by its context: the words around it within a window, and whether it stands in quotation marks or
 after a word that reports speech. Counts of plain, quoted and misspelled hits go into a logistic regression fitted
@@ -25,7 +26,8 @@ from curatrix.llm.common import in_sample, sample_share, slices
 
 #: At most about this many labelled rows fit the lexicon and the regression.
 TRAIN_ROWS = 20_000
-MAX_TERMS = 2_000
+#: Automaton states that are kept; beyond that they are built anew.
+MAX_STATES = 100_000
 FOLDS = 5
 WINDOW = 6
 STEM_LENGTHS = range(4, 9)
@@ -42,15 +44,16 @@ def edits(term: str) -> int:
 
 @dataclass
 class Lexicon:
-    """terms: word or, with a trailing *, word beginning -> weight. spelled: the words that are also matched misspelled."""
+    """terms: word or, with a trailing *, word beginning -> weight. spelled: the words that are also matched misspelled, with weights for that if they have some of their own."""
 
     terms: dict[str, float]
-    spelled: frozenset[str]
+    spelled: dict[str, float] | frozenset[str]
     words: list[str] = field(init=False)
     stems: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
         self.words = sorted(self.spelled)
+        self.near = self.spelled if isinstance(self.spelled, dict) else {t: self.terms[t] for t in self.spelled}
         self.stems = {t[:-1]: w for t, w in self.terms.items() if t.endswith("*")}
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
@@ -67,12 +70,15 @@ class Lexicon:
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], edits(word))
             self.term[node] = word
+        self.seen: dict[str, tuple[str, int, float] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.index: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves: list[dict[str, int]] = []
         self.best: list[tuple[str, int] | None] = []
         self.start = self._state({0: 0})
-        self.seen: dict[str, tuple[str, int, float] | None] = {}
 
     def _state(self, reached: dict[int, int]) -> int:
         """The state of trie nodes reached with so many edits, closed under letters the word leaves out."""
@@ -110,6 +116,8 @@ class Lexicon:
 
     def fuzzy(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits, and the edits; ties go to the smaller term."""
+        if len(self.states) > MAX_STATES:
+            self._begin()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -129,7 +137,7 @@ class Lexicon:
                 weight, term = max(stems)
                 found = (term, 0, weight)
         if found is None and 3 < len(word) < 40 and (near := self.fuzzy(word)):
-            found = (near[0], near[1], self.terms[near[0]])
+            found = (near[0], near[1], self.near[near[0]])
         if len(self.seen) > 300_000:
             self.seen.clear()
         self.seen[word] = found
@@ -201,6 +209,23 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _count_near(terms: dict[str, float], spelled: dict[str, float]):
+    """Texts, toxic and clean, that hold a misspelling of each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(terms, spelled)
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    hits = map(lexicon.match, set(_WORD.findall((text or "").lower())))
+                    counts[int(toxic > 0)].update({hit[0] for hit in hits if hit and hit[1]})
+        found = sorted(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([counts[k][t] for t in found], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"])
+
+    return run
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -208,7 +233,7 @@ def held_out(id_col: Column) -> Column:
 @dataclass
 class Model:
     lexicon: dict[str, float]
-    spelled: list[str]
+    spelled: dict[str, float]
     weights: list[float]
 
 
@@ -224,13 +249,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r.toxic > 0: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
-        return Model({}, [], [0.0] * len(FEATURES) + [-10.0])
+        return Model({}, {}, [0.0] * len(FEATURES) + [-10.0])
     counted = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     least = max(3, n1 // 100)
     chosen = counted.where(F.col("toxic") >= least).select("term", "toxic", lift.alias("lift")).where(F.col("lift") >= 2.0)
-    gain = F.col("toxic") * F.col("lift")
-    top = chosen.orderBy(gain.desc(), "term").limit(MAX_TERMS).collect()
+    top = chosen.orderBy("term").collect()  # at most 100 times as many as a toxic text has terms
     counts = {r.term: r.toxic for r in top}
     weights_of = {r.term: min(4.0, float(r["lift"])) / 4.0 for r in top}
     # A beginning that says little more than one whole word gives way to it; a term that a beginning covers as strongly goes.
@@ -238,12 +262,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     covered = {w[:k] + "*" for w in words for k in STEM_LENGTHS if counts.get(w[:k] + "*", 0) * 0.9 <= counts[w]}
     lexicon = {t: w for t, w in weights_of.items() if t not in covered}
     lexicon = {t: w for t, w in lexicon.items() if not any(lexicon.get(t[:k] + "*", -1.0) >= w for k in STEM_LENGTHS if k < len(t.rstrip("*")))}
-    spelled = sorted(t for t in lexicon if not t.endswith("*") and len(t) >= 5 and counts[t] >= max(5, n1 // 20))
+    # Every word can be misspelled, also one that a beginning covers.
+    spelled = {t: weights_of[t] for t in words if edits(t)}
+    near = rows.mapInArrow(_count_near(lexicon, spelled), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    for r in near.collect() if spelled else []:
+        lifted = np.log((r.toxic + 0.5) / (n1 + 1.0)) - np.log((r.clean + 0.5) / (n0 + 1.0))
+        doubt = 1.64 * np.sqrt(1 / (r.toxic + 0.5) + 1 / (r.clean + 0.5))  # the lower end of what the counts allow
+        spelled[r.term] = min(spelled[r.term], max(0.0, float(lifted - doubt)) / 4.0)
     fitted = rows.mapInArrow(_features(lexicon, spelled, ["toxic"]), "toxic int, f array<double>").toPandas() if lexicon else None
     if fitted is None or not len(fitted):
-        return Model({}, [], [0.0] * len(FEATURES) + [-10.0])
-    weights = fit_logistic(np.array(fitted["f"].tolist()), (fitted["toxic"].to_numpy() > 0).astype(float))
-    weights[3] = max(weights[3], weights[0] / 2)  # a misspelled term is never a sign of a clean text
+        return Model({}, {}, [0.0] * len(FEATURES) + [-10.0])
+    x = np.array(fitted["f"].tolist())
+    x[:, 3] = 0.0  # these rows have told what misspelled terms weigh, so they can't judge that as well
+    weights = fit_logistic(x, (fitted["toxic"].to_numpy() > 0).astype(float))
+    weights[3] = max(0.0, weights[0] / 2)  # a misspelled term is never a sign of a clean text
     # Quoted and reported hits count less than plain ones, and never for more.
     for i in (4, 5):
         weights[i] = min(weights[i], weights[0] / 2) if weights[0] > 0 else weights[i]
@@ -253,15 +285,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 _LEXICONS: dict[int, Lexicon] = {}
 
 
-def _lexicon(terms: dict[str, float], spelled: list[str]) -> Lexicon:
-    key = hash((tuple(sorted(terms.items())), tuple(spelled)))
+def _lexicon(terms: dict[str, float], spelled: dict[str, float]) -> Lexicon:
+    key = hash((tuple(sorted(terms.items())), tuple(sorted(spelled.items()))))
     if key not in _LEXICONS:
         _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(terms, frozenset(spelled))
+        _LEXICONS[key] = Lexicon(terms, spelled)
     return _LEXICONS[key]
 
 
-def _features(terms: dict[str, float], spelled: list[str], columns: list[str]):
+def _features(terms: dict[str, float], spelled: dict[str, float], columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(terms, spelled)
         for batch in batches:
