@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import cut, in_sample, sample_share, slices
+from curatrix.llm.common import cut, sample_share, slices
 
-#: About this many documents of known language fit the text models; of more languages the most frequent are taken.
-TRAIN_DOCS, MAX_LANGS = 8_000, 32
+#: About this many documents of each language fit its text model, or all it has.
+TRAIN_DOCS = 2_000
 BUCKETS = 1 << 15
 #: A text is never worth more than this many independent trigrams.
 WORTH = 60
@@ -39,26 +39,32 @@ def trigrams(text: str) -> np.ndarray:
 
 def _counts(langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         at = {name: i for i, name in enumerate(langs)}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if text and lang in at:
+                    sums.setdefault(at[lang], np.zeros(BUCKETS, np.int64))
                     sums[at[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
-        i, k = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[i, k])], names=["lang", "bucket", "n"])
+        for lang, own in sums.items():
+            k = np.nonzero(own)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang, np.int32)), pa.array(k.astype(np.int32)), pa.array(own[k])], names=["lang", "bucket", "n"])
 
     return run
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (bucket, language) from documents of known language."""
+    """All languages and their log probabilities (bucket, language) from documents of known language, a seeded sample of each."""
     known = docs.where("lang is not null and text is not null")
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    sample = known.where(in_sample(F.col("doc_id"), sample_share(known.count(), TRAIN_DOCS), 31)).select("text", "lang")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    langs = list(sizes)
     table = np.full((BUCKETS, max(1, len(langs))), 0.5)
-    for r in sample.mapInArrow(_counts(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.bucket, r.lang] += r.n
+    if langs:
+        shares = docs.sparkSession.createDataFrame([(x, sample_share(n, TRAIN_DOCS)) for x, n in sizes.items()], "lang string, share double")
+        chosen = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(1_000_000)) < F.ceil(F.col("share") * 1_000_000)
+        sample = known.join(F.broadcast(shares), "lang").where(chosen).select("text", "lang")  # a row for each language
+        for r in sample.mapInArrow(_counts(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+            table[r.bucket, r.lang] += r.n
     return langs, np.log(table / table.sum(axis=0))
 
 
@@ -139,11 +145,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("suffix", "domain", _normal(lean("mass", F.col("suffix_prior"))).alias("domain_prior"))
     priors = hosts.join(domains, ["suffix", "domain"]).select("host", F.col("mass").alias("host_mass"), "domain_prior")
 
-    rows = found.join(priors, "host")
+    table_of_said = source.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(said)], "said int, said_logs array<double>")
+    rows = found.join(priors, "host").join(F.broadcast(table_of_said), "said")  # n + 2 rows
     others = F.zip_with("host_mass", "mass", lambda h, own: F.greatest(h - own, F.lit(0.0)))
     prior = _normal(lean(others, F.col("domain_prior")))
-    table_of_said = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in said])
-    logs = F.zip_with(F.zip_with("like", prior, lambda a, p: a + F.log(p)), F.element_at(table_of_said, F.col("said") + 1), lambda a, b: a + b)
+    logs = F.zip_with(F.zip_with("like", prior, lambda a, p: a + F.log(p)), F.col("said_logs"), lambda a, b: a + b)
     posterior = _normal(F.transform("logs", lambda v: F.exp(v - F.col("top"))))
     rows = rows.withColumn("logs", logs).withColumn("top", F.array_max("logs")).withColumn("posterior", posterior)
     names = F.array(*[F.lit(x) for x in langs])
