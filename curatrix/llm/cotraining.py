@@ -1,7 +1,7 @@
 """Document quality by co-training two views.
 
 The content view sees the text alone (byte shares, repetition, word lengths), the metadata view sees length, language
-and source alone. Over several rounds each view's classifier labels the unlabelled pool and hands the documents it is
+and source alone. Over several rounds each view's classifier labels all unlabelled documents and hands the documents it is
 surest of to the other view's training set. Both are calibrated on labelled rows that neither trained on, and a
 logistic combination of the calibrated views scores every document."""
 
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import in_sample, sample_share, slices
+from curatrix.llm.common import cut, in_sample, release, sample_share, slices
 from curatrix.llm.linecrf import repeated_words
 from curatrix.llm.toxicity import fit_logistic
 
-#: Bounds of the seeded samples that fit the views: labelled rows and the unlabelled pool.
-LABELLED_ROWS, POOL_ROWS = 8_000, 8_000
+#: Bound of the seeded sample of labelled rows, and of the unlabelled rows that a view labels one way in a round.
+LABELLED_ROWS, TAKEN_ROWS = 8_000, 800
 ROUNDS, CONFIDENT, SHARE_PER_ROUND = 4, 0.95, 0.1
 LANG_BUCKETS, SOURCE_BUCKETS = 8, 32
 CONTENT = 128 + 8
@@ -86,8 +86,8 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(logit(np.stack([a, b], axis=1), self.combination))
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray]) -> Model:
-    """labelled: content, metadata and labels; every fourth row calibrates. pool: content and metadata without labels."""
+def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: DataFrame | None) -> Model:
+    """labelled: content, metadata and labels; every fourth row calibrates. pool: rid, doc_id, content and meta of all rows without labels."""
     x = labelled[:2]
     y = labelled[2].astype(float)
     held = np.arange(len(y)) % 4 == 3
@@ -95,22 +95,21 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
         even = float(y.mean()) if len(y) else 1.0
         flat = np.array([0.0, 0.0, np.log((even + 1e-3) / (1 - even + 1e-3))])
         return Model(np.zeros(CONTENT + 1), np.zeros(META + 1), (np.array([1.0, 0.0]), np.array([1.0, 0.0])), flat)
-    taught: list[dict[int, float]] = [{}, {}]  # for each view, pool rows that the other view has labelled
+    taught: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # for each view, its features of pool rows that the other view has labelled
     weights = [np.zeros(0), np.zeros(0)]
+    rows = pool.count() if pool is not None else 0
+    limit = min(TAKEN_ROWS, max(1, int(SHARE_PER_ROUND * rows)))
     for turn in range(ROUNDS + 1):
         for view in (0, 1):
-            own = np.array(sorted(taught[view]), int)
-            features = np.vstack([x[view][~held], pool[view][own]])
-            weights[view] = fit_logistic(features, np.concatenate([y[~held], [taught[view][i] for i in own]]))
-        if turn == ROUNDS or not len(pool[0]):
+            own = [taught[view][i] for i in sorted(taught[view])]
+            features = np.vstack([x[view][~held], *[f for _, f in own]])
+            weights[view] = fit_logistic(features, np.concatenate([y[~held], [label for label, _ in own]]))
+        if turn == ROUNDS or not rows:
             break
-        limit = max(1, int(SHARE_PER_ROUND * len(pool[0])))
         for view in (0, 1):
-            p = sigmoid(logit(pool[view], weights[view]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")[:limit]
-                for i in order[sure[order] >= CONFIDENT]:
-                    taught[1 - view].setdefault(int(i), label)
+            for label in (1.0, 0.0):
+                for r in _surest(pool, view, weights[view], label, limit):
+                    taught[1 - view].setdefault(r.rid, (label, np.frombuffer(r.other, np.float32).astype(float)))
     plain = [logit(x[v][held], weights[v]) for v in (0, 1)]
     calibration = tuple(fit_logistic(z[:, None], y[held], ridge=0.01) for z in plain)
     calibrated = np.stack([logit(z[:, None], c) for z, c in zip(plain, calibration, strict=True)], axis=1)
@@ -128,25 +127,42 @@ def _sampled(columns: list[str]):
     return run
 
 
+def _surest(pool: DataFrame, view: int, weights: np.ndarray, label: float, limit: int) -> list:
+    """Of the whole pool the rows that a view is surest to bear the label: rid and the other view's features."""
+    own, other = ("content", "meta") if view == 0 else ("meta", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = np.frombuffer(b"".join(batch.column("own").to_pylist()), np.float32).reshape(len(batch), len(weights) - 1)
+            p = sigmoid(logit(features, weights))
+            sure = p if label else 1 - p
+            out = pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("other"), pa.array(sure)], names=["rid", "doc_id", "other", "sure"])
+            yield out.filter(pa.array(sure >= CONFIDENT))
+
+    found = pool.select("rid", "doc_id", F.col(own).alias("own"), F.col(other).alias("other")).mapInArrow(run, "rid long, doc_id long, other binary, sure double")
+    return found.orderBy(F.desc("sure"), "doc_id", "other", "rid").limit(limit).collect()
+
+
 def _documents(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), *more)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on labelled rows and a pool of others: all of them, or seeded samples of about LABELLED_ROWS and POOL_ROWS."""
+    """Fits on labelled rows (all of them, or a seeded sample of about LABELLED_ROWS) and on what the views are surest of among all others."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    n_labelled, n_docs = usable.count(), docs.count()
-    share = sample_share(n_labelled, LABELLED_ROWS)
+    share = sample_share(usable.count(), LABELLED_ROWS)
     sample = F.broadcast(usable.where(in_sample(F.col("doc_id"), share, 21)))  # about LABELLED_ROWS rows of two integers
     picked = _documents(docs).where(in_sample(F.col("doc_id"), share, 21)).join(sample, "doc_id")
     rows = picked.select("doc_id", "quality", *DOCUMENT).mapInArrow(_sampled(["doc_id", "quality"]), "doc_id long, quality int, content binary, meta binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.content)))
-    pooled = _documents(docs).where(in_sample(F.col("doc_id"), sample_share(max(n_docs - n_labelled, 1), POOL_ROWS), 22)).join(usable.select("doc_id"), "doc_id", "left_anti")
-    others = pooled.select("doc_id", *DOCUMENT).mapInArrow(_sampled(["doc_id"]), "doc_id long, content binary, meta binary").collect()
-    others.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, bytes(r.content)))
+    # Features meet the labels and not texts, which are larger; the labels grow with the documents, so none is broadcast.
+    others = _documents(docs).select("doc_id", *DOCUMENT).mapInArrow(_sampled(["doc_id"]), "doc_id long, content binary, meta binary")
+    pool = cut(others.join(usable.select("doc_id").hint("merge"), "doc_id", "left_anti").withColumn("rid", F.monotonically_increasing_id()))
     array = lambda part, name, n: np.array([np.frombuffer(r[name], np.float32) for r in part], float).reshape(len(part), n)
     labelled = (array(rows, "content", CONTENT), array(rows, "meta", META), np.array([r.quality > 0 for r in rows], bool))
-    return co_train(labelled, (array(others, "content", CONTENT), array(others, "meta", META)))
+    model = co_train(labelled, pool)
+    release(pool)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
