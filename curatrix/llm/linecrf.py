@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from curatrix.llm import kernel
 from curatrix.llm.common import in_sample, sample_share, slices
 
-#: At most about this many labelled documents fit the field, and of their lines this many.
-TRAIN_DOCS, TRAIN_LINES = 4_000, 200_000
+#: At most about this many labelled documents fit the field, with all of their lines.
+TRAIN_DOCS = 4_000
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 CONTENT_SHARE = 0.5
 FEATURES = 12
@@ -134,41 +134,55 @@ def viterbi(unary: np.ndarray, joint: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (label 1's features, then the joint scores 00, 01, 10, 11) that maximise the labels' likelihood, by Adam on padded chains."""
-    d = FEATURES
-    w = np.zeros(d + 4)
-    if not chains:
-        w[0] = 1.0
-        return w
+def _padded(chains: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and where a line is."""
     longest = max(len(y) for _, y in chains)
-    x, y = np.zeros((len(chains), longest, d)), np.zeros((len(chains), longest), np.int64)
+    x, y = np.zeros((len(chains), longest, FEATURES)), np.zeros((len(chains), longest), np.int64)
     here = np.zeros((len(chains), longest), bool)
     for i, (f, labels) in enumerate(chains):
         x[i, : len(labels)], y[i, : len(labels)], here[i, : len(labels)] = f, labels, True
-    total = here.sum()
+    return x, y, here
+
+
+def _slope(w: np.ndarray, x: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """The gradient of the labels' log likelihood, by forward-backward."""
+    d, (n, longest) = FEATURES, y.shape
     seen = np.einsum("cld,cl->d", x, y * here)
     pairs = here[:, 1:]
     moved = np.array([((y[:, :-1] == a) & (y[:, 1:] == b) & pairs).sum() for a in (0, 1) for b in (0, 1)], float)
+    u = np.stack([np.zeros_like(here, float), x @ w[:d]], axis=-1)
+    joint = w[d:].reshape(2, 2)
+    ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    ahead[:, 0] = u[:, 0]
+    for t in range(1, longest):
+        ahead[:, t] = np.where(here[:, t, None], np.logaddexp(ahead[:, t - 1, :1] + joint[0], ahead[:, t - 1, 1:] + joint[1]) + u[:, t], ahead[:, t - 1])
+    z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = behind[:, t + 1] + u[:, t + 1]
+        behind[:, t] = np.where(here[:, t + 1, None], np.stack([np.logaddexp(nxt[:, 0] + joint[a, 0], nxt[:, 1] + joint[a, 1]) for a in (0, 1)], axis=-1), 0)
+    p1 = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None]) * here
+    expected = np.zeros(4)
+    for a in (0, 1):
+        for b in (0, 1):
+            q = ahead[:, :-1, a] + joint[a, b] + u[:, 1:, b] + behind[:, 1:, b] - z[:, None]
+            expected[2 * a + b] = np.exp(np.where(pairs, q, -np.inf)).sum()
+    return np.concatenate([seen - np.einsum("cld,cl->d", x, p1), moved - expected])
+
+
+def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (label 1's features, then the joint scores 00, 01, 10, 11) that maximise the labels' likelihood, by Adam on whole chains, padded to those of about their length."""
+    w = np.zeros(FEATURES + 4)
+    if not chains:
+        w[0] = 1.0
+        return w
+    groups: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for chain in chains:
+        groups.setdefault(len(chain[1]).bit_length(), []).append(chain)
+    buckets = [_padded(groups[k]) for k in sorted(groups)]
+    total = sum(here.sum() for _, _, here in buckets)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        u = np.stack([np.zeros_like(here, float), x @ w[:d]], axis=-1)
-        joint = w[d:].reshape(2, 2)
-        ahead, behind = np.zeros((len(chains), longest, 2)), np.zeros((len(chains), longest, 2))
-        ahead[:, 0] = u[:, 0]
-        for t in range(1, longest):
-            ahead[:, t] = np.where(here[:, t, None], np.logaddexp(ahead[:, t - 1, :1] + joint[0], ahead[:, t - 1, 1:] + joint[1]) + u[:, t], ahead[:, t - 1])
-        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = behind[:, t + 1] + u[:, t + 1]
-            behind[:, t] = np.where(here[:, t + 1, None], np.stack([np.logaddexp(nxt[:, 0] + joint[a, 0], nxt[:, 1] + joint[a, 1]) for a in (0, 1)], axis=-1), 0)
-        p1 = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None]) * here
-        expected = np.zeros(4)
-        for a in (0, 1):
-            for b in (0, 1):
-                q = ahead[:, :-1, a] + joint[a, b] + u[:, 1:, b] + behind[:, 1:, b] - z[:, None]
-                expected[2 * a + b] = np.exp(np.where(pairs, q, -np.inf)).sum()
-        gradient = np.concatenate([seen - np.einsum("cld,cl->d", x, p1), moved - expected]) / total - ridge * w
+        gradient = sum(_slope(w, *bucket) for bucket in buckets) / total - ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
@@ -191,28 +205,22 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             own = Batch(part.column("text"))
             low = part.column("quality").to_numpy(zero_copy_only=False) == 0
-            rows = [own.features[a:b][:100].ravel().tolist() for a, b in zip(own.lines[:-1], own.lines[1:], strict=True)]
-            labels = [(~(own.repeats[a:b] | low[i]))[:100].astype(int).tolist() for i, (a, b) in enumerate(zip(own.lines[:-1], own.lines[1:], strict=True))]
+            rows = [own.features[a:b].ravel().tolist() for a, b in zip(own.lines[:-1], own.lines[1:], strict=True)]
+            labels = [(~(own.repeats[a:b] | low[i])).astype(int).tolist() for i, (a, b) in enumerate(zip(own.lines[:-1], own.lines[1:], strict=True))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.list_(pa.int64()))], names=["doc_id", "f", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The field's weights from documents with a quality label: all, or a seeded sample of about TRAIN_DOCS.
 
-    Chains that fit the field are up to 100 lines long; decoding has no such bound. Without labels every line is content."""
+    Chains are whole texts. Without labels every line is content."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     share = sample_share(usable.count(), TRAIN_DOCS)
     sample = F.broadcast(usable.where(in_sample(F.col("doc_id"), share, 5)))  # about TRAIN_DOCS rows of two integers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(in_sample(F.col("doc_id"), share, 5)).join(sample, "doc_id")
     found = rows.mapInArrow(_training, "doc_id long, f array<double>, y array<long>").where("size(y) > 0").collect()
     found.sort(key=lambda r: (r.doc_id, len(r.y)))
-    chains, lines = [], 0
-    for r in found:
-        lines += len(r.y)
-        if lines > TRAIN_LINES:
-            break
-        chains.append((np.array(r.f).reshape(-1, FEATURES), np.array(r.y)))
-    return fit(chains)
+    return fit([(np.array(r.f).reshape(-1, FEATURES), np.array(r.y)) for r in found])
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from curatrix.llm import cotraining
+from curatrix.llm import cotraining, linecrf
 
 
 def test_the_surest_rows_come_from_the_whole_table(spark, monkeypatch):
@@ -16,3 +16,12 @@ def test_the_surest_rows_come_from_the_whole_table(spark, monkeypatch):
     assert seen == [n - 200] * (4 * cotraining.ROUNDS)
     scored = cotraining.score(words, model).collect()
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 3 == 0) for r in scored]) == 1
+
+
+def test_chains_are_whole_texts(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {i} {k} of a long text" for k in range(150 + i)), i % 2) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = []
+    monkeypatch.setattr(linecrf, "fit", lambda chains: got.extend(chains))
+    linecrf.train(frame.where("doc_id % 5 = 0"), frame)
+    assert [len(y) for _, y in got] == [150 + i for i in range(0, 1500, 5)] and all(len(f) == len(y) for f, y in got)
