@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import cotraining, mixing, neardup, sentencepiece, toxicity
-from curatrix.llm.common import read, shared_folder
+from curatrix.llm.common import cut, read, shared_folder
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,9 +29,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest id."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(DOCUMENT).join(gone, "doc_id", "left_anti").select(DOCUMENT)
+    """One row of each near-duplicate group stays: the one of the smallest id. Rows without an id, or that share one, are rows of their own."""
+    rows = cut(docs.select(DOCUMENT).withColumn("row", F.monotonically_increasing_id()))
+    groups = neardup.near_duplicates(rows.select("row", "text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(least.alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
