@@ -2,12 +2,18 @@
 
 One pass over the texts gives each row the hash of its whole shingle set, band keys from a MinHash signature and an
 odd sketch: the signature's samples folded into a parity bitmap. Rows with equal sets become one class before
-anything is compared, so thousands of copies cost one row. Classes that share a band key are linked to that bucket's
-hub, not to each other; the XOR population count of two sketches estimates the similarity and discards unlikely
-pairs; what remains is confirmed on the full sets of both texts, each class with its likeliest partner first.
-Buckets that then still hold several components connect texts to blobs. In a blob every text outside the largest
-component is compared with all others, block by block inside tasks and without emitting pairs, so no pair that shares a band and
-could join two components is left out.
+anything is compared, so thousands of copies cost one row. Classes that share a band key meet in three steps; in each
+the XOR population count of two sketches estimates the similarity and discards unlikely pairs, and what remains is
+confirmed on the full sets of both texts:
+
+1. each class with the likeliest of its buckets' hubs, 2. with its other hubs, unless links connect them by then,
+3. in buckets whose other members then still belong to several components, all members outside the largest component
+with all members, in blocks inside tasks. Sketches meet first; only texts of a block that some sketch there calls
+likely are moved to it, and a task counts shared shingles and emits links, never pairs. A pair meets in the first
+band that it shares.
+
+Texts travel to units of work of bounded size: a hub with some of its bucket, or two blocks. A fixed-size bitmap of the
+texts that a step needs keeps all others out of its shuffle.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no band with probability 3e-6. The sketch threshold lies
 more than six standard deviations below 0.8."""
@@ -34,8 +40,10 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _CHUNK = 4096
-#: Shingles in a block of texts that meets another.
-BLOCK_SHINGLES = 1 << 20
+#: A block of texts that meets another holds about so many shingles and rows at most; tasks take about GROUP_SHINGLES at a time.
+BLOCK_SHINGLES, BLOCK_ROWS, GROUP_SHINGLES, GROUP_ROWS = 1 << 20, 4096, 1 << 18, 1 << 14
+#: 64-bit words of the bitmap of needed texts: what bounds its broadcast.
+BITMAP_WORDS = 1 << 20
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
@@ -78,7 +86,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(k: int):
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    fields = [("v", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]
     schema = pa.schema(fields + [(s, pa.int64()) for s in _SKETCH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,36 +103,13 @@ def _signatures(k: int):
                         sig = signature(own)
                         keys[i], sketches[i] = band_keys(sig), odd_sketch(sig)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_signed(keys).ravel()))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(_signed(h1)), pa.array(_signed(h2)), bands]
+                columns = [part.column("v"), part.column("doc_id"), pa.array(counts), pa.array(_signed(h1)), pa.array(_signed(h2)), bands]
                 columns += [pa.array(_signed(sketches[:, i])) for i in range(SKETCH_LONGS)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _confirm(k: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}  # hubs come again and again; a few are kept
-        for batch in batches:
-            for part in slices(batch, "text_b", 1 << 19):
-                ids_a = part.column("a").to_pylist()
-                right = list(kernel.shingle_sets(part.column("text_b"), k))
-                keep = []
-                for i, (a, other) in enumerate(zip(ids_a, right, strict=True)):
-                    if a not in known:
-                        if len(known) >= 16:
-                            known.pop(next(iter(known)))
-                        known[a] = next(kernel.shingle_sets(part.column("text_a").slice(i, 1), k))
-                    own = known[a]
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    keep.append(100 * shared >= percent * (len(own) + len(other) - shared) > 0)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex of edges (a, b): least vertex reachable, by neighbour minima and pointer jumping; every round is cut to the shared folder."""
     both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a"))).distinct())
@@ -148,96 +133,155 @@ def _bits_apart() -> Column:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that set sizes and sketches leave possible, with the bits their sketches differ in."""
+    """Pairs that set sizes and sketches leave possible, with both sizes and the bits their sketches differ in."""
     for side in ("a", "b"):
-        own = classes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SKETCH])
+        own = classes.select(F.col("v").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SKETCH])
         pairs = pairs.join(own, side)
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     apart = _bits_apart()
-    return pairs.where(fits & (apart <= _differing_bits(percent / 100 - SLACK))).select("a", "b", apart.alias("apart"))
+    return pairs.where(fits & (apart <= _differing_bits(percent / 100 - SLACK))).select("a", "b", "a_n", "b_n", apart.alias("apart"))
+
+
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = np.flatnonzero(np.diff(sorted_keys)) + 1
+    bounds = [0, *edges.tolist(), len(sorted_keys)]
+    return zip(bounds[:-1], bounds[1:], strict=True)
+
+
+def _partners(strays: np.ndarray, members: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions of strays and of members) that sizes and sketches leave possible, a few strays at a time."""
+    most = _differing_bits(percent / 100 - SLACK)
+    strays, members = strays[np.argsort(sizes[strays], kind="stable")], members[np.argsort(sizes[members], kind="stable")]
+    held = sizes[members]
+    for i in range(0, len(strays), 64):
+        some = strays[i : i + 64]
+        low = np.searchsorted(held, -(-int(sizes[some[0]]) * percent // 100))
+        high = np.searchsorted(held, int(sizes[some[-1]]) * 100 // percent, "right")
+        near = members[low:high]
+        if not len(near):
+            continue
+        apart = np.zeros((len(some), len(near)), np.uint16)
+        for word in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[some, word][:, None] ^ sketches[near, word])
+        x, y = np.nonzero(apart <= most)
+        x, y = some[x], near[y]
+        fits = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        yield x[fits], y[fits]
+
+
+def _flag(percent: int):
+    """Of each unit the rows that some sketch of another component calls likely, if this unit's band is the first that both share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("unit").to_numpy(), kind="stable")).combine_chunks()
+        c, band, stray, sizes = (table.column(x).to_numpy() for x in ("c", "band", "stray", "n_shingles"))
+        sketches = np.stack([table.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)
+        bands = table.column("bands").chunk(0).flatten().to_numpy().reshape(len(table), BANDS) if len(table) else np.zeros((0, BANDS), np.int32)
+        short = band.astype(np.int32)
+        flagged = np.zeros(len(table), bool)
+        for start, end in _runs(table.column("unit").to_numpy()) if len(table) else ():
+            rows = np.arange(start, end)
+            for x, y in _partners(rows[stray[start:end]], rows[~stray[start:end]], sizes, sketches, percent):
+                other = c[x] != c[y]
+                x, y = x[other], y[other]
+                first = (bands[x] == bands[y]).argmax(axis=1)
+                here = bands[x, first] == short[x]
+                flagged[x[here]] = flagged[y[here]] = True
+        return table.select(["unit", "stray", "v", "c", "n_shingles"]).filter(pa.array(flagged))
 
+    return run
 
-def _cross(shingle: int, percent: int):
-    """Links between strays and members of other components of one pair of blocks: for each stray and component the smallest partner."""
 
-    def run(strays: pa.Table, members: pa.Table) -> pa.Table:
+def _confirm(k: int, percent: int):
+    """Links within units between strays and members of other components: for each stray and component the smallest partner."""
+
+    def run(table: pa.Table) -> pa.Table:
         a_out: list[int] = []
         b_out: list[int] = []
-        if len(strays) and len(members):
-            ids, own = members.column("doc_id").to_numpy(), members.column("c").to_numpy()
-            sets = list(kernel.shingle_sets(members.column("text").combine_chunks(), shingle))
-            sizes = np.array([len(x) for x in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for stray, c, mine in zip(strays.column("stray_doc_id").to_pylist(), strays.column("stray_c").to_pylist(), kernel.shingle_sets(strays.column("stray_text").combine_chunks(), shingle), strict=True):
-                low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
-                n = high - low
-                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(sets))
-                hits = np.flatnonzero((100 * both >= percent * (sizes + len(mine) - both)) & (own != c))
-                hits = hits[np.lexsort((ids[hits], own[hits]))]
-                first = np.concatenate([[True], own[hits][1:] != own[hits][:-1]]) if len(hits) else np.zeros(0, bool)
-                b_out += ids[hits[first]].tolist()
-                a_out += [stray] * int(first.sum())
+        if len(table):
+            table = table.take(np.argsort(table.column("unit").to_numpy(), kind="stable")).combine_chunks()
+            v, c, stray = (table.column(x).to_numpy() for x in ("v", "c", "stray"))
+            _, first, which = np.unique(v, return_index=True, return_inverse=True)
+            texts = table.select(["text"]).take(first).combine_chunks().to_batches()[0]
+            sets = [own for part in slices(texts, "text") for own in kernel.shingle_sets(part.column("text"), k)]
+            for start, end in _runs(table.column("unit").to_numpy()):
+                rows = np.arange(start, end)
+                strays, members = rows[stray[start:end]], rows[~stray[start:end]]
+                if not len(strays) or not len(members):
+                    continue
+                own = [sets[which[i]] for i in members]
+                sizes = np.array([len(x) for x in own])
+                flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+                if len(own) > 1:
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], owner[order]
+                for i in strays:
+                    mine = sets[which[i]]
+                    low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+                    n = high - low
+                    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(own))
+                    hits = members[(100 * both >= percent * (sizes + len(mine) - both)) & (c[members] != c[i])]
+                    hits = hits[np.lexsort((v[hits], c[hits]))]
+                    least = hits[np.flatnonzero(np.diff(c[hits], prepend=c[hits[0]] - 1 if len(hits) else 0))] if len(hits) else hits
+                    b_out += v[least].tolist()
+                    a_out += [int(v[i])] * len(least)
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return run
 
 
-def _strays_met(docs: DataFrame, blobs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
-    """Links between members of different components of a blob, a set of texts that open buckets connect.
-
-    All texts outside a blob's largest component meet all of its texts, in blocks of about BLOCK_SHINGLES shingles on
-    either side; counting shared shingles within a pair of blocks emits links only, never pairs."""
-    placed = docs.join(blobs.select(F.col("v").alias("doc_id"), F.col("component").alias("blob")), "doc_id").join(classes.select("doc_id", "n_shingles"), "doc_id")
-    placed = cut(placed)
-    largest = placed.groupBy("blob", "c").count().groupBy("blob").agg(F.max(F.struct("count", "c")).alias("top")).select("blob", F.col("top.c").alias("main"))
-    placed = placed.join(largest, "blob").withColumn("stray", F.col("c") != F.col("main"))
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    plan = placed.groupBy("blob").agg(blocks(F.sum("n_shingles")).alias("m_blocks"), blocks(F.sum(F.when(F.col("stray"), F.col("n_shingles")).otherwise(0))).alias("s_blocks"))
-    own = texts.join(placed.select("doc_id"), "doc_id", "left_semi")
-    own = own.groupBy("doc_id").agg(F.first("text").alias("text")) if repeated else own
-    rows = placed.join(plan, "blob").join(own, "doc_id")
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.withColumn("m", block("m_blocks")).withColumn("s", each("s_blocks")).select("blob", "m", "s", "doc_id", "c", "text")
-    strays = rows.where("stray").withColumn("s", block("s_blocks")).withColumn("m", each("m_blocks"))
-    strays = strays.select(*[F.col(x).alias(f"stray_{x}") for x in ("blob", "m", "s", "doc_id", "c", "text")])
-    keys = ["blob", "m", "s"]
-    return cut(strays.groupBy(*[f"stray_{x}" for x in keys]).cogroup(members.groupBy(*keys)).applyInArrow(_cross(shingle, percent), "a long, b long"))
+def _needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The texts whose place in a bitmap of BITMAP_WORDS words some needed v has: all that are needed, and few others."""
+    placed = lambda df: df.withColumn("place", F.xxhash64("v")).withColumn("word", F.expr(f"cast(pmod(shiftright(place, 6), {BITMAP_WORDS}) as int)")).withColumn("bit", F.expr("cast(place & 63 as int)")).drop("place")
+    words = placed(needed.select("v")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return placed(texts).join(F.broadcast(words), "word").where("shiftright(bits, bit) & 1 = 1").drop("word", "bit", "bits")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for every input row.
 
     Rows are linked if their sets of distinct `shingle`-word shingles have 100 * intersection >= percent * union.
-    Null and empty texts have an empty set and link with nothing. Rows that repeat an id keep that id's verdict.
-    A null id takes no part: component_id is null and the row is kept. Other columns are not read."""
+    Null and empty texts have an empty set and link with nothing. Rows that repeat an id are rows of their own, each
+    linked by its own text. A null id takes no part: component_id is null and the row is kept. Whole texts count,
+    however long. Other columns are not read."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
-    rows = cut(source.mapInArrow(_signatures(shingle), schema))
+    repeated = source.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    source = source.withColumn("v", F.xxhash64("doc_id", "text") if repeated else F.col("doc_id"))
+    schema = "v long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+    rows = cut(source.select("v", "doc_id", "text").mapInArrow(_signatures(shingle), schema))
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-    classes = cut(sets.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]))
-    members = classes.select("doc_id", F.explode("bands").alias("band"))
-    # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
+    classes = cut(sets.agg(F.min(F.struct("doc_id", "v")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]).select("h1", "h2", "least.doc_id", "least.v", "n_shingles", "bands", *_SKETCH))
+    members = classes.select("v", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    central = cut(members.join(sizes, "band").groupBy("doc_id").agg(F.sum("n").alias("weight")))
-    shared = members.join(central, "doc_id")
-    hubs = shared.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "doc_id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", F.col("hub.doc_id").alias("hub"))
-    buckets = cut(members.join(hubs, "band"))
-    stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = cut(_likely(stars, classes, percent))
-
-    texts = source.where("doc_id is not null")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets pass; only texts that some pair needs are moved."""
-        pairs = pairs.select("a", "b")
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        own = texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")) if repeated else texts.join(needed, "doc_id", "left_semi")
-        left, right = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"))
+    shared = cut(members.join(sizes, "band"))
+    # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
+    central = shared.groupBy("v").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(central, "v").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "v")).alias("hub")).select("band", F.col("hub.v").alias("hub"))
+    buckets = cut(shared.join(hubs, "band").where("v <> hub").select("band", "v", "hub"))
+    release(shared)
+    likely = cut(_likely(buckets.select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), classes, percent))
+
+    texts = source.where("doc_id is not null").select("v", "text")
+
+    def confirmed(placed: DataFrame) -> DataFrame:
+        """Links (a, b) that units (unit, stray, v, c, n_shingles) hold; each text travels once to each of its units."""
+        own = _needed(texts, placed)
+        own = own.groupBy("v").agg(F.first("text").alias("text")) if repeated else own
+        groups = -(-(placed.agg(F.sum("n_shingles")).first()[0] or 1) // GROUP_SHINGLES)
+        met = placed.join(own, "v").withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)))
+        return cut(met.select("g", "unit", "stray", "v", "c", "text").groupBy("g").applyInArrow(_confirm(shingle, percent), "a long, b long"))
+
+    def confirmed_pairs(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, a_n, b_n) that pass: units are a hub and a block of those that it is to meet."""
+        blocks = pairs.groupBy("a").agg(F.ceil(F.sum("b_n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+        pairs = pairs.join(blocks, "a", "left").withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))))
+        unit = lambda stray, x: pairs.select("unit", F.lit(stray).alias("stray"), F.col(x).alias("v"), F.col(x).alias("c"), F.col(f"{x}_n").alias("n_shingles"))
+        placed = cut(unit(True, "b").union(unit(False, "a").distinct()))
+        links = confirmed(placed)
+        release(placed)
+        return links
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends lie in different components."""
@@ -245,34 +289,55 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pairs = pairs.join(labels.select(F.col("v").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
         return pairs.where(~F.coalesce("a_c", "a").eqNullSafe(F.coalesce("b_c", "b")))
 
-    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    edges = confirmed(best)
+    edges = confirmed_pairs(likely.join(best, ["a", "b"]))
     labels = components(edges)
-    release(central)
 
-    rest = cut(apart(likely.join(best, ["a", "b"], "left_anti"), labels).select("a", "b"))
+    rest = cut(apart(likely.join(best, ["a", "b"], "left_anti"), labels).select("a", "b", "a_n", "b_n"))
     if rest.limit(1).count():
-        more = confirmed(rest)
+        more = confirmed_pairs(rest)
         if more.limit(1).count():
             edges = edges.union(more)
             labels = components(edges)
-
     release(rest, likely)
-    # Buckets that still hold several components: their strays meet all members that buckets connect them with.
-    placed = buckets.select("band", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("doc_id").alias("a")).where("low < high").select("band", "a")
-    open_buckets = cut(placed.join(mixed, "band").select("a", "doc_id", "c"))
-    if open_buckets.limit(1).count():
-        blobs = components(open_buckets.select("a", F.col("doc_id").alias("b")))
-        more = _strays_met(open_buckets.select("doc_id", "c").distinct(), blobs, classes, texts, shingle, percent, repeated)
-        if more.limit(1).count():
-            labels = components(edges.union(more))
-        release(blobs, more)
-    release(buckets, open_buckets, edges)
 
-    found = classes.select("h1", "h2", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-    found = found.select("h1", "h2", F.coalesce("component", "doc_id").alias("class_id"))
+    # Every member has met its hub. Buckets whose other members belong to several components are still open.
+    placed = buckets.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("component", "v").alias("c"))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    opened = cut(placed.join(mixed, "band"))
+    if opened.limit(1).count():
+        met = cut(_opened_units(opened, classes).groupBy("g").applyInArrow(_flag(percent), "unit long, stray boolean, v long, c long, n_shingles long"))
+        if met.limit(1).count():
+            more = confirmed(met)
+            if more.limit(1).count():
+                labels = components(edges.union(more))
+            release(more)
+        release(met)
+    release(buckets, opened, edges)
+
+    found = classes.select("h1", "h2", "doc_id", "v").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    if repeated:  # components go by v and not by id
+        least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+        found = found.join(least, "component")
+    else:
+        found = found.withColumn("class_id", F.col("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
+    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(found.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _opened_units(opened: DataFrame, classes: DataFrame) -> DataFrame:
+    """opened (band, v, c) as units for _flag: blocks of a bucket's members against blocks of those outside its largest component, in groups g of about GROUP_ROWS rows."""
+    own = classes.select("v", "n_shingles", F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int")).alias("bands"), *_SKETCH)
+    per_component = opened.join(classes.select("v", "n_shingles"), "v").groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    plan = per_component.groupBy("band").agg(F.max(F.struct("n", "size", "c")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    plan = cut(plan.select("band", F.col("main.c").alias("main"), blocks(F.col("n"), F.col("size")).alias("m_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("s_blocks"), "n"))
+    groups = -(-plan.agg(F.sum(F.col("n") * (F.col("s_blocks") + F.col("m_blocks")))).first()[0] // GROUP_ROWS)
+    block = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = opened.join(plan.drop("n"), "band")
+    members = dealt.withColumn("m", block("m_blocks")).withColumn("s", each("s_blocks")).withColumn("stray", F.lit(False))
+    strays = dealt.where("c <> main").withColumn("s", block("s_blocks")).withColumn("m", each("m_blocks")).withColumn("stray", F.lit(True))
+    units = members.unionByName(strays).select("band", "stray", "v", "c", F.xxhash64("band", "m", "s").alias("unit"))
+    return units.join(own, "v").withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups))).select("g", "unit", "band", "stray", "v", "c", "n_shingles", "bands", *_SKETCH)

@@ -1,9 +1,11 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import Row
 
+from curatrix.llm import neardup
 from curatrix.llm.neardup import near_duplicates
 
 SF = "/root/testdata/sf0.01"
@@ -70,3 +72,44 @@ def test_chain_of_near_copies_in_one_bucket_is_one_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, shingle=4).collect()}
     assert got == brute(rows, 4)
+
+
+def test_rows_that_repeat_an_id_keep_their_own_links(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " q"), (3, text("a") + " q"), (4, text("c")), (4, text("c")), (7, text("d")), (7, text("d") + " q")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (7, 7, True), (7, 7, True)]
+
+
+def percolating(n):
+    """Texts that share a passage, so that most buckets hold unlike texts; some are near copies of each other, none of its bucket's hub."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((len(rows), " ".join(passage + own)))
+        if i % 20 == 0:
+            for k in range(3):
+                rows.append((len(rows), " ".join(passage + own[: 55 + k] + ["x"])))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [(1 << 20, 4096), (3000, 16)])
+def test_percolating_buckets_lose_no_link(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks[0])
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", blocks[1])
+    met, flag = [], neardup._opened_units
+    monkeypatch.setattr(neardup, "_opened_units", lambda opened, classes: met.append(opened.count()) or flag(opened, classes))
+    rows = percolating(300)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == brute(rows, 4) and met and met[0] > 500
+
+
+def test_hubs_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 700)
+    base = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(base[: i % 90] + [f"x{i}"] + base[i % 90 + 1 :])) for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5)
