@@ -1,9 +1,13 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-Each page is parsed into a tree. The first pass hashes the subtrees that no tag, role or name calls furniture and
-counts, per host, on how many pages of different content each recurs, and inside articles in how many different
-articles; what recurs is template. The second pass deletes those subtrees and the furniture, and writes the blocks of
-what is left.
+One pass parses each page into a tree, hashes its subtrees and writes the page's text in pieces, each with the hashes
+of the subtrees that hold it. Hashes are counted per host: on how many pages of different content each recurs, and
+inside articles in how many different articles; what recurs is template. A last step drops the pieces that stand in
+template and joins the others to blocks, so no page is parsed twice and its markup is never moved.
+
+A subtree is hashed with its text. What stands outside of the main text, be it called furniture by tag, role or class
+or made of links, is also hashed by its shape alone: tags and names, like neighbours folded. So menus, adverts and footers recur
+whose words differ from page to page. What names call furniture goes even if it doesn't recur, as on hosts of few pages.
 
 Blocks (and inside articles whole divs, sections, lists and tables) recur by a count that stops growing with the host.
 Parts of lists, tables and lines outside of articles, which recur by chance on a large host, need a share of its pages;
@@ -16,6 +20,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,11 +32,13 @@ from curatrix.llm.common import cut, slices
 MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 4, 0.3, 20
 #: A passage of an article is template only from this many different articles on, if they are this share of the host's.
 MIN_ARTICLES, NEARLY_ALL = 8, 0.9
-# Kinds of subtrees: outside of articles blocks and parts of tables, lists and lines, inside them layout and passages. Hashes that count pages and articles.
-BLOCK, PART, LAYOUT, PASSAGE = range(4)
+# Kinds of subtrees: outside of articles blocks, parts of tables, lists and lines, and shapes; inside them layout and passages. Hashes that count pages and articles.
+BLOCK, PART, SHAPE, LAYOUT, PASSAGE = range(5)
 PAGE, ARTICLE = 0, 1
 #: A subtree's hash inside an article is another than outside.
 _INSIDE = 0x2545F4914F6CDD1D
+#: Elements deeper than this become siblings, as in browsers; their text stays.
+MAX_DEPTH = 512
 #: A host is split from this many pages on; in large tables from a MAX_SPLIT-th of all pages, so at most MAX_SPLIT hosts are.
 SLICE_PAGES, MAX_SPLIT = 256, 20_000
 # Elements of HTML by what they do.
@@ -40,6 +47,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes plainte
 DROPPED = frozenset("head title script style noscript template iframe object embed svg math canvas audio video form button select option textarea input nav footer aside dialog menu noembed noframes".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+# Chosen here: words in class names and ids, and roles, that call an element furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related respond reply replies search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert".split())
 #: Of these, what stays furniture even with most of a page's text, unless it holds the h1.
@@ -47,7 +55,9 @@ FIRM = frozenset("ad ads advert adverts advertisement advertising comment commen
 _WITH = re.compile(r"\b(?:no|has|with|without)[-_]\w+")
 PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li summary tbody td tfoot th thead tr".split())
 PASSAGES = frozenset("blockquote p pre".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?=/?[A-Za-z]|[!?])")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOPS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -65,54 +75,112 @@ class Node:
         return " ".join(a or b or c for name, a, b, c in _ATTRIBUTE.findall(self.attributes) if name.lower() in names)
 
 
-def parse(page: str) -> Node:
-    """A tree of elements and texts; unclosed and stray tags are put right as browsers do in the common cases."""
-    root = at = Node("#root")
-    place, end = 0, len(page)
+def _tag_end(page: str, place: int) -> int:
+    """The place of the > that ends a tag, outside of quotes; a quote that never closes is a letter. -1: none."""
+    while found := _STOPS.search(page, place):
+        place = found.end()
+        if found[0] == ">":
+            return found.start()
+        close = page.find(found[0], place)
+        place = close + 1 if close >= 0 else place
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, content) in order: text, open (with attributes), close, raw (what stands in a script or the like).
+
+    One walk over the page, whatever its markup: a construct that never ends makes what follows text."""
+    place, end, last, quotes, lower = 0, len(page), page.rfind(">"), True, None
     while place < end:
-        found = _TOKEN.search(page, place)
-        if not found:
-            at.children.append(page[place:])
+        opens = _OPENS.search(page, place)
+        at = opens.start() if opens else end
+        if at > last:
             break
-        if found.start() > place:
-            at.children.append(page[place : found.start()])
-        place = found.end()
-        if not found[2]:
-            if found[0].startswith("<![CDATA["):
-                at.children.append(found[0][9:-3])
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html", "article", "main", "section", "div"):
-                    up = root
+        if at > place:
+            yield "text", "", page[place:at]
+        found = _TAG.match(page, at)
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            place = close + 3 if close >= 0 else end
+        elif page.startswith("<![CDATA[", at) and (close := page.find("]]>", at)) >= 0:
+            yield "text", "", page[at + 9 : close]
+            place = close + 3
+        elif page.startswith(("<!", "<?"), at):
+            place = page.find(">", at) + 1
+        else:
+            close = _tag_end(page, found.end()) if quotes else -1
+            if close < 0:  # all that is left stands in quotes: they mean nothing from here on
+                quotes, close = False, page.find(">", found.end())
+                if close < 0:
+                    place = at
                     break
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            tag, attributes, place = found[2].lower(), page[found.end() : close], close + 1
+            if found[1]:
+                yield "close", tag, ""
+                continue
+            yield "open", tag, attributes
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
+                yield "raw", tag, page[place : close.start() if close else end]
+                place = close.end() if close else end
+    if place < end:
+        yield "text", "", page[place:]
+
+
+_SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "li": ("li",), "option": ("option",)}
+_LISTS = frozenset("ul ol dl table tbody thead tfoot select div section article".split())
+_LEAVE_CELLS = frozenset("table tr tbody thead tfoot td th body html article main section div".split())
+
+
+def parse(page: str) -> Node:
+    """A tree of elements and texts; unclosed and stray tags are put right as browsers do in the common cases."""
+    root = Node("#root")
+    stack = [root]
+    held: dict[str, int] = {}  # open elements by tag
+    flat: dict[str, int] = {}  # open elements that were too deep for the tree
+
+    def leave(depth: int) -> None:
+        for node in stack[depth:]:
+            held[node.tag] -= 1
+        del stack[depth:]
+
+    for kind, tag, content in tokens(page):
+        if kind in ("text", "raw"):
+            (stack[-1] if kind == "text" else stack[-1].children[-1]).children.append(content)
             continue
-        if tag in CLOSES_P:
-            up = at
-            while up.tag not in BLOCKS and up is not root:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,))
-            up = at
-            while up is not root and up.tag not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "section", "article"):
-                if up.tag in same:
-                    at = up.parent
-                up = up.parent
-        node = Node(tag, found[3], at)
-        at.children.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-            node.children.append(page[place : close.start() if close else end])
-            place = close.end() if close else end
-        elif tag not in VOID and not found[3].endswith("/"):
-            at = node
+        if kind == "close":
+            if flat.get(tag):
+                flat[tag] -= 1
+            elif held.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        leave(i)
+                        break
+                    if stack[i].tag in ("td", "th", "table") and tag not in _LEAVE_CELLS:
+                        break
+            continue
+        if tag in CLOSES_P and held.get("p"):
+            i = len(stack) - 1
+            while i and stack[i].tag not in BLOCKS:
+                i -= 1
+            if stack[i].tag == "p":
+                leave(i)
+        elif tag in _SAME and any(held.get(x) for x in _SAME[tag]):
+            i = to = len(stack) - 1
+            to += 1
+            while i and stack[i].tag not in _LISTS:
+                if stack[i].tag in _SAME[tag]:
+                    to = i
+                i -= 1
+            leave(to)
+        node = Node(tag, content, stack[-1])
+        stack[-1].children.append(node)
+        if tag not in RAW and tag not in VOID and not content.endswith("/"):
+            if len(stack) <= MAX_DEPTH:
+                stack.append(node)
+                held[tag] = held.get(tag, 0) + 1
+            else:
+                flat[tag] = flat.get(tag, 0) + 1
     return root
 
 
@@ -229,12 +297,11 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
-def candidates(root: Node, gone: set[Node]) -> Iterator[tuple[Node, int, int, int]]:
+def candidates(root: Node, gone: set[Node], known: dict[Node, tuple[bytes, int]]) -> Iterator[tuple[Node, int, int, int]]:
     """(node, hash, kind, content) of the subtrees that may be template: with text, but not most of what they stand in.
 
     Content is the hash of that: the page, or from an article or main on the outermost of these. The page itself comes
     as hash PAGE, articles as ARTICLE. Inline elements amid text are no subtrees of their own."""
-    known = digests(root)
     stack: list[tuple[Node, Node]] = [(root, root)]
     yield root, PAGE, BLOCK, _number(known[root][0])
     while stack:
@@ -278,10 +345,126 @@ def main_root(root: Node, gone: set[Node]) -> list[Node]:
     return [root]
 
 
-def blocks_of(root: Node, gone: set[Node]) -> list[str]:
-    """Texts of the blocks below root, in order, without the nodes that are gone."""
+def content_root(root: Node, known: dict[Node, tuple[bytes, int]], gone: set[Node]) -> Node:
+    """The deepest element with more than half of the page's text."""
+    node = root
+    while True:
+        inner = [c for c in node.children if isinstance(c, Node) and c not in gone and c in known and 2 * known[c][1] > known[root][1]]
+        if not inner:
+            return node
+        node = inner[0]
+
+
+def _shape(root: Node) -> int:
+    """Hash of a subtree's tags, classes and ids; neighbours of equal shape count once, texts don't."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style")]
+    out: dict[Node, bytes] = {}
+    for node in reversed(order):
+        parts = [node.tag.encode("utf-8", "replace"), node.attribute("class", "id").lower().encode("utf-8", "replace")]
+        for child in node.children:
+            if isinstance(child, Node) and child in out and out[child] != parts[-1]:
+                parts.append(out[child])
+        out[node] = hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest()
+    return _number(out[root])
+
+
+def _linked(root: Node) -> bool:
+    """Whether at least half of a subtree's text stands in links."""
+    whole = linked = 0
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                whole += len(child.strip())
+                linked += len(child.strip()) * inside
+            elif child.tag not in ("script", "style"):
+                stack.append((child, inside or child.tag == "a"))
+    return whole > 0 and 2 * linked >= whole
+
+
+def shapes(root: Node, gone: set[Node], mains: list[Node], known: dict[Node, tuple[bytes, int]]) -> Iterator[tuple[Node, int]]:
+    """(node, shape) of the outermost subtrees outside of the main text that are furniture or made of links."""
+    core = set(mains) if mains != [root] else {content_root(root, known, gone)}
+    above = set()
+    for node in core:
+        while node is not None and node not in above:
+            above.add(node)
+            node = node.parent
+    stack = [root]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str) or child in core or child.tag in ("head", "script", "style", "noscript", "template") or child not in known or not known[child][1]:
+                continue
+            if child in gone or (child not in above and (child.tag in BLOCKS or child.tag in CLOSES_P) and _linked(child)):
+                yield child, _shape(child)
+            else:
+                stack.append(child)
+
+
+@dataclass
+class Page:
+    """found: (hash, kind, content) of its subtrees; named: shapes of those that names call furniture; pieces: (text, whether a block ends before it, hashes of the subtrees that hold it)."""
+
+    found: set[tuple[int, int, int]]
+    named: list[int]
+    pieces: list[tuple[str, bool, list[int]]]
+
+
+def read_page(page: str) -> Page:
+    root = parse(page)
+    gone = furniture(root)
+    mains = main_root(root, gone)
+    known = digests(root)
+    marks: dict[Node, tuple[int, ...]] = {}
+    found, named = set(), []
+    for node, value, kind, content in candidates(root, gone, known):
+        found.add((value, kind, content))
+        if value not in (PAGE, ARTICLE):
+            marks[node] = (value,)
+    whole = _number(known[root][0])
+    for node, value in shapes(root, gone, mains, known):
+        found.add((value, SHAPE, whole))
+        if node in gone:
+            named.append(value)
+        else:
+            marks[node] = (*marks.get(node, ()), value)
+    pieces: list[tuple[list[str], bool, tuple[int, ...]]] = []
+    for main in mains:
+        ended = True
+        stack: list[tuple[Node | str | None, tuple[int, ...]]] = [(main, ())]
+        while stack:
+            node, under = stack.pop()
+            if isinstance(node, str) or (node is not None and node.tag == "br"):
+                text = node if isinstance(node, str) else " "
+                if pieces and not ended and pieces[-1][2] == under:
+                    pieces[-1][0].append(text)
+                else:
+                    pieces.append(([text], ended, under))
+                ended = False
+            elif node is None:
+                ended = True
+            elif node is not main and node in gone:
+                ended = ended or node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED
+            else:
+                if node is not main and node in marks:
+                    under = under + marks[node]
+                if node.tag in BLOCKS:
+                    ended = True
+                    stack.append((None, under))
+                stack += [(c, under) for c in reversed(node.children)]
+    return Page(found, named, [("".join(texts), ended, list(under)) for texts, ended, under in pieces])
+
+
+def assemble(pieces: list, template: frozenset[int]) -> tuple[str, int]:
+    """The text of the pieces outside of the template, a block a line, and how many subtrees that left out."""
     out: list[str] = []
     now: list[str] = []
+    left = set()
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(now))).strip()
@@ -289,45 +472,33 @@ def blocks_of(root: Node, gone: set[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list[Node | str | None] = [root]
-    while stack:
-        node = stack.pop()
-        if node is None:
+    for text, ended, under in pieces:
+        if ended:
             flush()
-        elif isinstance(node, str):
-            now.append(node)
-        elif node is not root and node in gone:
-            if node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED:
-                flush()
-        elif node.tag == "br":
-            now.append(" ")
-        else:
-            if node.tag in BLOCKS:
-                flush()
-                stack.append(None)
-            stack += reversed(node.children)
+        if template and not template.isdisjoint(under):
+            left.add(next(x for x in under if x in template))
+            continue
+        now.append(text)
     flush()
-    return out
+    return "\n".join(out), len(left)
 
 
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
-    root = parse(page)
-    gone = furniture(root)
-    mains = main_root(root, gone)
-    if template:
-        gone |= {node for node, value, *_ in candidates(root, gone) if value in template}
-    return "\n".join(b for node in mains for b in blocks_of(node, gone))
+    return assemble(read_page(page).pieces, template)[0]
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PAGE = "page_id long, url string, host string, key long, found array<struct<hash:long,kind:int,body:long>>, named array<long>, pieces array<struct<text:string,ended:boolean,under:array<long>>>"
+_FOUND = pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.int32()), ("body", pa.int64())]))
+_PIECES = pa.list_(pa.struct([("text", pa.string()), ("ended", pa.bool_()), ("under", pa.list_(pa.int64()))]))
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            out: list[tuple] = []
-            for host, key, page in zip(*(part.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
-                root = parse(page or "")
-                out += [(host, key, *found) for found in {c[1:] for c in candidates(root, furniture(root))}]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "key", "hash", "kind", "body"])
+            read = [read_page(page or "") for page in part.column("html").to_pylist()]
+            found = pa.array([[dict(zip(("hash", "kind", "body"), x, strict=True)) for x in sorted(p.found)] for p in read], _FOUND)
+            pieces = pa.array([[dict(zip(("text", "ended", "under"), x, strict=True)) for x in p.pieces] for p in read], _PIECES)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "key")), found, pa.array([p.named for p in read], pa.list_(pa.int64())), pieces], names=["page_id", "url", "host", "key", "found", "named", "pieces"])
 
 
 def _host(url: Column) -> Column:
@@ -340,14 +511,14 @@ def _split_hosts(source: DataFrame) -> DataFrame:
     return source.groupBy("host").count().where(F.col("count") > held).select("host", F.ceil(F.col("count") / held).cast("int").alias("slices"))
 
 
-def templates(source: DataFrame) -> DataFrame:
+def templates(read: DataFrame) -> DataFrame:
     """(host, key, template array<long>): for each page by its host and key, which of its subtrees recur on the host."""
-    rows = source.select("host", "key", "html").mapInArrow(_subtrees, "host string, key long, hash long, kind int, body long")
+    rows = read.select("host", "key", F.inline("found"))
     whole = F.col("hash").isin(PAGE, ARTICLE)
     inside = (F.col("kind") >= LAYOUT).alias("inside")
     counts = rows.groupBy("host", "kind", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "kind", "hash").agg(F.count("*").alias("n"))
     counts = cut(counts.where(whole | (F.col("n") >= MIN_PAGES)))
-    split = F.broadcast(_split_hosts(source))  # at most MAX_SPLIT rows
+    split = F.broadcast(_split_hosts(read))  # at most MAX_SPLIT rows
     sizes = counts.where(whole).select("host", inside, F.col("n").alias("pages")).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
     dealt = counts.where(~whole).select("*", inside).join(split, "host", "left").withColumn("slice", F.pmod("hash", F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     share = F.greatest(F.lit(MIN_PAGES), MIN_SHARE * F.col("pages"))
@@ -358,19 +529,26 @@ def templates(source: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), a row for every input row.
+    """(page_id, url, text, n_chars, n_template, n_named), a row for every input row: the text, and how many subtrees recurrence or else only their names left out.
 
     Null or empty html gives an empty text; a null address belongs to the host ''. Ids may be null; rows that repeat
-    are pages of equal content and count once towards a template. Other columns are not read."""
+    are pages of equal content and count once towards a template. A page is read whole, in time that grows with its
+    length, however broken its markup. Other columns are not read."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("key"))
-    joined = source.join(templates(source), ["host", "key"], "left").select("page_id", "url", "html", "template")
+    read = cut(source.mapInArrow(_read_pages, _PAGE))
+    joined = read.select("page_id", "url", "host", "key", "named", "pieces").join(templates(read), ["host", "key"], "left").select("page_id", "url", "named", "pieces", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html"):
-                texts = []
-                for page, known in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
-                    texts.append(extract(page or "", frozenset(known or ())))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            rows = []
+            for page_id, url, named, pieces, known in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "named", "pieces", "template")), strict=True):
+                template = frozenset(known or ())
+                text, left = assemble([(p["text"], p["ended"], p["under"]) for p in pieces], template)
+                recurring = sum(x in template for x in named)
+                rows.append((page_id, url, text, len(text), left + recurring, len(named) - recurring))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXT.types, strict=True)] if rows else [pa.array([], t) for t in _TEXT.types], schema=_TEXT)
+
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long, n_named long")
+
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64()), ("n_named", pa.int64())])
