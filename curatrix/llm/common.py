@@ -67,6 +67,13 @@ def in_sample(key: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each value of the keys, that of the least text: what an id is repeated adds nothing to a bounded sample."""
+    others = [c for c in rows.columns if c not in (*keys, "text")]
+    least = rows.groupBy(*keys).agg(F.min(F.struct("text", *others)).alias("least"))
+    return least.select(*keys, "least.text", *[f"least.{c}" for c in others])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each (one row at least), so memory follows the longest text and not the batch."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import cut, in_sample, release, sample_share, slices
+from curatrix.llm.common import cut, in_sample, one_text, release, sample_share, slices
 from curatrix.llm.linecrf import repeated_words
 from curatrix.llm.toxicity import fit_logistic
 
@@ -148,11 +148,11 @@ def _documents(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on labelled rows (all of them, or a seeded sample of about LABELLED_ROWS) and on what the views are surest of among all others."""
+    """Fits on labelled rows (all of them, or a seeded sample of about LABELLED_ROWS) and on what the views are surest of among all others. A labelled id counts once, by its least text."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     share = sample_share(usable.count(), LABELLED_ROWS)
     sample = F.broadcast(usable.where(in_sample(F.col("doc_id"), share, 21)))  # about LABELLED_ROWS rows of two integers
-    picked = _documents(docs).where(in_sample(F.col("doc_id"), share, 21)).join(sample, "doc_id")
+    picked = one_text(_documents(docs).where(in_sample(F.col("doc_id"), share, 21)).join(sample, "doc_id"), "doc_id", "quality")
     rows = picked.select("doc_id", "quality", *DOCUMENT).mapInArrow(_sampled(["doc_id", "quality"]), "doc_id long, quality int, content binary, meta binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.content)))
     # Features meet the labels and not texts, which are larger; the labels grow with the documents, so none is broadcast.

@@ -3,7 +3,8 @@
 Each line of a text that holds a word gives a vector of byte-level features; the chain's best labelling comes from
 Viterbi decoding, and the share of words in content lines decides whether the text is kept. The field is fitted here
 by maximum likelihood (forward-backward) on a bounded sample of labelled documents: a line counts as boilerplate if
-its document is of low quality or if the line repeats an earlier one, else as content."""
+its document is of low quality or if the line repeats an earlier one, else as content. That a line repeats is thus both
+a reason for its label and a feature: the field learns that part by rote, and the rest from documents of low quality."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import in_sample, sample_share, slices
+from curatrix.llm.common import in_sample, one_text, sample_share, slices
 
 #: At most about this many labelled documents fit the field, with all of their lines.
 TRAIN_DOCS = 4_000
@@ -213,11 +214,11 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The field's weights from documents with a quality label: all, or a seeded sample of about TRAIN_DOCS.
 
-    Chains are whole texts. Without labels every line is content."""
+    Chains are whole texts; an id counts once, by its least text. Without labels every line is content."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     share = sample_share(usable.count(), TRAIN_DOCS)
     sample = F.broadcast(usable.where(in_sample(F.col("doc_id"), share, 5)))  # about TRAIN_DOCS rows of two integers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(in_sample(F.col("doc_id"), share, 5)).join(sample, "doc_id")
+    rows = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(in_sample(F.col("doc_id"), share, 5)).join(sample, "doc_id"), "doc_id", "quality")
     found = rows.mapInArrow(_training, "doc_id long, f array<double>, y array<long>").where("size(y) > 0").collect()
     found.sort(key=lambda r: (r.doc_id, len(r.y)))
     return fit([(np.array(r.f).reshape(-1, FEATURES), np.array(r.y)) for r in found])

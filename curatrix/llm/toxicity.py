@@ -6,13 +6,16 @@ terms at once: a state is a set of (trie node, automaton row) and is built when
 is found in one walk over the word and most words die after a few letters. A term's beginning matches exactly. What a
 term weighs when misspelled is learned as well: less if what is near it also stands in clean training texts.
 
-Each hit is weighed by its context: the words around it within a window, and whether it stands in quotation marks or
-after a word that reports speech. Counts of plain, quoted and misspelled hits go into a logistic regression fitted
-on labelled rows. Labels, language, source and id are never inputs of a score."""
+Each hit is weighed by its context, a window of words around it: whether the nearest quotation marks there enclose it,
+or a word reports speech. Counts of plain, quoted, reported and misspelled hits go into a logistic regression fitted
+on labelled rows and on rows made of them: toxic texts with their terms misspelled stay toxic, clean texts that quote
+or report a term stay clean. Labels, language, source and id are never inputs of a score."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import in_sample, sample_share, slices
+from curatrix.llm.common import cut, in_sample, one_text, release, sample_share, slices
 
 #: At most about this many labelled rows fit the lexicon and the regression.
 TRAIN_ROWS = 20_000
@@ -32,7 +35,7 @@ FOLDS = 5
 WINDOW = 6
 STEM_LENGTHS = range(4, 9)
 _WORD = re.compile(r"\w+", re.UNICODE)
-_QUOTES = '"“”„«»'
+_QUOTE = re.compile('["“”„«»]')
 #: Words that report what someone else said.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote saying dit disait écrit sagte sagt schrieb dijo dice escribió".split())
 
@@ -147,29 +150,65 @@ class Lexicon:
 FEATURES = ("weight", "distinct", "density", "misspelled", "quoted", "near_quoted")
 
 
+def _marks(text: str) -> tuple[list[int], list[tuple[bool, bool]]]:
+    """Places of quotation marks, and whether each may open and may close: a plain mark opens before a word and closes after one; others open or close by form, in either of the languages' ways."""
+    places, ways = [], []
+    for m in _QUOTE.finditer(text):
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        opens, closes = not before or before.isspace() or before in "([-", not after or not after.isalnum()
+        if m[0] == '"':
+            ways.append((opens and bool(after.strip()), closes and bool(before.strip())))
+        else:
+            ways.append((m[0] in "„“«" or opens, m[0] in "”»" or closes))
+        places.append(m.start())
+    return places, ways
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """What a score is made of; a text without hits gives zeros."""
-    found = [(m.start(), m.group()) for m in _WORD.finditer(text.lower())]
+    text = text.lower()
+    found = [(m.start(), m.group()) for m in _WORD.finditer(text)]
     hits = [(i, at, hit) for i, (at, w) in enumerate(found) if (hit := lexicon.match(w))]
     if not hits:
         return [0.0] * len(FEATURES)
     plain = misspelled = quoted = reported = 0.0
     distinct = set()
-    marks, passed = 0, 0
+    places, ways = _marks(text)
     for i, at, (term, wrong, weight) in hits:
-        marks += sum(text.count(q, passed, at) for q in _QUOTES)
-        passed = at
-        around = {w for _, w in found[max(0, i - WINDOW) : i + WINDOW + 1]}
-        if marks % 2:
+        around = found[max(0, i - WINDOW) : i + WINDOW + 1]
+        k = bisect_left(places, at)
+        enclosed = 0 < k < len(places) and places[k - 1] >= around[0][0] - 1 and places[k] <= around[-1][0] + len(around[-1][1]) and ways[k - 1][0] and ways[k][1]
+        if enclosed:
             quoted += weight
-        elif around & REPORTING:
+        elif any(w in REPORTING for _, w in around):
             reported += weight
         elif wrong:
             misspelled += weight
         else:
             plain += weight
             distinct.add(term if not term.endswith("*") else found[i][1])
-    return [float(np.log1p(plain)), float(np.log1p(len(distinct))), float(np.log1p(100 * plain / len(found))), float(np.log1p(misspelled)), float(np.log1p(quoted)), float(np.log1p(reported))]
+    return [float(np.log1p(plain)), float(np.log1p(len(distinct))), float(np.log1p(100 * plain / len(found))), float(np.log1p(100 * misspelled / len(found))), float(np.log1p(quoted)), float(np.log1p(reported))]
+
+
+def misspell(text: str, lexicon: Lexicon) -> str:
+    """The text with a letter changed in each of its terms that may be misspelled."""
+
+    def change(m: re.Match) -> str:
+        word = m.group()
+        hit = lexicon.match(word) if edits(word) else None
+        if not hit or hit[1]:
+            return word
+        at = zlib.crc32(word.encode()) % len(word)
+        return word[:at] + ("x" if word[at] != "x" else "q") + word[at + 1 :]
+
+    return _WORD.sub(change, text.lower())
+
+
+def quote(text: str, lexicon: Lexicon) -> str:
+    """The text and a sentence that quotes or reports one or two terms."""
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    terms = [lexicon.words[(seed >> s) % len(lexicon.words)] for s in (0, 9)][: 1 + seed % 2]
+    return text + (f' They wrote "{" ".join(terms)}" there.' if seed & 2 else f" They said that {' '.join(terms)}.")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -209,8 +248,13 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_near(terms: dict[str, float], spelled: dict[str, float]):
-    """Texts, toxic and clean, that hold a misspelling of each term."""
+def _half(text: str) -> int:
+    """Which half of the training rows a text is in: one weighs misspelled terms, the other teaches what such weights are worth."""
+    return zlib.crc32(text.encode("utf-8", "replace")) & 1
+
+
+def _count_near(terms: dict[str, float], spelled: dict[str, float], half: int):
+    """Texts of a half, toxic and clean, that hold a misspelling of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(terms, spelled)
@@ -218,6 +262,8 @@ def _count_near(terms: dict[str, float], spelled: dict[str, float]):
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    if _half(text or "") != half:
+                        continue
                     hits = map(lexicon.match, set(_WORD.findall((text or "").lower())))
                     counts[int(toxic > 0)].update({hit[0] for hit in hits if hit and hit[1]})
         found = sorted(counts[0].keys() | counts[1].keys())
@@ -238,14 +284,14 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits lexicon and regression on labelled rows outside the held-out fold: all of them, or a seeded sample of about TRAIN_ROWS.
+    """Fits lexicon and regression on labelled rows outside the held-out fold: all of them, or a seeded sample of about TRAIN_ROWS. An id counts once, by its least text.
 
     Without a toxic or without a clean row the model has no terms and scores everything 0."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = sample_share(usable.count(), TRAIN_ROWS)
     sample = F.broadcast(usable.where(in_sample(F.col("doc_id"), share, 9)))  # about TRAIN_ROWS rows of two integers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(in_sample(F.col("doc_id"), share, 9)).join(sample, "doc_id").select("doc_id", "text", "toxic")
+    rows = cut(one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(in_sample(F.col("doc_id"), share, 9)).join(sample, "doc_id"), "doc_id", "toxic"))
     sizes = {r.toxic > 0: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
@@ -264,21 +310,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = {t: w for t, w in lexicon.items() if not any(lexicon.get(t[:k] + "*", -1.0) >= w for k in STEM_LENGTHS if k < len(t.rstrip("*")))}
     # Every word can be misspelled, also one that a beginning covers.
     spelled = {t: weights_of[t] for t in words if edits(t)}
-    near = rows.mapInArrow(_count_near(lexicon, spelled), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    near = rows.mapInArrow(_count_near(lexicon, spelled, 0), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     for r in near.collect() if spelled else []:
-        lifted = np.log((r.toxic + 0.5) / (n1 + 1.0)) - np.log((r.clean + 0.5) / (n0 + 1.0))
+        lifted = np.log((r.toxic + 0.5) / (n1 / 2 + 1.0)) - np.log((r.clean + 0.5) / (n0 / 2 + 1.0))
         doubt = 1.64 * np.sqrt(1 / (r.toxic + 0.5) + 1 / (r.clean + 0.5))  # the lower end of what the counts allow
         spelled[r.term] = min(spelled[r.term], max(0.0, float(lifted - doubt)) / 4.0)
-    fitted = rows.mapInArrow(_features(lexicon, spelled, ["toxic"]), "toxic int, f array<double>").toPandas() if lexicon else None
+    fitted = rows.mapInArrow(_taught(lexicon, spelled), "toxic int, f array<double>").toPandas() if lexicon else None
+    release(rows)
     if fitted is None or not len(fitted):
         return Model({}, {}, [0.0] * len(FEATURES) + [-10.0])
-    x = np.array(fitted["f"].tolist())
-    x[:, 3] = 0.0  # these rows have told what misspelled terms weigh, so they can't judge that as well
-    weights = fit_logistic(x, (fitted["toxic"].to_numpy() > 0).astype(float))
-    weights[3] = max(0.0, weights[0] / 2)  # a misspelled term is never a sign of a clean text
-    # Quoted and reported hits count less than plain ones, and never for more.
-    for i in (4, 5):
-        weights[i] = min(weights[i], weights[0] / 2) if weights[0] > 0 else weights[i]
+    weights = fit_logistic(np.array(fitted["f"].tolist()), (fitted["toxic"].to_numpy() > 0).astype(float))
     return Model(lexicon, spelled, weights.tolist())
 
 
@@ -293,13 +334,23 @@ def _lexicon(terms: dict[str, float], spelled: dict[str, float]) -> Lexicon:
     return _LEXICONS[key]
 
 
-def _features(terms: dict[str, float], spelled: dict[str, float], columns: list[str]):
+def _taught(terms: dict[str, float], spelled: dict[str, float]):
+    """Rows that teach the regression: each text, and a toxic one misspelled or a clean one that quotes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(terms, spelled)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [features(t or "", lexicon) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, pa.list_(pa.float64()))], names=[*columns, "f"])
+                labels, rows = [], []
+                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    made = [text or ""]
+                    if _half(made[0]) == 0:
+                        continue
+                    if lexicon.words:
+                        made.append((misspell if toxic > 0 else quote)(made[0], lexicon))
+                    rows += [features(x, lexicon) for x in made]
+                    labels += [toxic] * len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "f"])
 
     return run
 
