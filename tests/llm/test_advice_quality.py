@@ -29,12 +29,12 @@ def test_chains_are_whole_texts(spark, monkeypatch):
 
 def test_the_exchange_teaches_what_no_label_shows(spark, monkeypatch):
     """Labels cover one kind of text; the source, which the metadata view learns from them, tells of another kind, which the content view then knows without a source."""
-    kinds = {("a", 1): "plain words of a good text. ", ("a", 0): "$$ ## buy 77 ** now 99 ", ("b", 1): "zzz yyy zzyyx xxyz ", ("b", 0): "QQ KK QKQ KKQ "}
+    kinds = {("a", 1): "aba bab abb ", ("a", 0): "cdc dcd cdd ", ("b", 1): "zyz yzy zyy ", ("b", 0): "qkq kqk qkk "}
     rows = []
     for i in range(3000):
         good, kind = i % 2, "a" if i < 400 else "b"
         source = None if i >= 2800 else "good" if good else "poor"
-        rows.append((i, kinds[kind, good] * (5 + i % 7), "en", source, 100))
+        rows.append((i, kinds[kind, good] * 8, "en", source, 100))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
 
