@@ -20,12 +20,17 @@ from curatrix.llm.common import cut, sample_share, slices
 #: About this many documents of each language fit its text model, or all it has.
 TRAIN_DOCS = 2_000
 BUCKETS = 1 << 15
+#: The share of a language's model that is common to all languages.
+COMMON = 0.1
 #: A text is never worth more than this many independent trigrams.
 WORTH = 60
+# Chosen here: labels below which registries of countries sell names, so that the registered domain has one label more.
+SECOND_LEVEL = "ac co com edu gob gov go mil ne net nom or org"
 #: Pages' worth of belief that a host, domain or suffix takes over from the level above.
 LEAN = 5.0
-_DROP = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+# What never ends reaches to the end, so that each is a walk over the page whatever its markup.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -58,18 +63,22 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     known = docs.where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     langs = list(sizes)
-    table = np.full((BUCKETS, max(1, len(langs))), 0.5)
+    table = np.zeros((BUCKETS, max(1, len(langs))))
     if langs:
         shares = docs.sparkSession.createDataFrame([(x, sample_share(n, TRAIN_DOCS)) for x, n in sizes.items()], "lang string, share double")
         chosen = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(1_000_000)) < F.ceil(F.col("share") * 1_000_000)
         sample = known.join(F.broadcast(shares), "lang").where(chosen).select("text", "lang")  # a row for each language
         for r in sample.mapInArrow(_counts(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
             table[r.bucket, r.lang] += r.n
-    return langs, np.log(table / table.sum(axis=0))
+    # Part of each model is what all languages have in common: trigrams that none has seen then tell nothing.
+    pooled = (table.sum(axis=1, keepdims=True) + 0.5) / (table.sum() + 0.5 * BUCKETS)
+    return langs, np.log((1 - COMMON) * table / np.maximum(table.sum(axis=0), 1) + COMMON * pooled)
 
 
 def visible(html: str) -> str:
-    return _DROP.sub(" ", html)
+    """Text without markup; after the last > no tag can follow."""
+    tags, last, tail = html.rpartition(">")
+    return _DROP.sub(" ", tags + last) + tail
 
 
 def declared(html: str, langs: list[str]) -> int:
@@ -115,7 +124,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     Empty or null html gives an even text likelihood; a null address belongs to the host ''. Ties go to the more
     frequent language of the training documents. Repeated rows are pages of their own; ids may be null. Without any
-    training language lang is null and confidence 0. Other columns are not read."""
+    training language lang is null and confidence 0. Whole pages are read, in time that grows with their length. Other
+    columns are not read."""
     langs, table = train(docs)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     if not langs:
@@ -134,7 +144,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         said[r.said] += r.mass
     said = np.log(said / said.sum(axis=0))
 
-    hosts = _sums(named, n, "host").withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
+    registered = rf"([^.]*\.((?:{SECOND_LEVEL.replace(' ', '|')})\.[a-z][a-z]|[^.]*))$"
+    hosts = _sums(named, n, "host").withColumn("domain", F.regexp_extract("host", registered, 1)).withColumn("suffix", F.regexp_extract("host", registered, 2))
     domains = _sums(hosts, n, "suffix", "domain")
     suffixes = _sums(domains, n, "suffix")
     whole = _sums(suffixes.withColumn("all", F.lit(1)), n, "all").collect()
@@ -143,7 +154,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     lean = lambda mass, above: F.zip_with(mass, above, lambda m, a: m + F.lit(LEAN) * a)
     suffixes = suffixes.select("suffix", _normal(lean("mass", top)).alias("suffix_prior"))
     domains = domains.join(suffixes, "suffix").select("suffix", "domain", _normal(lean("mass", F.col("suffix_prior"))).alias("domain_prior"))
-    priors = hosts.join(domains, ["suffix", "domain"]).select("host", F.col("mass").alias("host_mass"), "domain_prior")
+    # Written first: a join with an aggregate of the same exchange can't split a hot host.
+    priors = cut(hosts.join(domains, ["suffix", "domain"]).select("host", F.col("mass").alias("host_mass"), "domain_prior"))
 
     table_of_said = source.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(said)], "said int, said_logs array<double>")
     rows = found.join(priors, "host").join(F.broadcast(table_of_said), "said")  # n + 2 rows
