@@ -67,28 +67,32 @@ class PartVisitor:
         return part["type"].isNotNull() & (part["type"] != "text")
 
 
+def _filled(part: Column) -> Column:
+    """A part whose missing text is empty, so that it is ordered like one."""
+    return part.withField("text", F.when(part["type"].isNull() | (part["type"] == "text"), F.coalesce(part["text"], F.lit(""))).otherwise(part["text"]))
+
+
 def format_chats(messages: DataFrame, visitor: PartVisitor | None = None, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, segments, attachments, expanded_tokens) from messages (conv_id, turn, role, parts).
 
     segments: array<struct<text, loss>>, whose texts joined are `formatted`; loss marks the bodies of train_roles.
-    Turns are ordered by turn (null first), then role and body, so equal turns give the same output on every run.
+    Turns are ordered by turn (null first), then role and parts as they came, so equal turns give the same output on every run.
     Null roles, texts and part lists count as empty; rows with a null conv_id form one conversation. Repeated rows
     are repeated turns. Other columns are not read."""
     visitor = visitor or PartVisitor()
     none = F.array().cast(f"array<{PART}>")
-    parts = F.coalesce(F.col("parts"), none)
-    role = F.coalesce(F.col("role"), F.lit(""))
-    turns = messages.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE)).alias("role"),
-            F.array_join(F.transform(parts, visitor.visit), "").alias("body"),
-            role.isin(*train_roles).alias("loss"),
-            F.transform(F.filter(parts, visitor.is_attachment), visitor.attachment).alias("attachments"),
-        ).alias("t"),
-    )
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    given = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.transform(F.coalesce(F.col("parts"), none), _filled).alias("parts"))
+    grouped = messages.select("conv_id", given.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("given"))
+
+    def visited(t: Column) -> Column:
+        return F.struct(
+            F.replace(escape(t["role"]), F.lit("\n"), F.lit(NEWLINE)).alias("role"),
+            F.array_join(F.transform(t["parts"], visitor.visit), "").alias("body"),
+            t["role"].isin(*train_roles).alias("loss"),
+            F.transform(F.filter(t["parts"], visitor.is_attachment), visitor.attachment).alias("attachments"),
+        )
+
+    grouped = grouped.select("conv_id", F.transform("given", visited).alias("turns"))
 
     def pieces(t: Column) -> Column:
         piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))

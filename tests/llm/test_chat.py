@@ -55,3 +55,9 @@ def test_query_reads_back_whole_table(spark):
         loss = "".join(t for _, a, t in turns if a == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert not by
+
+
+def test_tied_turns_stand_in_the_order_of_their_own_texts(spark):
+    """Escaping would order them otherwise: between "<" and "|" it adds a backslash, which is less than "|"."""
+    rows = [(1, 0, "user", [text("<|b")], 0), (1, 0, "user", [text("<[b")], 0), (1, 0, "user", [text("<z")], 0), (1, 0, "user", [text(None)], 0)]
+    assert [t.text for t in formatted(spark, rows)[1].turns] == ["", "<[b", "<z", "<|b"]
