@@ -3,10 +3,11 @@
 Sizes are words. The target total is cut into equal blocks; sources, and within each source its shards, get whole
 blocks by highest quotients size / (2n + 1). A shard's documents stand in a seeded order as one stream of words; the
 shard gives whole passes over the stream and, for the rest, as many of its blocks as its quota asks, chosen evenly
-from a seeded start. A document's share of the chosen blocks follows from its place in the stream alone, so no block
+from a seeded start. A shard's blocks are of one width, as near to BLOCK_WORDS as cuts its stream with the least rest;
+only the last may be shorter. A document's share of the chosen blocks follows from its place in the stream alone, so no block
 is ever materialised.
 
-The driver holds one row per source and shard: at most MAX_CELLS rows, whatever the number of documents."""
+The driver holds one row per source; each source's shards, at most MAX_SHARDS, are dealt their blocks in a task."""
 
 from __future__ import annotations
 
@@ -14,17 +15,17 @@ import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import WORD, slices
+from curatrix.llm.common import WORD, cut, slices
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 250_000
 MAX_SHARDS = 4096
-MAX_CELLS = 1 << 19
 MAX_REPEATS = 3
 
 
@@ -67,27 +68,23 @@ def sainte_lague(seats: int, votes: list[Fraction | int], limits: list[int] | No
     return dealt
 
 
-def plan_shards(cells: list[tuple[str | None, int, int]], weights: tuple[int, ...] = (1, 2, 3)) -> tuple[list[tuple], list[tuple]]:
-    """From (source, bin, words): rows (source, shards, source_size, target) and rows (source, shard, shard_size, quota in blocks)."""
-    by: dict[str | None, dict[int, int]] = {}
-    for source, cell, size in cells:
-        by.setdefault(source, {})[cell] = size
+def plan_sources(found: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3)) -> list[tuple[str | None, int, int, float, int]]:
+    """From (source, words): rows (source, shards, source_size, target, quota in blocks)."""
+    by = dict(found)
     names = sorted((s for s in by if s is not None)) + [None] * (None in by)
-    sizes = [sum(by[s].values()) for s in names]
+    sizes = [by[s] for s in names]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    seats = round(sum(targets) / BLOCK_WORDS)
-    quotas = sainte_lague(seats, targets, [-(-MAX_REPEATS * n // BLOCK_WORDS) for n in sizes])
-    sources, shards = [], []
-    for name, size, target, quota in zip(names, sizes, targets, quotas, strict=True):
-        n = 1
-        while n < MAX_SHARDS and n * SHARD_WORDS < size:
-            n *= 2
-        own = [0] * n
-        for cell, words in by[name].items():
-            own[cell % n] += words
-        sources.append((name, n, size, float(target)))
-        shards += [(name, i, words, q) for i, (words, q) in enumerate(zip(own, sainte_lague(quota, own, [-(-MAX_REPEATS * w // BLOCK_WORDS) for w in own]), strict=True))]
-    return sources, shards
+    quotas = sainte_lague(round(sum(targets) / BLOCK_WORDS), targets, [-(-MAX_REPEATS * n // BLOCK_WORDS) for n in sizes])
+    shards = [min(MAX_SHARDS, 1 << max(0, -(-n // SHARD_WORDS) - 1).bit_length()) for n in sizes]
+    return [(name, n, size, float(target), quota) for name, n, size, target, quota in zip(names, shards, sizes, targets, quotas, strict=True)]
+
+
+def deal_shards(shards: pd.DataFrame) -> pd.DataFrame:
+    """The shards of one source (source, shard, shard_size, source_quota) with their quotas."""
+    shards = shards.sort_values("shard")
+    sizes = [int(n) for n in shards["shard_size"]]
+    quota = sainte_lague(int(shards["source_quota"].iloc[0]), sizes, [-(-MAX_REPEATS * n // BLOCK_WORDS) for n in sizes])
+    return pd.DataFrame({"q_source": shards["source"], "q_shard": shards["shard"], "shard_size": sizes, "quota": quota})
 
 
 def _seeded(seed: int, *key: Column) -> Column:
@@ -95,55 +92,49 @@ def _seeded(seed: int, *key: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs with size, source_size, target, taken and what places the chosen words: passes, first, blocks, quota_blocks, phase.
+    """docs with size, source_size, target, taken and what places the chosen words: passes, first, width, blocks, quota_blocks, phase.
 
     A null text has size 0 and is never taken; null is a source of its own, after all others. A null id is ordered
     like any id. Rows that repeat an id take part as often as they occur; rows equal in id and size share their
     words in any order, which leaves the multiset of results the same on every run. An empty table gives none. A
     column named like a result is replaced."""
     docs = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    n_sources = max(1, docs.select("source").distinct().count())
-    bins = MAX_SHARDS
-    while bins > 1 and bins * n_sources > MAX_CELLS:
-        bins //= 2
-    if n_sources > MAX_CELLS:
-        raise ValueError(f"{n_sources} sources; the plan holds {MAX_CELLS} at most")
-    cell = F.pmod(_seeded(seed, F.col("doc_id")), F.lit(bins)).cast("int")
-    cells = [tuple(r) for r in docs.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("n")).collect()]
     spark = docs.sparkSession
-    sources, shards = plan_shards(cells, weights)
-    by_source = spark.createDataFrame(sources, "s_source string, shards int, source_size long, target double")
-    by_shard = spark.createDataFrame(shards, "q_source string, q_shard int, shard_size long, quota long")
-    names = [c for c in docs.columns if c not in ("source_size", "target", "taken", "shards", "shard_size", "quota", "shard", "s_source", "q_source", "q_shard")]
-    # The plan is bounded by MAX_CELLS rows; where it is small the planner broadcasts it by its own size check.
+    found = [tuple(r) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row for each source
+    by_source = spark.createDataFrame(plan_sources(found, weights), "s_source string, shards int, source_size long, target double, source_quota long")
+    names = [c for c in docs.columns if c not in ("source_size", "target", "taken", "shards", "source_quota", "shard_size", "quota", "shard", "s_source", "q_source", "q_shard")]
+    # A row for each source and shard; where these are few the planner broadcasts them by its own size check.
     placed = docs.select(names).join(by_source, F.col("source").eqNullSafe(F.col("s_source")))
-    placed = placed.withColumn("shard", F.pmod(cell, F.col("shards")))
-    placed = placed.join(by_shard, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    placed = placed.withColumn("shard", F.pmod(_seeded(seed, F.col("doc_id")), F.col("shards")).cast("int"))
+    shards = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
+    by_shard = shards.groupBy("source").applyInPandas(deal_shards, "q_source string, q_shard int, shard_size long, quota long")
+    placed = placed.join(cut(by_shard), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     order = Window.partitionBy("source", "shard").orderBy(_seeded(seed + 1, F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(order))
-    n, b = F.col("shard_size"), F.lit(BLOCK_WORDS)
-    wanted = F.least(F.col("quota") * b, MAX_REPEATS * n)
+    n = F.col("shard_size")
+    wanted = F.least(F.col("quota") * BLOCK_WORDS, MAX_REPEATS * n)
     passes = F.when(n > 0, F.expr(f"least(quota * {BLOCK_WORDS}, {MAX_REPEATS} * shard_size) div shard_size")).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumns({"passes": passes, "first": F.col("end") - F.col("size"), "blocks": F.expr(f"shard_size div {BLOCK_WORDS}")})
-    rest = F.when(F.col("blocks") > 0, F.least(F.col("blocks"), F.round((wanted - F.col("passes") * n) / b).cast("long"))).otherwise(F.lit(0)).cast("long")
-    rest = F.when(F.col("passes") >= MAX_REPEATS, F.lit(0)).otherwise(rest)
+    width = F.when(n > 0, F.ceil(n / F.greatest(F.round(n / BLOCK_WORDS), F.lit(1)))).otherwise(F.lit(1)).cast("long")
+    placed = placed.withColumns({"passes": passes, "first": F.col("end") - F.col("size"), "width": width}).withColumn("blocks", F.expr("(shard_size + width - 1) div width"))
+    rest = F.least(F.col("blocks"), F.round((wanted - F.col("passes") * n) / F.col("width")).cast("long"))
+    rest = F.when(F.col("passes") >= MAX_REPEATS, F.lit(0)).otherwise(rest).cast("long")
     phase = F.when(F.col("blocks") > 0, F.pmod(_seeded(seed + 2, F.col("source"), F.col("shard")), F.col("blocks"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumns({"quota_blocks": rest, "phase": phase})
 
     def chosen(x: str) -> str:
         """Words chosen before place x of the stream."""
-        j = f"least({x} div {BLOCK_WORDS}, blocks)"
+        j = f"least({x} div width, blocks)"
         before = lambda k: f"(({k} * quota_blocks + phase) div blocks)"
-        part = f"if({x} div {BLOCK_WORDS} < blocks, ({before(f'({j} + 1)')} - {before(j)}) * ({x} % {BLOCK_WORDS}), 0)"
-        return f"if(blocks = 0, 0, {before(j)} * {BLOCK_WORDS} + {part})"
+        part = f"if({x} div width < blocks, ({before(f'({j} + 1)')} - {before(j)}) * ({x} % width), 0)"
+        return f"if(blocks = 0, 0, {before(j)} * width + {part})"
 
     taken = F.expr(f"passes * size + {chosen('end')} - {chosen('first')}").cast("long")
-    return placed.withColumn("taken", taken).drop("s_source", "q_source", "q_shard", "shards", "shard", "shard_size", "quota", "end")
+    return placed.withColumn("taken", taken).drop("s_source", "q_source", "q_shard", "shards", "source_quota", "shard", "shard_size", "quota", "end")
 
 
-def in_chosen(position: int, blocks: int, quota_blocks: int, phase: int) -> bool:
+def in_chosen(position: int, width: int, blocks: int, quota_blocks: int, phase: int) -> bool:
     """Whether the word at this place of its shard's stream is in a chosen block."""
-    j = position // BLOCK_WORDS
+    j = position // width
     return j < blocks and ((j + 1) * quota_blocks + phase) // blocks > (j * quota_blocks + phase) // blocks
 
 
@@ -156,7 +147,7 @@ def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             pick, texts = [], []
             found = kernel.words(part.column("text"), fold=False)
-            for i, r in enumerate(part.select(["text", "size", "taken", "passes", "first", "blocks", "quota_blocks", "phase"]).to_pylist()):
+            for i, r in enumerate(part.select(["text", "size", "taken", "passes", "first", "width", "blocks", "quota_blocks", "phase"]).to_pylist()):
                 whole = r["passes"] if r["size"] else 0
                 left = r["taken"] - whole * r["size"]
                 pick += [i] * whole
@@ -170,7 +161,7 @@ def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     data = found.data[base : found.offsets[i + 1]].tobytes()
                     runs: list[list[int]] = []
                     for k in range(r["size"]):
-                        if in_chosen(r["first"] + k, r["blocks"], r["quota_blocks"], r["phase"]):
+                        if in_chosen(r["first"] + k, r["width"], r["blocks"], r["quota_blocks"], r["phase"]):
                             if runs and runs[-1][1] == k:
                                 runs[-1][1] = k + 1
                             else:
