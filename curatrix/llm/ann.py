@@ -83,24 +83,28 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, k: int, target: float = TA
 def scan(query: np.ndarray, blocks: list[np.ndarray], k: int) -> np.ndarray:
     """Indices of candidates that may be among the k nearest of a rotated query; blocks: the candidates' columns in blocks.
 
-    The first candidates are measured in full; then each further block narrows the others down."""
+    The first candidates are measured in full. The others come in parts, each four times as large as the last; column
+    after column block narrows a part down, and those that come through tighten the limit for the next."""
     n, dims = len(blocks[0]), sum(b.shape[1] for b in blocks)
-    head = min(n, max(4 * k, 32))
-    edges = np.concatenate([[0], np.cumsum([b.shape[1] for b in blocks])])
-    first = sum(((b[:head] - query[a:z]) ** 2).sum(axis=1) for b, a, z in zip(blocks, edges[:-1], edges[1:], strict=True))
-    limit = np.partition(first, k - 1)[k - 1] if head >= k else np.inf
-    left = np.arange(head, n)
-    partial = np.zeros(len(left))
-    for b, a, z in zip(blocks, edges[:-1], edges[1:], strict=True):
-        if not len(left):
-            break
-        partial += ((b[left] - query[a:z]) ** 2).sum(axis=1)
-        if z < dims:
-            stay = partial * (dims / z) <= limit * (1 + SIGMAS / np.sqrt(z)) ** 2
-        else:
-            stay = partial <= np.partition(np.concatenate([first, partial]), k - 1)[k - 1] + 1e-9 if head + len(left) >= k else np.ones(len(left), bool)
-        left, partial = left[stay], partial[stay]
-    return np.concatenate([np.flatnonzero(first <= limit + 1e-9), left])
+    edges = np.cumsum([0, *(b.shape[1] for b in blocks)])
+    done = min(n, max(4 * k, 32))
+    kept = np.arange(done)
+    far = sum(((b[:done] - query[a:z]) ** 2).sum(axis=1) for b, a, z in zip(blocks, edges[:-1], edges[1:], strict=True))
+    step = done
+    while done < n:
+        limit = np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf
+        left = np.arange(done, min(n, done + step))
+        done, step = done + step, 4 * step
+        partial = np.zeros(len(left))
+        for b, a, z in zip(blocks, edges[:-1], edges[1:], strict=True):
+            partial += ((b[left] - query[a:z]) ** 2).sum(axis=1)
+            stay = partial * (dims / z) <= limit * (1 + SIGMAS / np.sqrt(z)) ** 2 if z < dims else partial <= limit + 1e-9
+            left, partial = left[stay], partial[stay]
+            if not len(left):
+                break
+        kept, far = np.concatenate([kept, left]), np.concatenate([far, partial])
+    limit = np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf
+    return kept[far <= limit + 1e-9]
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
