@@ -166,7 +166,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for r in probing.groupBy("list").count().collect():
         blocks[r["list"]] = -(-r["count"] // QUERY_BLOCK)
     chunks = np.maximum(1, -(-sizes // CHUNK_ROWS))
-    plan = spark.createDataFrame(pd.DataFrame({"list": np.arange(lists, dtype=np.int32), "chunks": chunks.astype(np.int32), "blocks": blocks.astype(np.int32)}))
+    # Both sides of a cogroup are dealt by hashes of their keys, so these must be of one type.
+    plan = spark.createDataFrame(pd.DataFrame({"list": np.arange(lists), "chunks": chunks, "blocks": blocks}), "list int, chunks int, blocks int")
     part = lambda key, name, m: F.pmod(F.xxhash64(F.lit(name), key), F.col(m)).cast("int")
     upto = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     left = indexed.join(F.broadcast(plan), "list").withColumn("chunk", part(F.col("vec_id"), "c", "chunks")).withColumn("block", upto("blocks")).select("list", "chunk", "block", "vec_id", "v")
