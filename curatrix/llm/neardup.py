@@ -254,13 +254,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
     classes = cut(sets.agg(F.min(F.struct("doc_id", "v")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]).select("h1", "h2", "least.doc_id", "least.v", "n_shingles", "bands", *_SKETCH))
     members = classes.select("v", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first: a join with an aggregate of the same exchange can't split a hot band.
+    sizes = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(members.join(sizes, "band"))
     # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
     central = shared.groupBy("v").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(central, "v").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "v")).alias("hub")).select("band", F.col("hub.v").alias("hub"))
+    hubs = cut(shared.join(central, "v").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "v")).alias("hub")).select("band", F.col("hub.v").alias("hub")))
     buckets = cut(shared.join(hubs, "band").where("v <> hub").select("band", "v", "hub"))
-    release(shared)
+    release(sizes, shared, hubs)
     likely = cut(_likely(buckets.select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), classes, percent))
 
     texts = source.where("doc_id is not null").select("v", "text")
@@ -303,8 +304,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # Every member has met its hub. Buckets whose other members belong to several components are still open.
     placed = buckets.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("component", "v").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    mixed = cut(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"))
     opened = cut(placed.join(mixed, "band"))
+    release(mixed)
     if opened.limit(1).count():
         met = cut(_opened_units(opened, classes).groupBy("g").applyInArrow(_flag(percent), "unit long, stray boolean, v long, c long, n_shingles long"))
         if met.limit(1).count():
