@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,14 +44,26 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A result that a plan uses more than once, written to the folder that spark.checkpoint.dir names and read back.
-
-    Only a session that names none, as in tests, gets a local folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A session that names none gets a local one only if it runs on this machine alone, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatrix-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="curatrix-"))
+    return context.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing will read again, wherever it is stored."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A result that a plan uses more than once, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
