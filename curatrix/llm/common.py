@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.session import delete, shared_folder
+
 #: A word, as every contract here counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,14 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where the session names none (tests, a laptop) a local one is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatrix-"))
-    return context.getCheckpointDir()
-
-
 _WRITTEN: dict[int, str] = {}
 
 
@@ -50,9 +43,20 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = _WRITTEN.pop(id(table), None)
         if path:
-            context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            delete(table.sparkSession, path)
+
+
+#: 64-bit words of the bitmap of wanted keys: what bounds its broadcast.
+BITMAP_WORDS = 1 << 20
+
+
+def marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with a column `marked`, false only in rows whose key is not among keys: a bitmap of fixed size, which any number of keys fills and an exact join can follow."""
+    place = F.xxhash64(key)
+    word, bit = F.pmod(F.shiftright(place, 6), F.lit(BITMAP_WORDS)).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    found = df.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word", "left")  # at most BITMAP_WORDS rows
+    return found.withColumn("marked", F.coalesce(F.expr("shiftright(bits, bit) & 1 = 1"), F.lit(False))).drop("word", "bit", "bits")
 
 
 def sample_share(rows: int, bound: int) -> float:

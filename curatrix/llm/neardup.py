@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel
-from curatrix.llm.common import cut, release, slices
+from curatrix.llm.common import cut, marked, release, slices
 
 BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
@@ -42,8 +42,6 @@ _ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _CHUNK = 4096
 #: A block of texts that meets another holds about so many shingles and rows at most; tasks take about GROUP_SHINGLES at a time.
 BLOCK_SHINGLES, BLOCK_ROWS, GROUP_SHINGLES, GROUP_ROWS = 1 << 20, 4096, 1 << 18, 1 << 14
-#: 64-bit words of the bitmap of needed texts: what bounds its broadcast.
-BITMAP_WORDS = 1 << 20
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
@@ -122,10 +120,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
         before = total
         seen = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("component").alias("near"))
-        lower = labels.join(seen, "v").select("v", F.least("component", "near").alias("component"))
+        # Written first, so that the rows of a hot component can be split.
+        lower = cut(labels.join(seen, "v").select("v", F.least("component", "near").alias("component")))
         jump = lower.select(F.col("v").alias("component"), F.col("component").alias("further"))
         old, labels = labels, cut(lower.join(jump, "component", "left").select("v", F.coalesce(F.least("component", "further"), "component").alias("component")))
-        release(old)
+        release(old, lower)
 
 
 def _bits_apart() -> Column:
@@ -232,13 +231,6 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """The texts whose place in a bitmap of BITMAP_WORDS words some needed v has: all that are needed, and few others."""
-    placed = lambda df: df.withColumn("place", F.xxhash64("v")).withColumn("word", F.expr(f"cast(pmod(shiftright(place, 6), {BITMAP_WORDS}) as int)")).withColumn("bit", F.expr("cast(place & 63 as int)")).drop("place")
-    words = placed(needed.select("v")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    return placed(texts).join(F.broadcast(words), "word").where("shiftright(bits, bit) & 1 = 1").drop("word", "bit", "bits")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for every input row.
 
@@ -268,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def confirmed(placed: DataFrame) -> DataFrame:
         """Links (a, b) that units (unit, stray, v, c, n_shingles) hold; each text travels once to each of its units."""
-        own = _needed(texts, placed)
+        own = marked(texts, placed, "v").where("marked").drop("marked")
         own = own.groupBy("v").agg(F.first("text").alias("text")) if repeated else own
         groups = -(-(placed.agg(F.sum("n_shingles")).first()[0] or 1) // GROUP_SHINGLES)
         met = placed.join(own, "v").withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)))
