@@ -41,11 +41,16 @@ def html_escape(x: Column) -> Column:
 
 
 def percent_encode(x: Column) -> Column:
-    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    """As a part of an address: letters, digits and - _ . ! ~ * ' ( ) stay."""
+    x = F.url_encode(x)
+    for code, raw in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        x = F.replace(x, F.lit(code), F.lit(raw))
+    return x
 
 
 def name_to_uri(name: Column, base: str = EX) -> Column:
     """A node's address from its name: letters, digits, underscores and hyphens; letters beyond ASCII and dots go, spaces become underscores."""
+    # Fixed value: the pattern of what a name keeps.
     kept = F.replace(F.regexp_replace(strip(name), r"[^A-Za-z0-9\s._-]", ""), F.lit("."), F.lit(""))
     return F.concat(F.lit(base), percent_encode(F.replace(kept, F.lit(" "), F.lit("_"))))
 
@@ -65,6 +70,7 @@ def interpreted(value: Column) -> tuple[Column, Column]:
     return F.when(is_valid_uri(doi), "uri").otherwise("literal"), doi
 
 
+# Fixed value: the pattern of a DOI.
 DOI = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
 
 

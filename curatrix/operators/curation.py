@@ -50,9 +50,59 @@ def approve(staged: DataFrame, approved: DataFrame, keys: DataFrame, key: str) -
     return approved.unionByName(moved, allowMissingColumns=True), staged.join(keys, key, "left_anti")
 
 
-def save(store: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Edited rows replace those of their key, new keys are appended."""
-    return store.join(edits.select(key), key, "left_anti").unionByName(edits)
+def approve_reviewed(staged: DataFrame, approved: DataFrame, decisions: DataFrame, registry: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(approved, staged, registry) after records (key, authors, ...) with these keys move.
+
+    Their decisions (key, author, raw, decision, matched_canonical, new_canonical, ord) put the decided names in place
+    of the raw ones and enter the registry of pairs (canonical, variant), where a canonical without variants has a null."""
+    keys = staged.join(keys, key, "left_semi").select(key)
+    taken = decisions.join(keys, key, "left_semi").where("raw is not null and raw <> ''")
+    last = taken.groupBy(key, "author", "raw").agg(F.max_by(F.struct("decision", "matched_canonical", "new_canonical"), "ord").alias("d"))
+    value = decided_value(F.col("d.decision"), F.col("raw"), F.nullif("d.matched_canonical", F.lit("")), F.nullif("d.new_canonical", F.lit("")))
+    names = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("author", "raw").alias("k"), value.alias("v")))).alias("names"))
+    moved = staged.join(keys, key, "left_semi").join(names, key, "left")
+    renamed = lambda a: a.withField("affiliations", F.transform(a["affiliations"], lambda x: F.coalesce(F.try_element_at("names", F.struct(a["name"].alias("author"), x.alias("raw"))), x)))
+    moved = moved.withColumn("authors", F.transform("authors", renamed)).drop("names", *STAGING)
+    settled = last.withColumn("canonical", value).where(F.col("d.decision").isin("existing", "auto_existing", "new", "auto_new"))
+    new = F.col("d.decision").isin("new", "auto_new")
+    pairs = settled.select("canonical", F.when(F.col("canonical") != F.col("raw"), F.col("raw")).alias("variant"), new.alias("new")).where("variant is not null or new")
+    known = registry.select("canonical").distinct()
+    bare = pairs.where("variant is null").select("canonical").distinct().join(known, "canonical", "left_anti").join(pairs.where("variant is not null").select("canonical"), "canonical", "left_anti")
+    grown = registry_upsert(registry, pairs.where("variant is not null").select("canonical", "variant")).unionByName(bare.select("canonical", F.lit(None).cast("string").alias("variant")))
+    return approved.unionByName(moved, allowMissingColumns=True), staged.join(keys, key, "left_anti"), grown
+
+
+def save(store: DataFrame, edits: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The first row of each edited key, by `order`, takes the edit, new keys are appended; without an order keys are unique."""
+    if order is None:
+        return store.join(edits.select(key), key, "left_anti").unionByName(edits)
+    firsts = store.join(edits.select(key), key, "left_semi").groupBy(key).agg(F.min(order).alias(order))
+    others = store.join(firsts, [key, order], "left_anti")
+    return others.unionByName(edits.drop(order).join(firsts, key, "left").select(store.columns))
+
+
+def remove_author(records: DataFrame, decisions: DataFrame, removed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records, decisions) without the authors (key, author, place): the one at that place of the list goes, and with it every decision of that name."""
+    gone = removed.groupBy(key).agg(F.collect_set(F.col("place").cast("int")).alias("_places"))
+    kept = records.join(gone, key, "left").withColumn("authors", F.filter("authors", lambda a, i: ~F.coalesce(F.array_contains("_places", i), F.lit(False)))).drop("_places")
+    return kept, decisions.join(removed.select(key, "author").distinct(), [key, "author"], "left_anti")
+
+
+def rename_author(records: DataFrame, decisions: DataFrame, renamed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records, decisions) after renames (key, author, place, name): the author at that place, and every decision of the old name, also a namesake's."""
+    by = renamed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "name"))).alias("_names"))
+    new = lambda a, i: a.withField("name", F.coalesce(F.try_element_at("_names", i), a["name"]))
+    rows = records.join(by, key, "left").withColumn("authors", F.transform("authors", new)).drop("_names")
+    names = renamed.groupBy(key, "author").agg(F.max_by("name", "place").alias("_name"))
+    return rows, decisions.join(names, [key, "author"], "left").withColumn("author", F.coalesce("_name", "author")).drop("_name").select(decisions.columns)
+
+
+def remove_affiliation(records: DataFrame, decisions: DataFrame, removed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records, decisions) without affiliations (key, author, place, raw, at): item `at` of the author at that place, and decisions on that name of that author."""
+    gone = removed.groupBy(key).agg(F.collect_set(F.struct(F.col("place").cast("int").alias("place"), F.col("at").cast("int").alias("at"))).alias("_gone"))
+    left = lambda a, i: a.withField("affiliations", F.filter(a["affiliations"], lambda x, j: ~F.coalesce(F.array_contains("_gone", F.struct(i.cast("int").alias("place"), j.cast("int").alias("at"))), F.lit(False))))
+    rows = records.join(gone, key, "left").withColumn("authors", F.transform("authors", left)).drop("_gone")
+    return rows, decisions.join(removed.select(key, "author", "raw").distinct(), [key, "author", "raw"], "left_anti")
 
 
 def registry_upsert(registry: DataFrame, additions: DataFrame) -> DataFrame:
@@ -74,11 +124,11 @@ def cyclic_next(df: DataFrame, key: str, group: Column) -> DataFrame:
     return df.withColumn("next", F.coalesce(F.lead(key).over(w), F.first(key).over(whole)))
 
 
-def lazy_decisions(pairs: DataFrame, decisions: DataFrame, registry: DataFrame, similarity=text.levenshtein_similarity) -> DataFrame:
+def lazy_decisions(pairs: DataFrame, decisions: DataFrame, registry: DataFrame, similarity=text.ratio) -> DataFrame:
     """decisions (author, raw, matched_canonical, match_score, decision) with one by matching for every pair (author, raw) that has none; only names that lack one are matched."""
     names = ["author", "raw", "matched_canonical", "match_score", "decision"]
     open_pairs = pairs.select("author", "raw").distinct().join(decisions.select("author", "raw"), ["author", "raw"], "left_anti")
-    made = matching.decided(matching.best_match(matching.scored(open_pairs.select("raw"), registry, similarity)))
+    made = matching.decided(matching.match(open_pairs.select("raw"), registry, similarity))
     made = open_pairs.join(made, "raw", "left").select("author", "raw", F.col("canonical").alias("matched_canonical"), F.coalesce("score", F.lit(0.0)).alias("match_score"), F.coalesce("decision", F.lit("auto_new")).alias("decision"))
     return decisions.select(names).unionByName(made)
 

@@ -1,8 +1,9 @@
 """Registry matching, guarded merges and leader clustering.
 
-Fuzzy joins run on distinct strings and against a registry whose size is checked: up to BROADCAST_ROWS rows it is
-broadcast to a nested loop, beyond that both sides are dealt into blocks that meet once each. Length bounds discard
-pairs before any string is compared."""
+Fuzzy joins run on distinct strings, after equal ones have met by an ordinary join, and against a registry whose size
+is checked: up to BROADCAST_ROWS rows it is broadcast to a nested loop, beyond that both sides are dealt into blocks
+that meet once each. Length bounds discard pairs before any string is compared; only names for which no candidate
+reaches the lower threshold meet the rest of the registry."""
 
 from __future__ import annotations
 
@@ -21,11 +22,15 @@ BROADCAST_ROWS = 20_000
 Similarity = Callable[[Column, Column], Column]
 
 
-def registry_long(names: DataFrame, name: str) -> DataFrame:
-    """(candidate, canonical, ord) of canonicals in code point order."""
-    ranked = names.select(F.col(name).alias("candidate")).where("candidate is not null").distinct()
-    # One row per registry entry: a registry is small beside the strings that are matched to it.
-    return ranked.withColumn("canonical", F.col("candidate")).withColumn("ord", F.row_number().over(Window.orderBy("candidate")).cast("long"))
+def registry_long(registry: DataFrame, canonical: str, variant: str | None = None, place: str | None = None) -> DataFrame:
+    """(candidate, canonical, ord) of every canonical and its variants. ord orders candidates: canonicals in code point order, each before its variants in their places."""
+    own = registry.select(F.col(canonical).alias("canonical")).where("canonical is not null").distinct()
+    at = lambda x: F.struct(F.col("canonical").alias("name"), x.cast("int").alias("place")).alias("ord")
+    rows = own.select(F.col("canonical").alias("candidate"), "canonical", at(F.lit(-1)))
+    if variant:
+        named = registry.select(F.col(variant).alias("candidate"), F.col(canonical).alias("canonical"), (F.col(place) if place else F.lit(0)).alias("at"))
+        rows = rows.union(named.where("candidate is not null and canonical is not null").select("candidate", "canonical", at(F.col("at"))))
+    return rows
 
 
 def facing(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
@@ -39,16 +44,37 @@ def facing(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     return spread.join(copied.withColumnRenamed("_block", "_other"), (F.col("_block") == F.col("_other")) & condition).drop("_block", "_other")
 
 
-def scored(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.levenshtein_similarity, low: float = 0.0) -> DataFrame:
-    """(raw, candidate, canonical, ord, score) of pairs whose length bound reaches `low`."""
-    pairs = facing(raws.select("raw").where("raw is not null").distinct(), registry, text.ratio_bound(F.col("raw"), F.col("candidate")) >= low)
+def names_of(raws: DataFrame) -> DataFrame:
+    return raws.select("raw").where("raw is not null").distinct()
+
+
+def scored(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, condition: Column | None = None) -> DataFrame:
+    """(raw, candidate, canonical, ord, score) of the pairs that meet a condition on raw and candidate."""
+    pairs = facing(names_of(raws), registry, F.lit(True) if condition is None else condition)
     return pairs.withColumn("score", similarity(F.col("raw"), F.col("candidate")))
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
-    """(raw, canonical, score): the highest score, the first candidate in registry order on ties."""
-    best = F.max_by(F.struct("canonical", "score"), F.struct("score", (-F.col("ord")).alias("first")))
-    return pairs.groupBy("raw").agg(best.alias("b")).select("raw", "b.canonical", "b.score")
+    """(raw, canonical, score, ord): the highest score, the first candidate in registry order on ties."""
+    best = F.min_by(F.struct("canonical", "score", "ord"), F.struct((-F.col("score")).alias("down"), "ord"))
+    return pairs.groupBy("raw").agg(best.alias("b")).select("raw", "b.*")
+
+
+def match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, low: float = LOW) -> DataFrame:
+    """(raw, canonical, score): for each name the best of all candidates, as if it had met every one.
+
+    Names equal to a candidate apart from case score 1 without comparison. The others meet the candidates whose length
+    lets them reach `low`, and only those that find none there meet the rest. An empty registry gives no rows."""
+    names = names_of(raws)
+    known = registry.select(F.lower("candidate").alias("key"), "canonical", "ord").groupBy("key").agg(F.min_by(F.struct("canonical", "ord"), "ord").alias("b"))
+    exact = names.join(known, F.lower("raw") == F.col("key")).select("raw", "b.canonical", F.lit(1.0).alias("score"), "b.ord")
+    bound = text.ratio_bound(F.col("raw"), F.col("candidate"))
+    near = cut(best_match(scored(names.join(exact.select("raw"), "raw", "left_anti"), registry, similarity, bound >= low)))
+    found = exact.unionByName(near.where(F.col("score") >= low))
+    others = cut(names.join(found.select("raw"), "raw", "left_anti"))
+    far = scored(others, registry, similarity, bound < low).select("raw", "canonical", "score", "ord")
+    far = best_match(far.unionByName(near.where(F.col("score") < low)))
+    return found.unionByName(far).select("raw", "canonical", "score")
 
 
 def decided(matches: DataFrame, high: float = HIGH, low: float = LOW) -> DataFrame:
@@ -57,20 +83,33 @@ def decided(matches: DataFrame, high: float = HIGH, low: float = LOW) -> DataFra
     return matches.withColumn("decision", decision).withColumn("canonical", F.when(decision != "auto_new", F.col("canonical"))).withColumn("score", F.round("score", 4))
 
 
-def guarded_merge(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.levenshtein_similarity, threshold: float = MERGE, guard: float = GUARD) -> DataFrame:
-    """(raw, canonical, score): names to merge whose whole and whose first component are both alike, and whose address differs."""
-    first = lambda c: F.substring_index(c, " ", 1)
-    pairs = scored(raws, registry, similarity, 0.0).where(similarity(first(F.col("raw")), first(F.col("candidate"))) >= guard)
-    best = best_match(pairs).where(F.col("score") >= threshold)
-    return best.where(text.name_to_uri(F.col("raw")) != text.name_to_uri(F.col("canonical"))).withColumn("score", F.round("score", 4))
+def guarded_merge(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, threshold: float = MERGE, guard: float = GUARD, separator: str = ",") -> DataFrame:
+    """(raw, canonical, method, score): names to merge into a canonical whose whole and whose first component are both alike, and whose address differs.
+
+    A name that is a canonical stays. One that is a variant goes to its canonical if the two are alike, also when that
+    means to stay at the same address; the others, and variants that aren't alike, go to the most alike canonical."""
+    first = lambda c: F.trim(F.substring_index(c, separator, 1))
+    alike = lambda c: similarity(first(F.col("raw")), first(F.col(c))) >= guard
+    own = registry.where("candidate = canonical").select("candidate", "canonical", "ord").distinct()
+    names = names_of(raws).where("raw <> ''").join(own.select(F.col("canonical").alias("raw")), "raw", "left_anti")
+    variants = registry.where("candidate <> canonical").groupBy(F.col("candidate").alias("raw")).agg(F.max_by("canonical", "ord").alias("canonical"))
+    known = names.join(variants, "raw").withColumn("score", similarity(F.col("raw"), F.col("canonical")))
+    known = cut(known.where((F.col("score") >= threshold) & alike("canonical")).select("raw", "canonical", F.lit("variant-exact").alias("method"), "score"))
+    pairs = scored(names.join(known, "raw", "left_anti"), own, similarity, text.ratio_bound(F.col("raw"), F.col("candidate")) >= threshold)
+    best = best_match(pairs.where(F.col("score") >= threshold).where(alike("candidate")))
+    merges = known.unionByName(best.select("raw", "canonical", F.lit("fuzzy").alias("method"), "score"))
+    return merges.where(text.name_to_uri(F.col("raw")) != text.name_to_uri(F.col("canonical"))).withColumn("score", F.round("score", 4))
 
 
-def organisation_match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.levenshtein_similarity, threshold: float = ORGANISATION) -> DataFrame:
+def organisation_match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, threshold: float = ORGANISATION) -> DataFrame:
     """(raw, canonical, score): equal apart from case 1, containment either way 0.9, else the similarity."""
     a, b = F.lower("raw"), F.lower("candidate")
-    pairs = facing(raws.select("raw").where("raw is not null").distinct(), registry, F.lit(True))
-    score = F.when(a == b, F.lit(1.0)).when(F.contains(a, b) | F.contains(b, a), F.lit(0.9)).otherwise(similarity(F.col("raw"), F.col("candidate")))
-    return best_match(pairs.withColumn("score", score)).where(F.col("score") >= threshold).withColumn("score", F.round("score", 4))
+    inside = F.contains(a, b) | F.contains(b, a)
+    pairs = facing(names_of(raws), registry, inside | (text.ratio_bound(F.col("raw"), F.col("candidate")) >= threshold))
+    told = pairs.where(inside).withColumn("score", F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.9)))
+    other = pairs.where(~inside).withColumn("score", similarity(F.col("raw"), F.col("candidate")))
+    best = best_match(told.unionByName(other).where(F.col("score") >= threshold))
+    return best.select("raw", "canonical", F.round("score", 4).alias("score"))
 
 
 def leader_clusters(names: DataFrame, threshold: float = LOW) -> DataFrame:

@@ -21,15 +21,23 @@ def ordered_affiliations(authors: Column) -> Column:
 
 
 def author_display(authors: Column, contact: Column) -> Column:
-    """Names with the short form of their first affiliation, the contact first."""
+    """Names with the short form of their first affiliation that isn't empty, the contact first."""
     named = F.filter(authors, lambda a: a["name"].isNotNull() & (a["name"] != ""))
     first = F.concat(F.filter(named, lambda a: a["name"] == contact), F.filter(named, lambda a: ~a["name"].eqNullSafe(contact)))
-    shown = F.transform(first, lambda a: F.when(F.size(a["affiliations"]) > 0, F.concat(a["name"], F.lit(" ("), text.short_institution(a["affiliations"][0]), F.lit(")"))).otherwise(a["name"]))
+    own = lambda a: F.try_element_at(F.filter(a["affiliations"], lambda x: x != ""), F.lit(1))
+    shown = F.transform(first, lambda a: F.coalesce(F.concat(a["name"], F.lit(" ("), text.short_institution(own(a)), F.lit(")")), a["name"]))
     return F.array_join(shown, " · ")
 
 
+def author_details(authors: Column) -> Column:
+    """Named authors with all their affiliations as they stand."""
+    named = F.filter(authors, lambda a: a["name"].isNotNull() & (a["name"] != ""))
+    return F.transform(named, lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["affiliations"], F.array().cast("array<string>")).alias("affs")))
+
+
 def flatten(records: DataFrame) -> DataFrame:
-    """Search entries from records (file_title, title, contact, issued, authors)."""
+    """Search entries from records (file_title, title, contact, issued, authors, and keywords and relations if there are any)."""
+    there = lambda name, kind, empty: (F.coalesce(F.col(name), empty) if name in records.columns else empty).cast(kind).alias(name)
     authors = F.coalesce(F.col("authors"), F.array().cast("array<struct<name:string,affiliations:array<string>>>"))
     return records.select(
         "file_title",
@@ -38,7 +46,10 @@ def flatten(records: DataFrame) -> DataFrame:
         F.filter(F.transform(authors, lambda a: a["name"]), lambda x: x.isNotNull() & (x != "")).alias("authors"),
         ordered_affiliations(authors).alias("affiliations"),
         author_display(authors, F.col("contact")).alias("author_display"),
+        author_details(authors).alias("author_details"),
         F.substring("issued", 1, 4).alias("year"),
+        there("keywords", "string", F.lit("")),
+        there("relations", "array<string>", F.array()),
     )
 
 
@@ -51,12 +62,24 @@ def repaired(raw: Column) -> Column:
     single = lambda a: F.array(F.try_variant_get(one(a), "$.affiliations", "string"))
     lifted = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda a: F.when(F.startswith(a, F.lit("{")), author(F.coalesce(F.try_variant_get(one(a), "$.name", "string"), F.lit("")), F.filter(F.coalesce(many(a), single(a)), lambda x: x.isNotNull()))).otherwise(author(a, F.array().cast("array<string>"))))
     field = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")).alias(name)
-    return F.struct(field("title"), field("contact"), field("keywords"), lifted.alias("authors"))
+    relations = F.from_json(F.try_variant_get(v, "$.relations", "string"), "array<string>")
+    return F.struct(field("title"), field("contact"), field("keywords"), lifted.alias("authors"), F.coalesce(relations, F.array().cast("array<string>")).alias("relations"))
 
 
 def fill_empty(old: Column, new: Column) -> Column:
-    """The old value unless it is null or blank."""
-    return F.coalesce(F.nullif(F.trim(old), F.lit("")), F.nullif(F.trim(new), F.lit("")), old)
+    """The old value unless it is null, blank or the text of a missing number."""
+    held = lambda x: F.nullif(F.nullif(text.strip(x), F.lit("")), F.lit("nan"))
+    return F.coalesce(held(old), held(new), old)
+
+
+def fill_empty_list(old: Column, new: Column) -> Column:
+    """The old list unless it is null or empty."""
+    return F.when(F.coalesce(F.size(old), F.lit(0)) > 0, old).otherwise(F.coalesce(new, old))
+
+
+def listed(title: Column, n: int = 55) -> Column:
+    """A title as a list shows it."""
+    return F.substring(title, 1, n)
 
 
 def badge(status: Column, pending: Column) -> Column:

@@ -45,18 +45,34 @@ def restrictions(edges: DataFrame, prop: str) -> DataFrame:
     return exploded(with_node, triple(s, SUBCLASS, b, "bnode"), triple(b, TYPE, F.lit(RESTRICTION)), triple(b, "owl:onProperty", F.lit(prop)), triple(b, "owl:someValuesFrom", o)).distinct()
 
 
-# Properties with domain, range and inverse.
+# Object properties with their label, domain, range, inverse and the inverse's label; annotation properties; properties of citations as literals.
+CITATION, SOURCE = "ex:Citation", "schema:sourceOrganization"
 PROPERTIES = [
-    (AUTHOR, ABSTRACT, PERSON, AUTHOR_OF),
-    (CONTACT, ABSTRACT, PERSON, CONTACT_FOR),
-    (AFFILIATION, PERSON, ORGANISATION, AFFILIATION_OF),
+    (AUTHOR, "has author", ABSTRACT, PERSON, AUTHOR_OF, "is author of"),
+    (CONTACT, "contact point", ABSTRACT, PERSON, CONTACT_FOR, "is contact for"),
+    (AFFILIATION, "has affiliation", PERSON, ORGANISATION, AFFILIATION_OF, "is affiliation of"),
+    (SOURCE, "source organization", ABSTRACT, ORGANISATION, "ex:isSourceOf", "is source of"),
 ]
+CITED = [
+    ("ex:hasCitation", "has citation", ABSTRACT, CITATION, "ex:isCitationOf", "is citation of"),
+    ("ex:hasReference", "has reference", ABSTRACT, CITATION, "ex:isReferenceOf", "is reference of"),
+]
+CITED_LITERALS = [("ex:citation", "citation", ABSTRACT), ("ex:reference", "reference", ABSTRACT)]
+ANNOTATIONS = "dct:title dct:abstract dct:subject dct:date dct:format dct:identifier dct:type dct:created dct:creator dct:description rdfs:label rdfs:comment owl:versionInfo dct:issued dct:language dct:publisher dcat:keyword dcat:theme".split()
 
 
-def ontology(spark) -> DataFrame:
+def ontology(spark, citations_as_classes: bool = True) -> DataFrame:
+    """Classes, properties in both directions and annotation properties."""
     rows = [(c, TYPE, "owl:Class", "uri") for c in (ABSTRACT, PERSON, ORGANISATION)]
-    for prop, domain, range_, inverse in PROPERTIES:
-        rows += [(prop, TYPE, "owl:ObjectProperty", "uri"), (prop, "rdfs:domain", domain, "uri"), (prop, "rdfs:range", range_, "uri"), (prop, "owl:inverseOf", inverse, "uri"), (inverse, TYPE, "owl:ObjectProperty", "uri"), (inverse, "rdfs:domain", range_, "uri"), (inverse, "rdfs:range", domain, "uri")]
+    for prop, name, domain, range_, inverse, back in PROPERTIES + (CITED if citations_as_classes else []):
+        for p, label, a, b in ((prop, name, domain, range_), (inverse, back, range_, domain)):
+            rows += [(p, TYPE, "owl:ObjectProperty", "uri"), (p, LABEL, label, "literal"), (p, "rdfs:domain", a, "uri"), (p, "rdfs:range", b, "uri")]
+        rows.append((prop, "owl:inverseOf", inverse, "uri"))
+    for prop, label, domain in [("dct:relation", "relation", ABSTRACT)] + ([] if citations_as_classes else CITED_LITERALS):
+        rows += [(prop, TYPE, "owl:DatatypeProperty", "uri"), (prop, LABEL, label, "literal"), (prop, "rdfs:domain", domain, "uri")]
+    rows += [(p, TYPE, "owl:AnnotationProperty", "uri") for p in ANNOTATIONS]
+    if citations_as_classes:
+        rows.append((CITATION, TYPE, "owl:Class", "uri"))
     return spark.createDataFrame(rows, "s string, p string, o string, o_kind string")
 
 
@@ -81,13 +97,21 @@ def resolved(merges: DataFrame, rounds: int = 8) -> DataFrame:
     return merges
 
 
-def merge_uris(triples: DataFrame, merges: DataFrame) -> DataFrame:
-    """Triples with subjects and objects rewritten; addresses only, never literals."""
+def merge_uris(triples: DataFrame, merges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Triples with subjects and objects rewritten; addresses only, never literals.
+
+    names (new, label): organisations that are merged into; those that no triple knows as one get class, superclass and label."""
     by = resolved(merges)
     subjects, objects = by.toDF("s", "new_s"), by.toDF("o", "new_o")
     out = triples.join(subjects, "s", "left").join(objects, "o", "left")
     o = F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.coalesce("new_o", "o"))
-    return out.select(F.coalesce("new_s", "s").alias("s"), "p", o.alias("o"), "o_kind").distinct()
+    out = out.select(F.coalesce("new_s", "s").alias("s"), "p", o.alias("o"), "o_kind")
+    if names is not None:
+        known = triples.where((F.col("p") == SUBCLASS) & (F.col("o") == ORGANISATION)).select(F.col("s").alias("new"))
+        fresh = names.join(by.select("new"), "new", "left_semi").join(known, "new", "left_anti")
+        n = F.col("new")
+        out = out.union(exploded(fresh, triple(n, TYPE, F.lit("owl:Class")), triple(n, SUBCLASS, F.lit(ORGANISATION)), triple(n, LABEL, F.col("label"), "literal")))
+    return out.distinct()
 
 
 def orphans(triples: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -103,6 +127,8 @@ def orphans(triples: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def cascade_delete(triples: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Triples without doomed abstracts (s) and their orphans, as subject or object."""
+    """Triples without doomed abstracts (s) and their orphans, as subject or as object address; a literal that reads like one stays."""
     gone = cut(doomed.select(F.col("s").alias("node")).union(orphans(triples, doomed).select("node")).distinct())
-    return triples.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "o"), "o", "left_anti").select(COLUMNS)
+    objects = gone.select(F.col("node").alias("o"), F.lit(True).alias("_gone"))
+    left = triples.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(objects, "o", "left")
+    return left.where("_gone is null or o_kind = 'literal'").select(COLUMNS)

@@ -59,21 +59,23 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")).otherwise(F.concat("o_orderpriority", F.lit(" "), "o_orderstatus"))
     rows = orders.join(people, F.col("o_orderkey") == F.col("k"))
     authors = F.transform("people", lambda x: x["author"])
-    return rows.select(F.concat(F.lit("abstract_"), "o_orderkey").alias("file_title"), title.alias("title"), F.element_at(authors, -1)["name"].alias("contact"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"), authors.alias("authors"))
+    return rows.select(F.concat(F.lit("abstract_"), "o_orderkey").alias("file_title"), title.alias("title"), F.element_at(authors, -1)["name"].alias("contact"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"), authors.alias("authors"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("keywords"), F.array(F.concat(F.lit("10.1000/"), F.col("o_custkey").cast("string"))).alias("relations"))
 
 
 @query(f"""WITH {AUTHORS_SQL},
     firsts AS (SELECT k, aff, min(pos) AS p FROM named GROUP BY 1, 2),
     affs AS (SELECT k, string_agg(aff, ' | ' ORDER BY p) AS affiliations FROM firsts GROUP BY 1),
     last AS (SELECT k, arg_max(u, pos) AS cu, arg_max(name, pos) AS contact FROM named GROUP BY 1),
-    shown AS (SELECT k, string_agg(name, ' | ' ORDER BY pos) AS authors,
+    shown AS (SELECT k, string_agg(name, ' | ' ORDER BY pos) AS authors, string_agg(name || ': ' || aff, ' | ' ORDER BY pos) AS details,
         string_agg(name || ' (' || split_part(aff, ',', 1) || ')', ' · ' ORDER BY CASE WHEN u = cu THEN 0 ELSE 1 END, pos) AS author_display, min(contact) AS contact
         FROM named JOIN last USING (k) GROUP BY 1)
     SELECT 'abstract_' || o_orderkey AS file_title, CASE WHEN o_orderpriority = '1-URGENT' THEN 'abstract_' || o_orderkey ELSE o_orderpriority || ' ' || o_orderstatus END AS title,
-        contact, authors, affiliations, author_display, strftime(o_orderdate, '%Y') AS year
+        contact, authors, affiliations, author_display, details AS author_details, strftime(o_orderdate, '%Y') AS year,
+        CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority ELSE '' END AS keywords, '10.1000/' || o_custkey AS relations
     FROM orders JOIN shown ON k = o_orderkey JOIN affs USING (k)""")
 def flatten_entries(spark, sf_dir):
-    return records.flatten(nested(spark, sf_dir)).withColumns({c: F.array_join(c, " | ") for c in ("authors", "affiliations")})
+    flat = records.flatten(nested(spark, sf_dir)).withColumns({c: F.array_join(c, " | ") for c in ("authors", "affiliations", "relations")})
+    return flat.withColumn("author_details", F.array_join(F.transform("author_details", lambda a: F.concat(a["name"], F.lit(": "), F.array_join(a["affs"], "; "))), " | "))
 
 
 @query(f"""WITH {AUTHORS_SQL}, firsts AS (SELECT k, aff, min(pos) AS p FROM named GROUP BY 1, 2)
@@ -101,17 +103,17 @@ def title_fallback_year(spark, sf_dir):
 
 
 @query("""SELECT event_id, event_type AS title, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'user ' || user_id END AS contact, '' AS keywords,
-    CASE WHEN event_id % 2 = 0 THEN 'user ' || user_id || ':' ELSE 'user ' || user_id || ':' || event_type END AS authors FROM events""")
+    CASE WHEN event_id % 2 = 0 THEN 'user ' || user_id || ':' ELSE 'user ' || user_id || ':' || event_type END AS authors, CASE WHEN event_id % 3 = 0 THEN '' ELSE '10.1/' || event_id || ';7' END AS relations FROM events""")
 def schema_repair(spark, sf_dir):
     """Even rows give an author as a string, odd rows an author with a scalar affiliation; every third row has no contact."""
     e = table(spark, sf_dir, "events")
     name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
-    contact = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('"contact": "'), name, F.lit('", ')))
+    contact = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('"contact": "'), name, F.lit('", "relations": ["10.1/'), F.col("event_id").cast("string"), F.lit('", 7], ')))
     person = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.concat(F.lit('{"name": "'), name, F.lit('", "affiliations": "'), "event_type", F.lit('"}')))
     raw = F.concat(F.lit('{"title": "'), "event_type", F.lit('", '), contact, F.lit('"keywords": null, "authors": ['), person, F.lit("]}"))
     fixed = e.select("event_id", records.repaired(raw).alias("r")).select("event_id", "r.*")
     shown = F.transform("authors", lambda a: F.concat(a["name"], F.lit(":"), F.array_join(a["affiliations"], "+")))
-    return fixed.select("event_id", "title", "contact", "keywords", F.array_join(shown, ";").alias("authors"))
+    return fixed.select("event_id", "title", "contact", "keywords", F.array_join(shown, ";").alias("authors"), F.array_join("relations", ";").alias("relations"))
 
 
 @query("SELECT d.doc_id, CASE WHEN quality IS NULL THEN lang WHEN quality = 0 THEN lang ELSE 'q' || quality END AS value FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -167,9 +169,9 @@ def total_vs_distinct(spark, sf_dir):
 
 # Matching
 
-RAWS_SQL = """reg AS (SELECT p_name AS c, row_number() OVER (ORDER BY p_name) AS o FROM (SELECT DISTINCT p_name FROM part)),
+RAWS_SQL = """reg AS (SELECT DISTINCT p_name AS cand, p_name AS c, -1 AS o FROM part UNION ALL SELECT p_name || ' ' || lower(min(p_type)), p_name, 1 FROM part GROUP BY p_name),
     raws AS (SELECT DISTINCT p_name AS raw FROM part UNION SELECT DISTINCT substr(p_name, 2) FROM part UNION SELECT DISTINCT p_name || ' ' || lower(p_type) FROM part),
-    pairs AS (SELECT raw, c, o, 1 - levenshtein(lower(raw), lower(c)) / greatest(length(raw), length(c))::DOUBLE AS s FROM raws, reg)"""
+    pairs AS (SELECT raw, cand, c, o, 1 - levenshtein(lower(raw), lower(cand)) / greatest(length(raw), length(cand))::DOUBLE AS s FROM raws, reg)"""
 
 
 def raws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,44 +180,65 @@ def raws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.registry_long(table(spark, sf_dir, "part"), "p_name")
+    """Part names as canonicals, each with one variant: the name with its first type."""
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.concat("p_name", F.lit(" "), F.lower(F.min("p_type"))).alias("variant"))
+    return matching.registry_long(names.withColumn("place", F.lit(1)), "p_name", "variant", "place")
 
 
-@query(f"""WITH {RAWS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, o) AS r FROM pairs)
+def canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("candidate")).distinct()
+
+
+@query(f"""WITH {RAWS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, c, o) AS r FROM pairs)
     SELECT raw, CASE WHEN s >= 0.7 THEN c END AS canonical, round(s, 4) AS score, CASE WHEN s >= 0.95 THEN 'auto_existing' WHEN s < 0.7 THEN 'auto_new' ELSE 'pending' END AS decision FROM best WHERE r = 1""")
 def registry_match_lev(spark, sf_dir):
-    return matching.decided(matching.best_match(matching.scored(raws(spark, sf_dir), registry(spark, sf_dir))))
+    return matching.decided(matching.match(raws(spark, sf_dir), registry(spark, sf_dir), text.levenshtein_similarity))
 
 
 @query()
 def registry_match_ratio(spark, sf_dir):
-    return matching.decided(matching.best_match(matching.scored(raws(spark, sf_dir), registry(spark, sf_dir), text.ratio)))
+    return matching.decided(matching.match(raws(spark, sf_dir), registry(spark, sf_dir)))
+
+
+# Labels of organisations: the words of a part's name as components; each canonical's variant lacks the first letter of one.
+LABELS_SQL = """reg AS (SELECT DISTINCT replace(p_name, ' ', ', ') AS c FROM part WHERE p_size % 2 = 0), var AS (SELECT v, max(c) AS c FROM (SELECT substr(c, 2) AS v, c FROM reg UNION ALL SELECT 'x' || c || ' and all that stands beside it', c FROM reg) GROUP BY 1),
+    raws AS (SELECT DISTINCT replace(p_name, ' ', ', ') AS raw FROM part UNION SELECT v FROM var UNION SELECT DISTINCT replace(p_name, ' ', ', ') || 's' FROM part),
+    names AS (SELECT raw FROM raws WHERE raw NOT IN (SELECT c FROM reg)),
+    pairs AS (SELECT raw, c, 1 - levenshtein(lower(raw), lower(c)) / greatest(length(raw), length(c))::DOUBLE AS s,
+        1 - levenshtein(lower(trim(split_part(raw, ',', 1))), lower(trim(split_part(c, ',', 1)))) / greatest(length(trim(split_part(raw, ',', 1))), length(trim(split_part(c, ',', 1))))::DOUBLE AS g FROM names, reg)"""
+GUARD_SQL = """known AS (SELECT raw, pairs.c AS c, s FROM pairs JOIN var ON v = raw AND var.c = pairs.c WHERE s >= 0.72 AND g >= 0.72),
+    ranked AS (SELECT raw, c, s, row_number() OVER (PARTITION BY raw ORDER BY s DESC, c) AS r FROM pairs WHERE g >= 0.72 AND raw NOT IN (SELECT raw FROM known)),
+    merged AS (SELECT raw, c AS canonical, 'variant-exact' AS method, round(s, 4) AS score FROM known UNION ALL SELECT raw, c, 'fuzzy', round(s, 4) FROM ranked WHERE r = 1 AND s >= 0.72)"""
 
 
-GUARD_SQL = """ok AS (SELECT * FROM pairs WHERE 1 - levenshtein(lower(split_part(raw, ' ', 1)), lower(split_part(c, ' ', 1))) / greatest(length(split_part(raw, ' ', 1)), length(split_part(c, ' ', 1)))::DOUBLE >= 0.72),
-    best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, o) AS r FROM ok)
-    SELECT raw, c AS canonical, round(s, 4) AS score FROM best WHERE r = 1 AND s >= 0.72 AND raw <> c"""
+def labels_of_organisations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(raws, registry) as LABELS_SQL makes them."""
+    part = table(spark, sf_dir, "part").select("p_size", F.replace("p_name", F.lit(" "), F.lit(", ")).alias("c"))
+    reg = part.where("p_size % 2 = 0").select("c").distinct()
+    variants = reg.select("c", F.explode(F.array(F.expr("substr(c, 2)"), F.concat(F.lit("x"), "c", F.lit(" and all that stands beside it")))).alias("v")).withColumn("place", F.lit(1))
+    names = part.select(F.col("c").alias("raw")).union(variants.select("v")).union(part.select(F.concat("c", F.lit("s"))))
+    return names, matching.registry_long(variants, "c", "v", "place")
 
 
-@query(f"WITH {RAWS_SQL}, {GUARD_SQL}")
+@query(f"WITH {LABELS_SQL}, {GUARD_SQL} SELECT raw, canonical, method, score FROM merged")
 def guarded_merge_lev(spark, sf_dir):
-    return matching.guarded_merge(raws(spark, sf_dir), registry(spark, sf_dir))
+    return matching.guarded_merge(*labels_of_organisations(spark, sf_dir), text.levenshtein_similarity)
 
 
 @query()
 def guarded_merge_ratio(spark, sf_dir):
-    return matching.guarded_merge(raws(spark, sf_dir), registry(spark, sf_dir), text.ratio)
+    return matching.guarded_merge(*labels_of_organisations(spark, sf_dir))
 
 
-@query(f"WITH {RAWS_SQL}, {GUARD_SQL}".replace("SELECT raw, c AS canonical, round(s, 4) AS score", "SELECT c AS canonical, count(*)::BIGINT AS n, round(min(s), 4) AS lowest") + " GROUP BY 1")
+@query(f"WITH {LABELS_SQL}, {GUARD_SQL} SELECT canonical, count(*)::BIGINT AS n, round(min(score), 4) AS lowest FROM merged GROUP BY 1")
 def merge_report_dry_run(spark, sf_dir):
-    return matching.guarded_merge(raws(spark, sf_dir), registry(spark, sf_dir)).groupBy("canonical").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
+    return matching.guarded_merge(*labels_of_organisations(spark, sf_dir), text.levenshtein_similarity).groupBy("canonical").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
 
 
-@query(f"""WITH {RAWS_SQL}, sc AS (SELECT raw, c, o, CASE WHEN lower(raw) = lower(c) THEN 1.0 WHEN contains(lower(raw), lower(c)) OR contains(lower(c), lower(raw)) THEN 0.9 ELSE s END AS s FROM pairs),
-    best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, o) AS r FROM sc) SELECT raw, c AS canonical, round(s, 4)::DOUBLE AS score FROM best WHERE r = 1 AND s >= 0.85""")
+@query(f"""WITH {RAWS_SQL}, sc AS (SELECT raw, c, o, CASE WHEN lower(raw) = lower(cand) THEN 1.0 WHEN contains(lower(raw), lower(cand)) OR contains(lower(cand), lower(raw)) THEN 0.9 ELSE s END AS s FROM pairs),
+    best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, c, o) AS r FROM sc) SELECT raw, c AS canonical, round(s, 4)::DOUBLE AS score FROM best WHERE r = 1 AND s >= 0.85""")
 def org_match_containment(spark, sf_dir):
-    return matching.organisation_match(raws(spark, sf_dir), registry(spark, sf_dir))
+    return matching.organisation_match(raws(spark, sf_dir), registry(spark, sf_dir), text.levenshtein_similarity)
 
 
 @query("SELECT count(*)::BIGINT AS n, round(sum(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE), 3) AS total FROM (SELECT DISTINCT lower(p_name) AS a FROM part) x, (SELECT DISTINCT lower(p_name) AS b FROM part) y WHERE a < b")
@@ -233,7 +256,7 @@ def similarity_ratio(spark, sf_dir):
 
 @query()
 def cluster_leader(spark, sf_dir):
-    names = registry(spark, sf_dir).select(F.col("candidate").alias("name"), "ord")
+    names = canonicals(spark, sf_dir).select(F.col("candidate").alias("name"), F.col("candidate").alias("ord"))
     return matching.leader_clusters(names, 0.70)
 
 
@@ -360,16 +383,78 @@ def edit_tracking(spark, sf_dir):
     return curation.edited(docs, table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang")), "doc_id", "lang")
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS n FROM conversations WHERE role <> 'system' GROUP BY 1")
+PLACED_SQL = f"""WITH {AUTHORS_SQL},
+    placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS place, 'abstract_' || k AS file_title FROM named),
+    dec AS (SELECT *, CASE u % 4 WHEN 0 THEN 'existing' WHEN 1 THEN 'new' WHEN 2 THEN 'auto_new' ELSE 'pending' END AS decision FROM placed)"""
+
+
+def _reviewed(spark, sf_dir):
+    """(records, decisions, firsts): a decision for every author and affiliation, and the first author of every second record."""
+    people = authorship(spark, sf_dir)
+    decision = F.when(F.col("u") % 4 == 0, "existing").when(F.col("u") % 4 == 1, "new").when(F.col("u") % 4 == 2, "auto_new").otherwise("pending")
+    made = people.select(F.concat(F.lit("abstract_"), "k").alias("file_title"), F.col("name").alias("author"), F.col("aff").alias("raw"), decision.alias("decision"), F.when(decision == "existing", F.concat(F.lit("Canon "), "aff")).alias("matched_canonical"), F.when(decision == "new", F.concat(F.lit("New "), "aff")).alias("new_canonical"), "pos")
+    whole = nested(spark, sf_dir).select("file_title", "authors")
+    firsts = whole.where("cast(substr(file_title, 10) as long) % 2 = 0").select("file_title", F.col("authors")[0]["name"].alias("author"), F.col("authors")[0]["affiliations"][0].alias("raw"), F.lit(0).alias("place"), F.lit(0).alias("at"))
+    return whole, made.withColumn("ord", F.col("pos")).drop("pos"), firsts
+
+
+def _shown(df, *more):
+    people = F.array_join(F.transform("authors", lambda a: F.concat(a["name"], F.lit(": "), F.array_join(a["affiliations"], "; "))), " | ")
+    return df.select("file_title", people.alias("authors"), *more)
+
+
+def _with_decisions(rows, made):
+    counts = made.groupBy("file_title").agg(F.array_join(F.sort_array(F.collect_list("author")), " | ").alias("decided"))
+    return _shown(rows).join(counts, "file_title", "left")
+
+
+@query(f"""{PLACED_SQL}, kept AS (SELECT * FROM placed WHERE k % 2 = 1 OR place > 0), shown AS (SELECT file_title, string_agg(name || ': ' || aff, ' | ' ORDER BY pos) AS authors, string_agg(name, ' | ' ORDER BY name) AS decided FROM kept GROUP BY 1)
+    SELECT DISTINCT file_title, coalesce(authors, '') AS authors, decided FROM placed LEFT JOIN shown USING (file_title)""")
 def remove_author_cascade(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
-    return turns.select("conv_id", F.filter("r", lambda x: x != "system").alias("r")).where(F.size("r") > 0).select("conv_id", F.size("r").cast("long").alias("n"))
+    rows, made, firsts = _reviewed(spark, sf_dir)
+    return _with_decisions(*curation.remove_author(rows, made, firsts, "file_title"))
 
 
-@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'person' ELSE role END, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+@query(f"""{PLACED_SQL}, r AS (SELECT *, CASE WHEN k % 2 = 0 AND place = 0 THEN 'Renamed' ELSE name END AS new FROM placed)
+    SELECT file_title, string_agg(new || ': ' || aff, ' | ' ORDER BY pos) AS authors, string_agg(new, ' | ' ORDER BY new) AS decided FROM r GROUP BY 1""")
 def rename_author_cascade(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return turns.select("conv_id", F.array_join(F.transform("r", lambda x: F.when(x["role"] == "user", "person").otherwise(x["role"])), ",").alias("roles"))
+    rows, made, firsts = _reviewed(spark, sf_dir)
+    return _with_decisions(*curation.rename_author(rows, made, firsts.withColumn("name", F.lit("Renamed")), "file_title"))
+
+
+@query(f"""{PLACED_SQL}, r AS (SELECT *, k % 2 = 0 AND place = 0 AS gone FROM placed)
+    SELECT file_title, string_agg(name || ': ' || CASE WHEN gone THEN '' ELSE aff END, ' | ' ORDER BY pos) AS authors, string_agg(name, ' | ' ORDER BY name) FILTER (NOT gone) AS decided FROM r GROUP BY 1""")
+def remove_affiliation_cascade(spark, sf_dir):
+    rows, made, firsts = _reviewed(spark, sf_dir)
+    return _with_decisions(*curation.remove_affiliation(rows, made, firsts, "file_title"))
+
+
+def _approved(spark, sf_dir):
+    rows, made, _ = _reviewed(spark, sf_dir)
+    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("Canon "), "n_name").alias("canonical"), F.lit(None).cast("string").alias("variant"))
+    number = F.expr("cast(substr(file_title, 10) as long)")
+    return curation.approve_reviewed(rows.where(number % 2 == 0).withColumn("_status", F.lit("pending")), rows.where(number % 2 == 1), made, known, rows.where(number % 3 == 0).select("file_title"), "file_title")
+
+
+@query(f"""{PLACED_SQL} SELECT file_title, string_agg(name || ': ' || CASE WHEN k % 6 = 0 AND decision = 'existing' THEN 'Canon ' || aff WHEN k % 6 = 0 AND decision = 'new' THEN 'New ' || aff ELSE aff END, ' | ' ORDER BY pos) AS authors,
+    CASE WHEN k % 2 = 1 OR k % 3 = 0 THEN 'approved' ELSE 'staged' END AS store FROM dec GROUP BY k, file_title""")
+def approve_reviewed(spark, sf_dir):
+    approved, staged, _ = _approved(spark, sf_dir)
+    return _shown(approved, F.lit("approved").alias("store")).union(_shown(staged, F.lit("staged").alias("store")))
+
+
+@query(f"""{PLACED_SQL}, own AS (SELECT DISTINCT CASE decision WHEN 'existing' THEN 'Canon ' || aff WHEN 'new' THEN 'New ' || aff ELSE aff END AS canonical, CASE WHEN decision <> 'auto_new' THEN aff END AS variant FROM dec WHERE k % 6 = 0 AND decision <> 'pending')
+    SELECT canonical, variant FROM own UNION ALL SELECT 'Canon ' || n_name, NULL FROM nation""")
+def approve_registry(spark, sf_dir):
+    return _approved(spark, sf_dir)[2]
+
+
+@query("SELECT doc_id, CASE WHEN r = 1 AND quality = 0 THEN 'edited' ELSE lang END AS lang, r::BIGINT AS place FROM (SELECT d.doc_id, lang, quality, row_number() OVER (PARTITION BY d.doc_id ORDER BY c) AS r FROM documents d JOIN labels l ON d.doc_id = l.doc_id, range(2) t(c))")
+def save_first_of_key(spark, sf_dir):
+    """Every row stands twice in the store: the first one of a key takes the edit."""
+    labels = table(spark, sf_dir, "labels")
+    store = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi").select("doc_id", "lang", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("place"))
+    return curation.save(store, labels.where("quality = 0").select("doc_id", F.lit("edited").alias("lang")), "doc_id", "place")
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) || ',added' AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <> 2 GROUP BY 1")
@@ -529,9 +614,9 @@ def json_carve(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.carved_json(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))).alias("carved"))
 
 
-@query("SELECT DISTINCT replace(p_name || ' & ' || p_type, ' ', '%20').replace('&', '%26') AS enc FROM part")
+@query("SELECT DISTINCT replace(p_name || ' & (!''~*) ' || p_type, ' ', '%20').replace('&', '%26') AS enc FROM part")
 def percent_encode(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(text.percent_encode(F.concat("p_name", F.lit(" & "), "p_type")).alias("enc")).distinct()
+    return table(spark, sf_dir, "part").select(text.percent_encode(F.concat("p_name", F.lit(" & (!'~*) "), "p_type")).alias("enc")).distinct()
 
 
 @query("SELECT DISTINCT 'http://example.org/ns#' || replace(left(p_name || ' ' || p_type, 12), ' ', '_') AS uri, left(p_name || ' ' || p_type, 20) AS label FROM part WHERE right(left(p_name || ' ' || p_type, 12), 1) <> ' '")
@@ -562,9 +647,9 @@ def search_topk_contains(spark, sf_dir):
 
 @query()
 def search_topk_ratio(spark, sf_dir):
-    names = registry(spark, sf_dir).select("candidate", "ord")
+    names = canonicals(spark, sf_dir)
     score = F.greatest(text.ratio(F.lit("blue steel"), F.col("candidate")), F.contains(F.lower("candidate"), F.lit("blue steel")).cast("double"))
-    return names.withColumn("score", score).where("score >= 0.3").orderBy(F.desc("score"), "ord").limit(30).select("candidate", F.round("score", 4).alias("score"))
+    return names.withColumn("score", score).where("score >= 0.3").orderBy(F.desc("score"), "candidate").limit(30).select("candidate", F.round("score", 4).alias("score"))
 
 
 @query("SELECT conv_id, max(CASE WHEN contains(lower(text), 'and') THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM conversations GROUP BY 1")
@@ -625,7 +710,17 @@ def class_restrictions(spark, sf_dir):
     return out.where("o_kind = 'bnode'").select("s", F.col("o").alias("b")).join(some, "b").select("b", "s", "o")
 
 
-@query()
+_PROPERTIES_SQL = """pr(p, l, d, r, i, b) AS (VALUES ('ex:hasAuthor', 'has author', 'ex:Abstract', 'foaf:Person', 'ex:isAuthorOf', 'is author of'), ('ex:contactPoint', 'contact point', 'ex:Abstract', 'foaf:Person', 'ex:isContactFor', 'is contact for'),
+    ('ex:hasAffiliation', 'has affiliation', 'foaf:Person', 'schema:Organization', 'ex:isAffiliationOf', 'is affiliation of'), ('schema:sourceOrganization', 'source organization', 'ex:Abstract', 'schema:Organization', 'ex:isSourceOf', 'is source of'),
+    ('ex:hasCitation', 'has citation', 'ex:Abstract', 'ex:Citation', 'ex:isCitationOf', 'is citation of'), ('ex:hasReference', 'has reference', 'ex:Abstract', 'ex:Citation', 'ex:isReferenceOf', 'is reference of')),
+    ways AS (SELECT p, l, d, r FROM pr UNION ALL SELECT i, b, r, d FROM pr)"""
+
+
+@query(f"""WITH {_PROPERTIES_SQL} SELECT p AS s, 'rdf:type' AS p, 'owl:ObjectProperty' AS o, 'uri' AS o_kind FROM ways UNION ALL SELECT p, 'rdfs:label', l, 'literal' FROM ways UNION ALL SELECT p, 'rdfs:domain', d, 'uri' FROM ways
+    UNION ALL SELECT p, 'rdfs:range', r, 'uri' FROM ways UNION ALL SELECT p, 'owl:inverseOf', i, 'uri' FROM pr
+    UNION ALL SELECT c, 'rdf:type', 'owl:Class', 'uri' FROM (VALUES ('ex:Abstract'), ('foaf:Person'), ('schema:Organization'), ('ex:Citation')) x(c)
+    UNION ALL SELECT 'dct:relation', * FROM (VALUES ('rdf:type', 'owl:DatatypeProperty', 'uri'), ('rdfs:label', 'relation', 'literal'), ('rdfs:domain', 'ex:Abstract', 'uri')) y(a, b, c)
+    UNION ALL SELECT unnest(string_split('dct:title dct:abstract dct:subject dct:date dct:format dct:identifier dct:type dct:created dct:creator dct:description rdfs:label rdfs:comment owl:versionInfo dct:issued dct:language dct:publisher dcat:keyword dcat:theme', ' ')), 'rdf:type', 'owl:AnnotationProperty', 'uri'""")
 def ontology_header(spark, sf_dir):
     return triples.ontology(spark)
 
@@ -673,10 +768,24 @@ def orphan_preview(spark, sf_dir):
     return triples.orphans(t, _doomed(t))
 
 
-@query(f"WITH {ORPHAN_SQL}, gone AS (SELECT s AS n FROM doomed UNION SELECT node FROM orphan) SELECT s, p, o, o_kind FROM t WHERE s NOT IN (SELECT n FROM gone) AND o NOT IN (SELECT n FROM gone)")
+@query(f"""WITH {EDGES_SQL.replace(" AS (", " AS MATERIALIZED (")},
+    con AS MATERIALIZED (SELECT a, min(u) AS u FROM ua GROUP BY 1), ab AS MATERIALIZED (SELECT 'a:' || o_orderkey AS a, o_orderpriority AS title, c.u AS contact FROM orders LEFT JOIN con c ON c.a = 'a:' || o_orderkey),
+    doomed AS MATERIALIZED (SELECT DISTINCT a FROM ua SEMI JOIN (SELECT u FROM uf WHERE f = 'f:0') x USING (u)),
+    kept_people AS MATERIALIZED (SELECT DISTINCT u FROM ua ANTI JOIN doomed USING (a)), people AS MATERIALIZED (SELECT DISTINCT u FROM ua SEMI JOIN doomed USING (a)),
+    po AS MATERIALIZED (SELECT u FROM people ANTI JOIN kept_people USING (u)), kept_orgs AS MATERIALIZED (SELECT DISTINCT f FROM uf ANTI JOIN po USING (u)),
+    oo AS MATERIALIZED (SELECT DISTINCT f FROM uf SEMI JOIN po USING (u) ANTI JOIN kept_orgs USING (f)),
+    gone AS MATERIALIZED (SELECT a AS n FROM doomed UNION SELECT u FROM po UNION SELECT f FROM oo),
+    t AS MATERIALIZED (SELECT a AS s, 'rdf:type' AS p, 'ex:Abstract' AS o, 'uri' AS o_kind FROM ab UNION ALL SELECT a, 'rdfs:label', title, 'literal' FROM ab
+        UNION ALL SELECT a, 'ex:contactPoint', contact, 'uri' FROM ab WHERE contact IS NOT NULL UNION ALL SELECT contact, 'ex:isContactFor', a, 'uri' FROM ab WHERE contact IS NOT NULL
+        UNION ALL SELECT a, 'ex:hasAuthor', u, 'uri' FROM ua UNION ALL SELECT u, 'ex:isAuthorOf', a, 'uri' FROM ua UNION ALL SELECT DISTINCT u, 'rdf:type', 'foaf:Person', 'uri' FROM ua
+        UNION ALL SELECT u, 'ex:hasAffiliation', f, 'uri' FROM uf UNION ALL SELECT f, 'ex:isAffiliationOf', u, 'uri' FROM uf UNION ALL SELECT DISTINCT f, 'rdf:type', 'schema:Organization', 'uri' FROM uf
+        UNION ALL SELECT a || '/note', 'rdfs:label', a, 'literal' FROM ab)
+    SELECT s, p, o, o_kind FROM t ANTI JOIN gone ON s = n LEFT JOIN gone g ON o = g.n WHERE g.n IS NULL OR o_kind = 'literal'""")
 def cascade_delete(spark, sf_dir):
+    """With a literal beside each abstract that reads like its address."""
     t = derived(spark, sf_dir)
-    return triples.cascade_delete(t, _doomed(t))
+    notes = t.where("o = 'ex:Abstract'").select(F.concat("s", F.lit("/note")).alias("s"), F.lit(triples.LABEL).alias("p"), F.col("s").alias("o"), F.lit("literal").alias("o_kind"))
+    return triples.cascade_delete(t.union(notes), _doomed(t))
 
 
 @query(f"WITH {EDGES_SQL} SELECT u AS src, a AS dst FROM ua UNION SELECT u, f FROM uf")
@@ -854,14 +963,14 @@ def vowl_document(spark, sf_dir):
     return profiles.drawing(nodes, t.where(F.col("p").isin(*profiles.BASE_PROPERTIES)))
 
 
-@query(f"""WITH {RAWS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, o) AS r FROM pairs)
+@query(f"""WITH {RAWS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, c, o) AS r FROM pairs)
     SELECT p_partkey AS author, raw, CASE WHEN p_size > 25 THEN p_brand WHEN s >= 0.7 THEN c END AS matched_canonical, CASE WHEN p_size > 25 THEN 1.0 ELSE round(s, 4) END::DOUBLE AS match_score,
         CASE WHEN p_size > 25 THEN 'existing' WHEN s >= 0.95 THEN 'auto_existing' WHEN s < 0.7 THEN 'auto_new' ELSE 'pending' END AS decision
     FROM part JOIN best ON raw = p_name || ' ' || lower(p_type) WHERE r = 1""")
 def lazy_decisions(spark, sf_dir):
     pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("author"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("raw"), "p_size", "p_brand")
     made = pairs.where("p_size > 25").select("author", "raw", F.col("p_brand").alias("matched_canonical"), F.lit(1.0).alias("match_score"), F.lit("existing").alias("decision"))
-    return curation.lazy_decisions(pairs, made, registry(spark, sf_dir))
+    return curation.lazy_decisions(pairs, made, registry(spark, sf_dir), text.levenshtein_similarity)
 
 
 @query("""WITH d AS (SELECT l.doc_id AS author, coalesce(source, 'none') AS raw, lang, CASE WHEN quality = 1 THEN 'auto_existing' WHEN toxic = 1 THEN 'pending' ELSE 'auto_new' END AS was FROM labels l JOIN documents x ON l.doc_id = x.doc_id)
@@ -886,7 +995,7 @@ def fuzzy_search_all(spark, sf_dir):
 
 @query()
 def suggest_six(spark, sf_dir):
-    return search.suggestions(registry(spark, sf_dir).select(F.col("ord").alias("id"), F.col("candidate").alias("label")), "blue steal")
+    return search.suggestions(canonicals(spark, sf_dir).select(F.col("candidate").alias("id"), F.col("candidate").alias("label")), "blue steal")
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'that') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents WHERE text IS NOT NULL")

@@ -27,6 +27,8 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str, schema: str = STAGED) -> DataFrame:
     """Records of a JSON array (or of JSON lines, as write_store leaves them), with ord; a missing file or other JSON gives none, items that are no objects go."""
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        path = f"{path}.old"  # a writer was stopped between its two moves
     if not exists(spark, path):
         return spark.createDataFrame([], schema + ", ord long")
     if _path(spark, path)[1].isDirectory(_path(spark, path)[0]):
@@ -39,14 +41,14 @@ def read_store(spark: SparkSession, path: str, schema: str = STAGED) -> DataFram
 
 
 def write_store(records: DataFrame, path: str) -> None:
-    """JSON lines in parts, written beside the target and moved there whole, so that a reader sees the old or the new store."""
+    """JSON lines in parts, written beside the target and moved there whole. Between the two moves the old store stands at .old, where read_store looks for it, so that a reader sees the old or the new store."""
     spark = records.sparkSession
     fresh, old = f"{path}.fresh", f"{path}.old"
     records.write.mode("overwrite").option("ignoreNullFields", "false").json(fresh)
     place, system = _path(spark, path)
     beside, before = _path(spark, fresh)[0], _path(spark, old)[0]
-    system.delete(before, True)
     if system.exists(place):
+        system.delete(before, True)
         system.rename(place, before)
     system.rename(beside, place)
     system.delete(before, True)
@@ -96,9 +98,11 @@ def read_organisations(spark: SparkSession, path: str, name: str, address: str)
     """(key, name, address) of a tab-separated list with trimmed headers; a missing file gives none; of repeated keys the last holds."""
     if not exists(spark, path):
         return spark.createDataFrame([], "key string, name string, address string")
-    rows = spark.read.csv(path, sep="\t", header=True)
-    rows = rows.toDF(*[c.strip() for c in rows.columns])
-    rows = rows.select(F.lower(F.trim(name)).alias("key"), F.trim(name).alias("name"), F.trim(address).alias("address"), F.monotonically_increasing_id().alias("at"))
+    lines = _whole(spark, path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("trim(line) <> ''")
+    header = lines.orderBy("at").first()
+    names = [c.strip() for c in header.line.split("\t")] if header else []
+    cell = lambda column: F.trim(F.coalesce(F.try_element_at(F.split("line", "\t"), F.lit(names.index(column) + 1)), F.lit("")))
+    rows = lines.where(F.col("at") > (header.at if header else 0)).select(F.lower(cell(name)).alias("key"), cell(name).alias("name"), cell(address).alias("address"), "at")
     return rows.where("key <> ''").groupBy("key").agg(F.max_by(F.struct("name", "address"), "at").alias("r")).select("key", "r.*")
 
 
