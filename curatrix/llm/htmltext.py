@@ -1,9 +1,9 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-One pass parses each page into a tree, hashes its subtrees and writes the page's text in pieces, each with the hashes
-of the subtrees that hold it. Hashes are counted per host: on how many pages of different content each recurs, and
-inside articles in how many different articles; what recurs is template. A last step drops the pieces that stand in
-template and joins the others to blocks, so no page is parsed twice and its markup is never moved.
+A first pass parses each page into a tree and hashes its subtrees. Hashes are counted per host: on how many pages of
+different content each recurs, and inside articles in how many different articles; what recurs is template. A second
+pass writes the text in pieces and drops those that stand in template. Only pages that hold template move to it; all
+others are read where they are.
 
 A subtree is hashed with its text. What stands outside of the main text, be it called furniture by tag, role or class
 or made of links, is also hashed by its shape alone: tags and names, like neighbours folded. So menus, adverts and footers recur
@@ -20,20 +20,19 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import cut, slices
+from curatrix.llm.common import cut, marked, release, slices
 
 #: A subtree is template from this many pages of different content on, if they are this share of the host's; a block also from ENOUGH_PAGES on, however many pages the host has.
 MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 4, 0.3, 20
 #: A passage of an article is template only from this many different articles on, if they are this share of the host's.
 MIN_ARTICLES, NEARLY_ALL = 8, 0.9
-# Kinds of subtrees: outside of articles blocks, parts of tables, lists and lines, and shapes; inside them layout and passages. Hashes that count pages and articles.
-BLOCK, PART, SHAPE, LAYOUT, PASSAGE = range(5)
+# Kinds of subtrees: outside of articles blocks, parts of tables, lists and lines, shapes, and shapes of what names call furniture; inside them layout and passages. Hashes that count pages and articles.
+BLOCK, PART, SHAPE, NAMED, LAYOUT, PASSAGE = range(6)
 PAGE, ARTICLE = 0, 1
 #: A subtree's hash inside an article is another than outside.
 _INSIDE = 0x2545F4914F6CDD1D
@@ -297,13 +296,17 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
-def candidates(root: Node, gone: set[Node], known: dict[Node, tuple[bytes, int]]) -> Iterator[tuple[Node, int, int, int]]:
-    """(node, hash, kind, content) of the subtrees that may be template: with text, but not most of what they stand in.
+def candidates(root: Node, gone: set[Node], mains: list[Node], known: dict[Node, tuple[bytes, int]]) -> Iterator[tuple[Node, int, int, int]]:
+    """(node, hash, kind, content) of the subtrees of the main text that may be template: with text, but not most of what they stand in.
 
     Content is the hash of that: the page, or from an article or main on the outermost of these. The page itself comes
     as hash PAGE, articles as ARTICLE. Inline elements amid text are no subtrees of their own."""
-    stack: list[tuple[Node, Node]] = [(root, root)]
     yield root, PAGE, BLOCK, _number(known[root][0])
+    stack: list[tuple[Node, Node]] = []
+    for main in mains:
+        if main is not root and known[main][1]:
+            yield main, ARTICLE, LAYOUT, _number(known[main][0])
+        stack.append((main, main))
     while stack:
         node, holder = stack.pop()
         amid = any(isinstance(c, str) and c.strip() for c in node.children)
@@ -311,19 +314,14 @@ def candidates(root: Node, gone: set[Node], known: dict[Node, tuple[bytes, int]]
             if isinstance(child, str) or child in gone or child not in known:
                 continue
             value, size = known[child]
-            own = holder
-            if holder is root and child.tag in ("article", "main"):
-                own = child
-                if size:
-                    yield child, ARTICLE, LAYOUT, _number(value)
-            if size and own is not child and child.tag not in ("html", "body") and (child.tag in BLOCKS or not amid) and 2 * size <= known[own][1]:
-                if own is root:
+            if size and child.tag not in ("html", "body") and (child.tag in BLOCKS or not amid) and 2 * size <= known[holder][1]:
+                if holder is root:
                     kind = PART if child.tag in PARTS or child.tag not in BLOCKS else BLOCK
                     yield child, _number(value), kind, _number(known[root][0])
                 else:
                     kind = PASSAGE if child.tag in PARTS or child.tag in PASSAGES or child.tag not in BLOCKS else LAYOUT
-                    yield child, _number(value) ^ _INSIDE, kind, _number(known[own][0])
-            stack.append((child, own))
+                    yield child, _number(value) ^ _INSIDE, kind, _number(known[holder][0])
+            stack.append((child, holder))
 
 
 def _wanted(node: Node, wanted: str) -> bool:
@@ -406,48 +404,42 @@ def shapes(root: Node, gone: set[Node], mains: list[Node], known: dict[Node, tup
                 stack.append(child)
 
 
-@dataclass
-class Page:
-    """found: (hash, kind, content) of its subtrees; named: shapes of those that names call furniture; pieces: (text, whether a block ends before it, hashes of the subtrees that hold it)."""
-
-    found: set[tuple[int, int, int]]
-    named: list[int]
-    pieces: list[tuple[str, bool, list[int]]]
+def subtrees(page: str, named: bool = False) -> tuple[set[tuple[int, int, int]], list[int]]:
+    """(hash, kind, content) of a page's subtrees, and the shapes of those that names call furniture."""
+    root = parse(page)
+    gone = furniture(root)
+    mains, known = main_root(root, gone), digests(root)
+    found = {c[1:] for c in candidates(root, gone, mains, known)}
+    whole, called = _number(known[root][0]), []
+    for node, value in shapes(root, gone, mains, known) if named or mains == [root] else ():
+        found.add((value, NAMED if node in gone else SHAPE, whole))
+        if node in gone:
+            called.append(value)
+    return found, called
 
 
-def read_page(page: str) -> Page:
+def pieces(page: str, marked: bool) -> Iterator[tuple[str, bool, tuple[int, ...]]]:
+    """(text, whether a block ends before it, hashes of the subtrees that hold it) in order; hashes only if they are wanted."""
     root = parse(page)
     gone = furniture(root)
     mains = main_root(root, gone)
-    known = digests(root)
     marks: dict[Node, tuple[int, ...]] = {}
-    found, named = set(), []
-    for node, value, kind, content in candidates(root, gone, known):
-        found.add((value, kind, content))
-        if value not in (PAGE, ARTICLE):
-            marks[node] = (value,)
-    whole = _number(known[root][0])
-    for node, value in shapes(root, gone, mains, known):
-        found.add((value, SHAPE, whole))
-        if node in gone:
-            named.append(value)
-        else:
-            marks[node] = (*marks.get(node, ()), value)
-    pieces: list[tuple[list[str], bool, tuple[int, ...]]] = []
+    if marked:
+        known = digests(root)
+        marks = {node: (value,) for node, value, *_ in candidates(root, gone, mains, known) if value not in (PAGE, ARTICLE)}
+        for node, value in shapes(root, gone, mains, known) if mains == [root] else ():
+            if node not in gone:
+                marks[node] = (*marks.get(node, ()), value)
     for main in mains:
         ended = True
         stack: list[tuple[Node | str | None, tuple[int, ...]]] = [(main, ())]
         while stack:
             node, under = stack.pop()
-            if isinstance(node, str) or (node is not None and node.tag == "br"):
-                text = node if isinstance(node, str) else " "
-                if pieces and not ended and pieces[-1][2] == under:
-                    pieces[-1][0].append(text)
-                else:
-                    pieces.append(([text], ended, under))
-                ended = False
-            elif node is None:
+            if node is None:
                 ended = True
+            elif isinstance(node, str) or node.tag == "br":
+                yield node if isinstance(node, str) else " ", ended, under
+                ended = False
             elif node is not main and node in gone:
                 ended = ended or node.tag in BLOCKS or node.tag in CLOSES_P or node.tag in DROPPED
             else:
@@ -457,14 +449,12 @@ def read_page(page: str) -> Page:
                     ended = True
                     stack.append((None, under))
                 stack += [(c, under) for c in reversed(node.children)]
-    return Page(found, named, [("".join(texts), ended, list(under)) for texts, ended, under in pieces])
 
 
-def assemble(pieces: list, template: frozenset[int]) -> tuple[str, int]:
-    """The text of the pieces outside of the template, a block a line, and how many subtrees that left out."""
+def extract(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The text of the pieces outside of the template, a block a line."""
     out: list[str] = []
     now: list[str] = []
-    left = set()
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(now))).strip()
@@ -472,33 +462,29 @@ def assemble(pieces: list, template: frozenset[int]) -> tuple[str, int]:
         if text:
             out.append(text)
 
-    for text, ended, under in pieces:
+    for text, ended, under in pieces(page, bool(template)):
         if ended:
             flush()
-        if template and not template.isdisjoint(under):
-            left.add(next(x for x in under if x in template))
-            continue
-        now.append(text)
+        if template.isdisjoint(under):
+            now.append(text)
     flush()
-    return "\n".join(out), len(left)
+    return "\n".join(out)
 
 
-def extract(page: str, template: frozenset[int] = frozenset()) -> str:
-    return assemble(read_page(page).pieces, template)[0]
-
+_ROW = {"host": pa.string(), "key": pa.int64(), "hash": pa.int64(), "kind": pa.int32(), "body": pa.int64()}
 
-_PAGE = "page_id long, url string, host string, key long, found array<struct<hash:long,kind:int,body:long>>, named array<long>, pieces array<struct<text:string,ended:boolean,under:array<long>>>"
-_FOUND = pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.int32()), ("body", pa.int64())]))
-_PIECES = pa.list_(pa.struct([("text", pa.string()), ("ended", pa.bool_()), ("under", pa.list_(pa.int64()))]))
 
+def _subtrees(named: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                out: list[tuple] = []
+                for host, key, page in zip(*(part.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+                    out += [(host, key, *found) for found in subtrees(page or "", named)[0]]
+                columns = list(zip(*out, strict=True)) or [()] * len(_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW.values(), strict=True)], names=list(_ROW))
 
-def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "html"):
-            read = [read_page(page or "") for page in part.column("html").to_pylist()]
-            found = pa.array([[dict(zip(("hash", "kind", "body"), x, strict=True)) for x in sorted(p.found)] for p in read], _FOUND)
-            pieces = pa.array([[dict(zip(("text", "ended", "under"), x, strict=True)) for x in p.pieces] for p in read], _PIECES)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "key")), found, pa.array([p.named for p in read], pa.list_(pa.int64())), pieces], names=["page_id", "url", "host", "key", "found", "named", "pieces"])
+    return run
 
 
 def _host(url: Column) -> Column:
@@ -511,44 +497,72 @@ def _split_hosts(source: DataFrame) -> DataFrame:
     return source.groupBy("host").count().where(F.col("count") > held).select("host", F.ceil(F.col("count") / held).cast("int").alias("slices"))
 
 
-def templates(read: DataFrame) -> DataFrame:
-    """(host, key, template array<long>): for each page by its host and key, which of its subtrees recur on the host."""
-    rows = read.select("host", "key", F.inline("found"))
+def recurring(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """(host, kind, hash) of the subtrees that recur on their host."""
     whole = F.col("hash").isin(PAGE, ARTICLE)
     inside = (F.col("kind") >= LAYOUT).alias("inside")
     counts = rows.groupBy("host", "kind", "hash", "body").agg(F.lit(1).alias("one")).groupBy("host", "kind", "hash").agg(F.count("*").alias("n"))
     counts = cut(counts.where(whole | (F.col("n") >= MIN_PAGES)))
-    split = F.broadcast(_split_hosts(read))  # at most MAX_SPLIT rows
     sizes = counts.where(whole).select("host", inside, F.col("n").alias("pages")).join(split, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
     dealt = counts.where(~whole).select("*", inside).join(split, "host", "left").withColumn("slice", F.pmod("hash", F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
     share = F.greatest(F.lit(MIN_PAGES), MIN_SHARE * F.col("pages"))
     least = F.when(F.col("kind") == PART, share).when(F.col("kind") == PASSAGE, F.greatest(F.lit(MIN_ARTICLES), NEARLY_ALL * F.col("pages"))).otherwise(F.least(share, F.lit(ENOUGH_PAGES)))
-    recurring = cut(dealt.join(sizes, ["host", "inside", "slice"]).where(F.col("n") >= least).select("host", "kind", "hash"))
-    met = rows.where(~whole).join(recurring, ["host", "kind", "hash"])
-    return cut(met.groupBy("host", "key").agg(F.collect_set("hash").alias("template")))
+    found = cut(dealt.join(sizes, ["host", "inside", "slice"]).where(F.col("n") >= least).select("host", "kind", "hash"))
+    release(counts)
+    return found
+
+
+def templates(source: DataFrame, named: bool = False) -> DataFrame:
+    """(host, key, kind, template array<long>): for each page by its host and key, which of its subtrees recur on the host."""
+    rows = cut(source.select("host", "key", "html").mapInArrow(_subtrees(named), "host string, key long, hash long, kind int, body long"))
+    known = recurring(rows, F.broadcast(_split_hosts(source)))  # at most MAX_SPLIT rows
+    met = rows.select("host", "key", "hash", "kind").join(known, ["host", "kind", "hash"])
+    found = cut(met.groupBy("host", "key", (F.col("kind") == NAMED).alias("named")).agg(F.collect_set("hash").alias("template")))
+    release(rows, known)
+    return found
+
+
+def _source(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("key"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_template, n_named), a row for every input row: the text, and how many subtrees recurrence or else only their names left out.
+    """(page_id, url, text, n_chars), a row for every input row.
 
     Null or empty html gives an empty text; a null address belongs to the host ''. Ids may be null; rows that repeat
     are pages of equal content and count once towards a template. A page is read whole, in time that grows with its
     length, however broken its markup. Other columns are not read."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("key"))
-    read = cut(source.mapInArrow(_read_pages, _PAGE))
-    joined = read.select("page_id", "url", "host", "key", "named", "pieces").join(templates(read), ["host", "key"], "left").select("page_id", "url", "named", "pieces", "template")
+    source = _source(pages)
+    known = templates(source).select("host", "key", "template")
+    doubtful = marked(source, known, "key")
+    own = ["page_id", "url", "html", "template"]
+    joined = doubtful.where("marked").join(known, ["host", "key"], "left").select(own)
+    joined = doubtful.where("not marked").select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("template")).unionByName(joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, url, named, pieces, known in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "named", "pieces", "template")), strict=True):
-                template = frozenset(known or ())
-                text, left = assemble([(p["text"], p["ended"], p["under"]) for p in pieces], template)
-                recurring = sum(x in template for x in named)
-                rows.append((page_id, url, text, len(text), left + recurring, len(named) - recurring))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TEXT.types, strict=True)] if rows else [pa.array([], t) for t in _TEXT.types], schema=_TEXT)
+            for part in slices(batch, "html"):
+                texts = []
+                for page, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
+                    texts.append(extract(page or "", frozenset(template or ())))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long, n_named long")
 
+def removals(pages: DataFrame) -> DataFrame:
+    """(page_id, url, n_template, n_named), a row for every input row: how many kinds of subtrees recurrence left out, and how many more only their names."""
+    source = _source(pages)
+    known = templates(source, named=True).groupBy("host", "key").agg(F.flatten(F.collect_list("template")).alias("template"))
 
-_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64()), ("n_named", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                recurs, only = [], []
+                for page, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
+                    named = set(subtrees(page or "", True)[1])
+                    recurs.append(len(set(template or ())))
+                    only.append(len(named - set(template or ())))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(recurs, pa.int64()), pa.array(only, pa.int64())], names=["page_id", "url", "n_template", "n_named"])
+
+    return source.join(known, ["host", "key"], "left").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, n_template long, n_named long")
