@@ -15,7 +15,6 @@ import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,12 +78,16 @@ def plan_sources(found: list[tuple[str | None, int]], weights: tuple[int, ...] =
     return [(name, n, size, float(target), quota) for name, n, size, target, quota in zip(names, shards, sizes, targets, quotas, strict=True)]
 
 
-def deal_shards(shards: pd.DataFrame) -> pd.DataFrame:
+_PLAN = pa.schema([("s_source", pa.string()), ("shards", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("source_quota", pa.int64())])
+_DEALT = pa.schema([("q_source", pa.string()), ("q_shard", pa.int32()), ("shard_size", pa.int64()), ("quota", pa.int64())])
+
+
+def deal_shards(shards: pa.Table) -> pa.Table:
     """The shards of one source (source, shard, shard_size, source_quota) with their quotas."""
-    shards = shards.sort_values("shard")
-    sizes = [int(n) for n in shards["shard_size"]]
-    quota = sainte_lague(int(shards["source_quota"].iloc[0]), sizes, [-(-MAX_REPEATS * n // BLOCK_WORDS) for n in sizes])
-    return pd.DataFrame({"q_source": shards["source"], "q_shard": shards["shard"], "shard_size": sizes, "quota": quota})
+    shards = shards.sort_by("shard")
+    sizes = shards.column("shard_size").to_pylist()
+    quotas = sainte_lague(shards.column("source_quota")[0].as_py(), sizes, [-(-MAX_REPEATS * n // BLOCK_WORDS) for n in sizes])
+    return pa.table([shards.column("source"), shards.column("shard"), shards.column("shard_size"), pa.array(quotas, pa.int64())], schema=_DEALT)
 
 
 def _seeded(seed: int, *key: Column) -> Column:
@@ -101,13 +104,15 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1,
     docs = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     spark = docs.sparkSession
     found = [tuple(r) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row for each source
-    by_source = spark.createDataFrame(plan_sources(found, weights), "s_source string, shards int, source_size long, target double, source_quota long")
+    plan = plan_sources(found, weights)
+    columns = list(zip(*plan, strict=True)) or [()] * len(_PLAN)
+    by_source = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, _PLAN.types, strict=True)], schema=_PLAN))
     names = [c for c in docs.columns if c not in ("source_size", "target", "taken", "shards", "source_quota", "shard_size", "quota", "shard", "s_source", "q_source", "q_shard")]
     # A row for each source and shard; where these are few the planner broadcasts them by its own size check.
     placed = docs.select(names).join(by_source, F.col("source").eqNullSafe(F.col("s_source")))
     placed = placed.withColumn("shard", F.pmod(_seeded(seed, F.col("doc_id")), F.col("shards")).cast("int"))
     shards = placed.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    by_shard = shards.groupBy("source").applyInPandas(deal_shards, "q_source string, q_shard int, shard_size long, quota long")
+    by_shard = shards.groupBy("source").applyInArrow(deal_shards, "q_source string, q_shard int, shard_size long, quota long")
     placed = placed.join(cut(by_shard), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     order = Window.partitionBy("source", "shard").orderBy(_seeded(seed + 1, F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(order))

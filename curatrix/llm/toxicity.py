@@ -29,8 +29,8 @@ from curatrix.llm.common import cut, in_sample, one_text, release, sample_share,
 
 #: At most about this many labelled rows fit the lexicon and the regression.
 TRAIN_ROWS = 20_000
-#: Automaton states that are kept; beyond that they are built anew.
-MAX_STATES = 100_000
+#: Automaton states and words' matches that a task keeps; beyond that they are built anew.
+MAX_STATES, MAX_SEEN = 100_000, 100_000
 FOLDS = 5
 WINDOW = 6
 STEM_LENGTHS = range(4, 9)
@@ -141,7 +141,7 @@ class Lexicon:
                 found = (term, 0, weight)
         if found is None and 3 < len(word) < 40 and (near := self.fuzzy(word)):
             found = (near[0], near[1], self.near[near[0]])
-        if len(self.seen) > 300_000:
+        if len(self.seen) > MAX_SEEN:
             self.seen.clear()
         self.seen[word] = found
         return found
