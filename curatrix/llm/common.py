@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,6 +78,17 @@ def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     return least.select(*keys, "least.text", *[f"least.{c}" for c in others])
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that operators that follow each other don't add up in its memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each (one row at least), so memory follows the longest text and not the batch."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

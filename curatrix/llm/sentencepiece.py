@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import slices
+from curatrix.llm.common import held, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct parts whose ids a worker keeps.
-KEPT = 300_000
+KEPT = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -256,16 +256,10 @@ class Encoder:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _run(shared, columns: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(shared.value)
-        encoder = _ENCODERS[key]
+        encoder = held(("encoder", key), lambda: Encoder(shared.value))
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()

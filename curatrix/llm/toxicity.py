@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import cut, in_sample, one_text, release, sample_share, slices
+from curatrix.llm.common import cut, held, in_sample, one_text, release, sample_share, slices
 
 #: At most about this many labelled rows fit the lexicon and the regression.
 TRAIN_ROWS = 20_000
@@ -323,15 +323,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, spelled, weights.tolist())
 
 
-_LEXICONS: dict[int, Lexicon] = {}
-
-
 def _lexicon(terms: dict[str, float], spelled: dict[str, float]) -> Lexicon:
-    key = hash((tuple(sorted(terms.items())), tuple(sorted(spelled.items()))))
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(terms, spelled)
-    return _LEXICONS[key]
+    return held(("lexicon", hash((tuple(sorted(terms.items())), tuple(sorted(spelled.items()))))), lambda: Lexicon(terms, spelled))
 
 
 def _taught(terms: dict[str, float], spelled: dict[str, float]):
