@@ -6,6 +6,7 @@ reads it back as the next stage's documents, and deletes what no stage reads any
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from curatrix.llm import cotraining, mixing, neardup, sentencepiece, toxicity
 from curatrix.llm.common import cut, marked, read
 from curatrix.session import delete, shared_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -55,7 +57,23 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("minhash near-dedup", drop_copies), ("mixing sources", mix), ("sentencepiece", tokenize)]
+#: Rows of an Arrow batch between a task and its Python worker. Each side holds whole batches, some of very long texts; the default of 10 000 rows takes a tenth of a small executor.
+BATCH_ROWS = 500
+
+
+def _small_batches(stage: Stage) -> Stage:
+    """The stage with batches of BATCH_ROWS rows in its session, unless these are smaller already."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _small_batches(stage)) for name, stage in (("toxicity", drop_toxic), ("quality classifier", drop_poor), ("minhash near-dedup", drop_copies), ("mixing sources", mix), ("sentencepiece", tokenize))]
 
 #: Learned classifiers and hashes decide the rows, which SQL can't express: tests hold each stage against a plain version of it.
 ORACLE_SQL = None
