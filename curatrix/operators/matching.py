@@ -8,9 +8,9 @@ reaches the lower threshold meet the rest of the registry."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import text
@@ -115,33 +115,25 @@ def organisation_match(raws: DataFrame, registry: DataFrame, similarity: Similar
 def leader_clusters(names: DataFrame, threshold: float = LOW) -> DataFrame:
     """(leader, member) from (name, ord): in order each unassigned name leads and takes all later unassigned names whose ratio to it reaches threshold.
 
-    Links are found in parallel; a leader never takes a name from another connected component, so the sequential sweep
-    runs per component."""
+    A name leads as soon as none of the earlier names that it is like can still lead, and belongs to the first leader
+    among them. So every round decides many names at once, wherever they stand: the sweep is rounds of joins over the
+    open links. A name given twice counts at its least ord; null names count not at all."""
+    names = cut(names.where("name is not null").groupBy("name").agg(F.min("ord").alias("ord")))
     left = names.select(F.col("name").alias("a"), F.col("ord").alias("ao"))
     right = names.select(F.col("name").alias("b"), F.col("ord").alias("bo"))
     bound = (F.col("ao") < F.col("bo")) & (text.ratio_bound(F.col("a"), F.col("b")) >= threshold)
-    links = facing(left, right, bound).where(text.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "ao", "b", "bo")
-    links = cut(links)
-    label = names.select("name", "ord", F.col("ord").alias("component"))
+    links = cut(facing(left, right, bound).where(text.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "ao", "b"))
+    open_names, open_links, leaders = names.select("name"), links, []
     while True:
-        moved = links.join(label.select(F.col("name").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("name").alias("b"), F.col("component").alias("cb")), "b")
-        low = moved.select(F.col("a").alias("name"), F.least("ca", "cb").alias("m")).union(moved.select("b", F.least("ca", "cb"))).groupBy("name").agg(F.min("m").alias("m"))
-        new = cut(label.join(low, "name", "left").select("name", "ord", F.coalesce(F.least("component", "m"), "component").alias("component")))
-        if new.join(label.select("name", F.col("component").alias("old")), "name").where("component <> old").limit(1).count() == 0:
+        heads = cut(open_names.join(open_links.select(F.col("b").alias("name")), "name", "left_anti"))
+        leaders.append(heads)
+        led = open_links.join(heads.withColumnRenamed("name", "a"), "a", "left_semi").select(F.col("b").alias("name")).distinct()
+        gone = cut(heads.union(led))
+        open_names = cut(open_names.join(gone, "name", "left_anti"))
+        if open_names.isEmpty():
             break
-        label = new
-    rows = label.join(links.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("later")), "name", "left")
-
-    def sweep(group: pd.DataFrame) -> pd.DataFrame:
-        group, taken, out = group.sort_values("ord"), set(), []
-        for name, later in zip(group["name"], group["later"], strict=True):
-            if name not in taken:
-                taken.add(name)
-                out.append((name, name))
-                for other in later if later is not None else ():
-                    if other not in taken:
-                        taken.add(other)
-                        out.append((name, other))
-        return pd.DataFrame(out, columns=["leader", "member"])
-
-    return rows.groupBy("component").applyInPandas(sweep, "leader string, member string")
+        # A name that was taken never leads, so its links fall away with it.
+        open_links = cut(open_links.join(gone.withColumnRenamed("name", "a"), "a", "left_anti").join(gone.withColumnRenamed("name", "b"), "b", "left_anti"))
+    heads = reduce(DataFrame.union, leaders)
+    taken = links.join(heads.withColumnRenamed("name", "a"), "a", "left_semi").groupBy(F.col("b").alias("member")).agg(F.min_by("a", F.struct("ao", "a")).alias("leader"))
+    return heads.select(F.col("name").alias("leader"), F.col("name").alias("member")).unionByName(taken)

@@ -169,6 +169,18 @@ def total_vs_distinct(spark, sf_dir):
 
 # Matching
 
+
+def _longest_sql(x: str, y: str) -> str:
+    """The longest common run of two strings, the earliest in x: its length times 1000 and 999 less its place; 0 without one."""
+    return f"coalesce(list_max(flatten([[CASE WHEN contains({y}, substr({x}, i, k)) THEN k * 1000 + 999 - i ELSE 0 END FOR k IN range(1, least(length({x}) - i + 1, length({y})) + 1)] FOR i IN range(1, length({x}) + 1)])), 0)"
+
+
+# Ratcliff/Obershelp ratios of the lower-case strings (a, b) of a CTE `compared`: the longest common run, then what lies left and right of it.
+RATIO_SQL = f"""met AS (SELECT a, b, a AS x, b AS y, {_longest_sql("a", "b")} AS m FROM compared UNION ALL
+        SELECT a, b, x, y, {_longest_sql("x", "y")} FROM (SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + k)]) AS x, unnest([substr(y, 1, j - 1), substr(y, j + k)]) AS y
+            FROM (SELECT *, m // 1000 AS k, 999 - m % 1000 AS i, strpos(y, substr(x, 999 - m % 1000, m // 1000)) AS j FROM met WHERE m > 0)) WHERE x <> '' AND y <> ''),
+    ratios AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1 ELSE 2 * sum(m // 1000) / (length(a) + length(b)) END::DOUBLE AS ratio FROM met GROUP BY 1, 2)"""
+
 RAWS_SQL = """reg AS (SELECT DISTINCT p_name AS cand, p_name AS c, -1 AS o FROM part UNION ALL SELECT p_name || ' ' || lower(min(p_type)), p_name, 1 FROM part GROUP BY p_name),
     raws AS (SELECT DISTINCT p_name AS raw FROM part UNION SELECT DISTINCT substr(p_name, 2) FROM part UNION SELECT DISTINCT p_name || ' ' || lower(p_type) FROM part),
     pairs AS (SELECT raw, cand, c, o, 1 - levenshtein(lower(raw), lower(cand)) / greatest(length(raw), length(cand))::DOUBLE AS s FROM raws, reg)"""
@@ -195,7 +207,9 @@ def registry_match_lev(spark, sf_dir):
     return matching.decided(matching.match(raws(spark, sf_dir), registry(spark, sf_dir), text.levenshtein_similarity))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RAWS_SQL}, compared AS (SELECT DISTINCT lower(raw) AS a, lower(cand) AS b FROM pairs), {RATIO_SQL},
+    best AS (SELECT raw, c, ratio AS s, row_number() OVER (PARTITION BY raw ORDER BY ratio DESC, c, o) AS r FROM pairs JOIN ratios ON a = lower(raw) AND b = lower(cand))
+    SELECT raw, CASE WHEN s >= 0.7 THEN c END AS canonical, round(s, 4) AS score, CASE WHEN s >= 0.95 THEN 'auto_existing' WHEN s < 0.7 THEN 'auto_new' ELSE 'pending' END AS decision FROM best WHERE r = 1""")
 def registry_match_ratio(spark, sf_dir):
     return matching.decided(matching.match(raws(spark, sf_dir), registry(spark, sf_dir)))
 
@@ -225,7 +239,12 @@ def guarded_merge_lev(spark, sf_dir):
     return matching.guarded_merge(*labels_of_organisations(spark, sf_dir), text.levenshtein_similarity)
 
 
-@query()
+FIRST_SQL = "lower(trim(split_part({}, ',', 1)))"
+
+
+@query(f"""WITH RECURSIVE {LABELS_SQL.replace("pairs AS", "by_edits AS")}, compared AS (SELECT lower(raw) AS a, lower(c) AS b FROM by_edits UNION SELECT {FIRST_SQL.format("raw")}, {FIRST_SQL.format("c")} FROM by_edits), {RATIO_SQL},
+    pairs AS (SELECT raw, c, x.ratio AS s, y.ratio AS g FROM by_edits JOIN ratios x ON x.a = lower(raw) AND x.b = lower(c) JOIN ratios y ON y.a = {FIRST_SQL.format("raw")} AND y.b = {FIRST_SQL.format("c")}), {GUARD_SQL}
+    SELECT raw, canonical, method, score FROM merged""")
 def guarded_merge_ratio(spark, sf_dir):
     return matching.guarded_merge(*labels_of_organisations(spark, sf_dir))
 
@@ -248,13 +267,21 @@ def similarity_levenshtein(spark, sf_dir):
     return pairs.agg(F.count("*").alias("n"), F.round(F.sum(text.levenshtein_similarity(F.col("a"), F.col("b"))), 3).alias("total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS n FROM part), compared AS (SELECT DISTINCT lower(x.n) AS a, lower(y.n) AS b FROM names x, names y WHERE x.n <> y.n), {RATIO_SQL}
+    SELECT x.n AS a, y.n AS b, round(ratio, 4) AS ratio FROM names x JOIN names y ON x.n <> y.n JOIN ratios r ON r.a = lower(x.n) AND r.b = lower(y.n)""")
 def similarity_ratio(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
     return matching.facing(names, names.select(F.col("a").alias("b")), F.col("a") != F.col("b")).select("a", "b", F.round(text.ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
-@query()
+@query(f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS n FROM part), compared AS (SELECT DISTINCT lower(x.n) AS a, lower(y.n) AS b FROM names x, names y WHERE x.n < y.n), {RATIO_SQL},
+    numbered AS (SELECT n, row_number() OVER (ORDER BY n) AS i FROM names),
+    links AS (SELECT x.i, y.i AS j FROM numbered x JOIN numbered y ON x.i < y.i JOIN ratios r ON r.a = lower(x.n) AND r.b = lower(y.n) WHERE ratio >= 0.7),
+    sides AS (SELECT j, list(i) AS before FROM links GROUP BY 1),
+    swept AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders UNION ALL SELECT x.i, CASE WHEN list_has_any(leaders, coalesce(before, []::BIGINT[])) THEN leaders ELSE list_append(leaders, x.i) END FROM swept JOIN numbered x ON x.i = swept.i + 1 LEFT JOIN sides ON sides.j = x.i),
+    heads AS (SELECT unnest(arg_max(leaders, i)) AS i FROM swept),
+    taken AS (SELECT i AS j, i FROM heads UNION ALL SELECT j, min(links.i) FROM links JOIN heads ON heads.i = links.i WHERE j NOT IN (SELECT i FROM heads) GROUP BY 1)
+    SELECT x.n AS leader, y.n AS member FROM taken JOIN numbered x ON x.i = taken.i JOIN numbered y ON y.i = taken.j""")
 def cluster_leader(spark, sf_dir):
     names = canonicals(spark, sf_dir).select(F.col("candidate").alias("name"), F.col("candidate").alias("ord"))
     return matching.leader_clusters(names, 0.70)
@@ -532,9 +559,9 @@ def ordered_report(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_name", "s_nationkey").orderBy("s_name")
 
 
-@query()
+@query("SELECT s_suppkey FROM supplier ORDER BY md5('7|' || s_suppkey) LIMIT 1")
 def random_seed_node(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").orderBy(F.xxhash64(F.lit(7), "s_suppkey")).select("s_suppkey").limit(1)
+    return table(spark, sf_dir, "supplier").orderBy(F.md5(F.concat(F.lit("7|"), "s_suppkey").cast("binary"))).select("s_suppkey").limit(1)
 
 
 @query("SELECT doc_id FROM documents WHERE lang <> 'de'")
@@ -645,7 +672,8 @@ def search_topk_contains(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n).orderBy(F.desc("n"), "doc_id").limit(30)
 
 
-@query()
+@query(f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS n FROM part), compared AS (SELECT DISTINCT 'blue steel' AS a, lower(n) AS b FROM names), {RATIO_SQL}
+    SELECT n AS candidate, round(greatest(ratio, contains(b, a)::INT), 4)::DOUBLE AS score FROM names JOIN ratios ON b = lower(n) WHERE greatest(ratio, contains(b, a)::INT) >= 0.3 ORDER BY greatest(ratio, contains(b, a)::INT) DESC, n LIMIT 30""")
 def search_topk_ratio(spark, sf_dir):
     names = canonicals(spark, sf_dir)
     score = F.greatest(text.ratio(F.lit("blue steel"), F.col("candidate")), F.contains(F.lower("candidate"), F.lit("blue steel")).cast("double"))
@@ -955,7 +983,24 @@ def citation_mode(spark, sf_dir):
     return profiles.citations(rows, True).union(profiles.citations(plain))
 
 
-@query()
+def _vowl_sql() -> str:
+    fields = "id type iri label domain range parent inverse".split()
+    item = "'{' || concat_ws(',', " + ", ".join(f"""'"{f}":"' || replace(replace({f}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'""" for f in fields) + ") || '}'"
+    row = lambda *values: "(" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + ")"
+    classes = [row("class", i, "owl:Class", i.replace("_", ":"), label, None, None, None, None) for i, label in profiles.BASE_CLASSES.values()]
+    properties = [row("property", i, "owl:ObjectProperty", p, p.split(":")[1], d, r, None, inv) for p, (i, d, r, inv) in profiles.BASE_PROPERTIES.items()]
+    parents = " ".join(f"WHEN '{p}' THEN '{v[0]}'" for p, v in profiles.BASE_PROPERTIES.items())
+    return f"""WITH {TRIPLES_SQL}, named AS (SELECT s, coalesce(min(o) FILTER (p = 'rdfs:label'), split_part(s, ':', 2)) AS label FROM t GROUP BY 1),
+    kinds AS (SELECT t.s AS iri, CASE o WHEN 'foaf:Person' THEN 'person_' WHEN 'ex:Abstract' THEN 'abstract_' ELSE 'organisation_' END || left(md5(t.s), 16) AS id, label,
+        CASE o WHEN 'foaf:Person' THEN 'foaf_Person' WHEN 'ex:Abstract' THEN 'ex_Abstract' ELSE 'schema_Organization' END AS parent FROM t JOIN named ON named.s = t.s WHERE p = 'rdf:type'),
+    every(section, {", ".join(fields)}) AS (VALUES {", ".join(classes + properties)}
+        UNION ALL SELECT 'class', id, 'owl:Class', iri, label, NULL, NULL, parent, NULL FROM kinds
+        UNION ALL SELECT 'property', 'prop_' || left(md5(s || '|' || p || '|' || o), 16), 'owl:ObjectProperty', p, split_part(p, ':', 2), x.id, y.id, CASE p {parents} END, NULL
+            FROM t JOIN kinds x ON x.iri = s JOIN kinds y ON y.iri = o WHERE p IN ({", ".join(f"'{p}'" for p in profiles.BASE_PROPERTIES)}))
+    SELECT section, id, {item} AS item FROM every"""
+
+
+@query(_vowl_sql())
 def vowl_document(spark, sf_dir):
     t = derived(spark, sf_dir)
     kind = F.when(F.col("o") == triples.PERSON, "person").when(F.col("o") == triples.ABSTRACT, "abstract").otherwise("organisation")
@@ -986,14 +1031,19 @@ def review_overrides(spark, sf_dir):
     return curation.review(made, overrides)
 
 
-@query()
+def _near_sql(x: str) -> str:
+    """The share of 'blue steal' that must change for it to lie in a text."""
+    return f"list_min(flatten([[levenshtein('blue steal', substr(lower({x}), i, k)) FOR k IN range(0, 21)] FOR i IN range(1, length({x}) + 2)])) / 10.0"
+
+
+@query(f"WITH near AS (SELECT p_partkey, least({_near_sql('p_name')}, {_near_sql('p_brand')}, {_near_sql('p_type')}) AS score FROM part) SELECT p_partkey, round(score, 4)::DOUBLE AS score FROM near WHERE score <= 0.35")
 def fuzzy_search_all(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     entries = part.select("p_partkey", F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array("p_type").alias("affiliations"))
     return search.fuzzy_search(entries, "blue steal").select("p_partkey", F.round("score", 4).alias("score")).orderBy("score", "p_partkey")
 
 
-@query()
+@query(f"WITH near AS (SELECT n, {_near_sql('n')}::DOUBLE AS score FROM (SELECT DISTINCT p_name AS n FROM part)) SELECT n AS id, n AS label, score FROM near WHERE score <= 0.35 ORDER BY score, n LIMIT 6")
 def suggest_six(spark, sf_dir):
     return search.suggestions(canonicals(spark, sf_dir).select(F.col("candidate").alias("id"), F.col("candidate").alias("label")), "blue steal")
 
@@ -1003,7 +1053,18 @@ def search_contains_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.contains(F.lower("text"), F.lit("that")).cast("double").alias("score"))
 
 
-@query()
+@query(r"""WITH cleaned AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\v\x{85}\pZ]+|[\s\v\x{85}\pZ]+$', '', 'g') AS t FROM documents),
+    numbered AS (SELECT doc_id, [regexp_replace(x, '^[\s\v\x{85}\pZ]+|[\s\v\x{85}\pZ]+$', '', 'g') FOR x IN string_split(t, chr(10))] AS lines FROM cleaned),
+    titled AS (SELECT doc_id, lines, list_position([length(x) > 10 AND len(regexp_split_to_array(x, '[\s\v]+')) > 3 FOR x IN lines], true) AS title FROM numbered),
+    blocks AS (SELECT doc_id, CASE WHEN title > 0 THEN [x FOR x IN list_slice(lines, title + 1, title + 5) IF x <> '' AND (regexp_matches(x, '\b[A-Z]\.?\s?[A-Z][a-z]+') OR regexp_matches(x, '\bUniversity\b|\bDortmund\b|\bInstitute\b|\bGermany\b') OR contains(x, ','))] ELSE [] END AS block FROM titled),
+    rows AS (SELECT doc_id, unnest(block) AS line, generate_subscripts(block, 1) AS i FROM blocks),
+    named AS (SELECT *, regexp_extract(line, '[A-Z][a-z]+(?:\s[A-Z]\.?)?\s[A-Z][a-z]+') AS name FROM rows),
+    grouped AS (SELECT *, count(*) FILTER (name <> '') OVER (PARTITION BY doc_id ORDER BY i) AS author FROM named),
+    authors AS (SELECT doc_id, author, max(name) || ': ' || coalesce(string_agg(line, '; ' ORDER BY i) FILTER (name = ''), '') AS said FROM grouped WHERE author > 0 GROUP BY 1, 2),
+    lists AS (SELECT doc_id, string_agg(said, chr(10) ORDER BY author) AS said FROM authors GROUP BY 1)
+    SELECT doc_id, array_to_string(block, chr(10)) AS block, coalesce(said, '') AS authors FROM blocks LEFT JOIN lists USING (doc_id)""")
 def author_block(spark, sf_dir):
+    """The block a line each, and an author a line with their affiliations."""
     block = documents.author_block(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", block.alias("block"), documents.attributed(block).alias("authors"))
+    said = F.transform(documents.attributed(block), lambda x: F.concat(x["name"], F.lit(": "), F.array_join(x["affiliations"], "; ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(block, "\n").alias("block"), F.array_join(said, "\n").alias("authors"))

@@ -2,6 +2,7 @@
 
 import difflib
 import os
+import random
 
 import pytest
 
@@ -85,6 +86,26 @@ def test_leaders_equal_a_sweep(spark):
     assert {tuple(r) for r in catalogue.QUERIES["cluster_leader"](spark, SF).select("leader", "member").collect()} == want
 
 
+def test_leaders_of_linked_names_equal_a_sweep(spark):
+    """Chains, where a name that is taken leaves its own neighbours free, repeated names and null."""
+    draw = random.Random(3)
+    names = ["".join(draw.choice("ab") + draw.choice("cd") for _ in range(4)) + draw.choice(["", "x", "yy"]) for _ in range(60)]
+    order = {}
+    for i, name in enumerate(names):
+        order.setdefault(name, i)
+    want, taken = set(), set()
+    for a in order:
+        if a not in taken:
+            for b in order:
+                if order[b] >= order[a] and b not in taken and (a == b or ratio(a, b) >= 0.70):
+                    taken.add(b)
+                    want.add((a, b))
+    rows = spark.createDataFrame([*zip(names, range(len(names)), strict=True), (None, 0)], "name string, ord int")
+    assert {tuple(r) for r in matching.leader_clusters(rows).select("leader", "member").collect()} == want
+    assert 1 < len({a for a, _ in want}) < len(want)
+    assert matching.leader_clusters(rows.where("ord < 0")).collect() == []
+
+
 def test_empty_registry(spark):
     none = matching.registry_long(spark.createDataFrame([], "c string"), "c")
     names = spark.createDataFrame([("a",), (None,)], "raw string")
