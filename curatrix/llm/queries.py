@@ -89,4 +89,26 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(12 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op3_minhash_neardup": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+        runs AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS shingle FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        every AS (
+            SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND 3),
+        sets AS (SELECT doc_id, count(*) AS n, list(shingle ORDER BY shingle) AS shingles FROM every GROUP BY 1),
+        sizes AS (SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN sets USING (doc_id)),
+        -- Copies meet as one set, so that a group of them isn't squared.
+        same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY shingles) AS hub FROM sets),
+        held AS (SELECT doc_id, n, shingle FROM every JOIN sizes USING (doc_id) WHERE doc_id IN (SELECT hub FROM same)),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n
+            FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (m + n - c)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT DISTINCT hub AS doc_id, hub AS root FROM same UNION SELECT b, root FROM reached JOIN sides ON a = reached.doc_id AND root < b),
+        roots AS (SELECT doc_id AS hub, min(root) AS root FROM reached GROUP BY 1)
+        SELECT sizes.doc_id, n::BIGINT AS n_shingles, coalesce(root, sizes.doc_id)::BIGINT AS component_id, sizes.doc_id = coalesce(root, sizes.doc_id) AS kept
+        FROM sizes LEFT JOIN same USING (doc_id) LEFT JOIN roots USING (hub)""",
 }
