@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, mixing, neardup, sentencepiece, toxicity
+from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, merkle, mixing, neardup, sentencepiece, toxicity
 from curatrix.llm.common import read
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -75,7 +76,28 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against a copy in which every fifth document or so has lost its capitals."""
+    docs = read(spark, sf_dir, "documents")
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return merkle.proved(docs, F.when(chosen, small).otherwise(F.col("text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources, op12_merkle_manifest)}
+
+#: Common table expressions of the SQL below: crc holds the table of CRC-32 by byte.
+_CRC = "crc AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::UBIGINT) ORDER BY b) AS crc_table FROM range(256) r(b))"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes; crc is to be joined."""
+    data = f"list_transform(range(0, len(hex(encode({text}))), 2), lambda k: ('0x' || substr(hex(encode({text})), k + 1, 2))::UBIGINT)"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+#: SQL for the joined siblings before and after place i of its run of sixteen nodes.
+_BEFORE, _AFTER = "array_to_string(nodes[i // 16 * 16 + 1:i], '')", "array_to_string(nodes[i + 2:i // 16 * 16 + 16], '')"
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
@@ -111,4 +133,35 @@ ORACLE_SQL = {
         roots AS (SELECT doc_id AS hub, min(root) AS root FROM reached GROUP BY 1)
         SELECT sizes.doc_id, n::BIGINT AS n_shingles, coalesce(root, sizes.doc_id)::BIGINT AS component_id, sizes.doc_id = coalesce(root, sizes.doc_id) AS kept
         FROM sizes LEFT JOIN same USING (doc_id) LEFT JOIN roots USING (hub)""",
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE {_CRC},
+        fields AS (
+            SELECT doc_id, source, array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS head, text,
+                CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered
+            FROM documents, crc),
+        leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS other FROM fields),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+        -- A row per source and level: all of the level's nodes in order.
+        rise AS (
+            SELECT source, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY source
+            UNION ALL
+            SELECT source, level + 1, list_transform(range(0, len(nodes), 16), lambda k: sha256(array_to_string(nodes[k + 1:k + 16], ''))) FROM rise WHERE len(nodes) > 1),
+        subroots AS (SELECT source, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM rise WHERE len(nodes) = 1),
+        over AS (
+            SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, len(nodes), 16), lambda k: sha256(array_to_string(nodes[k + 1:k + 16], ''))) FROM over WHERE len(nodes) > 1),
+        -- Each leaf climbs to its subroot and on to the root: h is what folding gives so far.
+        climb AS (
+            SELECT doc_id, source, leaf, other AS h, i, 0 AS level, '' AS siblings FROM placed
+            UNION ALL
+            SELECT doc_id, c.source, leaf, sha256({_BEFORE} || h || {_AFTER}), i // 16, c.level + 1, siblings || {_BEFORE} || {_AFTER}
+            FROM climb c JOIN rise r ON r.source IS NOT DISTINCT FROM c.source AND r.level = c.level AND len(nodes) > 1),
+        ascent AS (
+            SELECT doc_id, leaf, subroot, h, place AS i, 0 AS level, siblings FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source AND level = height
+            UNION ALL
+            SELECT doc_id, leaf, subroot, sha256({_BEFORE} || h || {_AFTER}), i // 16, c.level + 1, siblings || {_BEFORE} || {_AFTER}
+            FROM ascent c JOIN over r ON r.level = c.level AND len(nodes) > 1)
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM ascent JOIN (SELECT nodes[1] AS root, level AS top FROM over WHERE len(nodes) = 1) ON level = top""",
 }
