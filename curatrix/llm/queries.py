@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, merkle, mixing, neardup, sentencepiece, toxicity
+from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, merkle, mixing, neardup, sentencepiece, spelling, toxicity
 from curatrix.llm.common import read
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -76,6 +76,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, after one run in 199 has lost a letter, which its hash names."""
+    runs = spelling.runs(read(spark, sf_dir, "documents"))
+    run = F.col("run")
+    h = F.crc32(F.concat(F.col("id").cast("long").cast("string"), F.lit(":"), run).cast("binary"))
+    word = F.when(h % 199 == 0, spelling.without(run, (h % F.length(run)).cast("int"))).otherwise(run)
+    return spelling.spelling_variants(runs.select(word.alias("word")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, checked against a copy in which every fifth document or so has lost its capitals."""
     docs = read(spark, sf_dir, "documents")
@@ -84,7 +93,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proved(docs, F.when(chosen, small).otherwise(F.col("text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources, op12_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources, op11_spelling_variants, op12_merkle_manifest)}
 
 #: Common table expressions of the SQL below: crc holds the table of CRC-32 by byte.
 _CRC = "crc AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::UBIGINT) ORDER BY b) AS crc_table FROM range(256) r(b))"
@@ -133,6 +142,22 @@ ORACLE_SQL = {
         roots AS (SELECT doc_id AS hub, min(root) AS root FROM reached GROUP BY 1)
         SELECT sizes.doc_id, n::BIGINT AS n_shingles, coalesce(root, sizes.doc_id)::BIGINT AS component_id, sizes.doc_id = coalesce(root, sizes.doc_id) AS kept
         FROM sizes LEFT JOIN same USING (doc_id) LEFT JOIN roots USING (hub)""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE {_CRC},
+        runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        hashed AS (SELECT run, {_crc32("(doc_id || ':' || run)")} AS h FROM runs, crc),
+        dropped AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+        vocab AS (SELECT word, count(*) AS n FROM dropped WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+        shorter AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM vocab)),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n FROM shorter a JOIN vocab b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM shorter a JOIN vocab b ON a.rest = b.word
+            UNION SELECT a.word, b.word, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+        best AS (SELECT word, count(*) AS n_near, max(n) AS near_n, arg_min(near, struct_pack(a := -n, b := near)) AS near FROM pairs GROUP BY word),
+        forms AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM vocab v LEFT JOIN best USING (word)),
+        way AS (SELECT word, word AS root FROM forms UNION ALL SELECT way.word, form FROM way JOIN forms ON forms.word = root WHERE form IS NOT NULL)
+        SELECT word, forms.form, root, forms.n::BIGINT AS n, forms.n_near::BIGINT AS n_near, forms.form_n::BIGINT AS form_n
+        FROM forms JOIN way USING (word) JOIN (SELECT word AS root, form AS onward FROM forms) USING (root) WHERE onward IS NULL""",
     "op12_merkle_manifest": rf"""
         WITH RECURSIVE {_CRC},
         fields AS (
