@@ -20,7 +20,7 @@ more than six standard deviations below 0.8."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +138,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(own, side)
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     apart = _bits_apart()
-    return pairs.where(fits & (apart <= _differing_bits(percent / 100 - SLACK))).select("a", "b", "a_n", "b_n", apart.alias("apart"))
+    return pairs.where(fits & (apart <= _differing_bits(percent / 100 - SLACK))).select("a", "b", "a_n", "b_n", apart.alias("rank"))
 
 
 def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -231,32 +231,11 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for every input row.
+def linked(likely: DataFrame, buckets: DataFrame, texts: DataFrame, shingle: int, percent: int, flagged: Callable[[DataFrame], DataFrame], repeated: bool) -> DataFrame:
+    """(v, component) of the texts (v, text) that links connect.
 
-    Rows are linked if their sets of distinct `shingle`-word shingles have 100 * intersection >= percent * union.
-    Null and empty texts have an empty set and link with nothing. Rows that repeat an id are rows of their own, each
-    linked by its own text. A null id takes no part: component_id is null and the row is kept. Whole texts count,
-    however long. Other columns are not read."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = source.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    source = source.withColumn("v", F.xxhash64("doc_id", "text") if repeated else F.col("doc_id"))
-    schema = "v long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
-    rows = cut(source.select("v", "doc_id", "text").mapInArrow(_signatures(shingle), schema))
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-    classes = cut(sets.agg(F.min(F.struct("doc_id", "v")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]).select("h1", "h2", "least.doc_id", "least.v", "n_shingles", "bands", *_SKETCH))
-    members = classes.select("v", F.explode("bands").alias("band"))
-    # Written first: a join with an aggregate of the same exchange can't split a hot band.
-    sizes = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(members.join(sizes, "band"))
-    # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
-    central = shared.groupBy("v").agg(F.sum("n").alias("weight"))
-    hubs = cut(shared.join(central, "v").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "v")).alias("hub")).select("band", F.col("hub.v").alias("hub")))
-    buckets = cut(shared.join(hubs, "band").where("v <> hub").select("band", "v", "hub"))
-    release(sizes, shared, hubs)
-    likely = cut(_likely(buckets.select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), classes, percent))
-
-    texts = source.where("doc_id is not null").select("v", "text")
+    likely (a, b, a_n, b_n, rank): pairs of a hub and a member of its buckets (band, v), of least rank the likeliest.
+    flagged gives of open buckets' members (band, v, c) the units in which texts are to meet. repeated: texts hold a v more than once."""
 
     def confirmed(placed: DataFrame) -> DataFrame:
         """Links (a, b) that units (unit, stray, v, c, n_shingles) hold; each text travels once to each of its units."""
@@ -282,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pairs = pairs.join(labels.select(F.col("v").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
         return pairs.where(~F.coalesce("a_c", "a").eqNullSafe(F.coalesce("b_c", "b")))
 
-    best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    best = likely.groupBy("b").agg(F.min(F.struct("rank", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     edges = confirmed_pairs(likely.join(best, ["a", "b"]))
     labels = components(edges)
 
@@ -300,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     opened = cut(placed.join(mixed, "band"))
     release(mixed)
     if opened.limit(1).count():
-        met = cut(_opened_units(opened, classes).groupBy("g").applyInArrow(_flag(percent), "unit long, stray boolean, v long, c long, n_shingles long"))
+        met = cut(flagged(opened))
         if met.limit(1).count():
             more = confirmed(met)
             if more.limit(1).count():
@@ -308,7 +287,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             release(more)
         release(met)
     release(buckets, opened, edges)
+    return labels
 
+
+def assigned(rows: DataFrame, classes: DataFrame, labels: DataFrame, repeated: bool) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, by its class and the class's component."""
     found = classes.select("h1", "h2", "doc_id", "v").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     if repeated:  # components go by v and not by id
         least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
@@ -317,13 +300,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         found = found.withColumn("class_id", F.col("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(found.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def _opened_units(opened: DataFrame, classes: DataFrame) -> DataFrame:
-    """opened (band, v, c) as units for _flag: blocks of a bucket's members against blocks of those outside its largest component, in groups g of about GROUP_ROWS rows."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for every input row.
+
+    Rows are linked if their sets of distinct `shingle`-word shingles have 100 * intersection >= percent * union.
+    Null and empty texts have an empty set and link with nothing. Rows that repeat an id are rows of their own, each
+    linked by its own text. A null id takes no part: component_id is null and the row is kept. Whole texts count,
+    however long. Other columns are not read."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = source.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    source = source.withColumn("v", F.xxhash64("doc_id", "text") if repeated else F.col("doc_id"))
+    schema = "v long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+    rows = cut(source.select("v", "doc_id", "text").mapInArrow(_signatures(shingle), schema))
+    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
+    classes = cut(sets.agg(F.min(F.struct("doc_id", "v")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in _SKETCH]).select("h1", "h2", "least.doc_id", "least.v", "n_shingles", "bands", *_SKETCH))
+    members = classes.select("v", F.explode("bands").alias("band"))
+    # Written first: a join with an aggregate of the same exchange can't split a hot band.
+    sizes = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(members.join(sizes, "band"))
+    # A bucket's hub is its most central member, the one that shares bands with most others: the text that copies were made of.
+    central = shared.groupBy("v").agg(F.sum("n").alias("weight"))
+    hubs = cut(shared.join(central, "v").groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "v")).alias("hub")).select("band", F.col("hub.v").alias("hub")))
+    buckets = cut(shared.join(hubs, "band").where("v <> hub").select("band", "v", "hub"))
+    release(sizes, shared, hubs)
+    likely = cut(_likely(buckets.select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct(), classes, percent))
     own = classes.select("v", "n_shingles", F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int")).alias("bands"), *_SKETCH)
-    per_component = opened.join(classes.select("v", "n_shingles"), "v").groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    flagged = lambda opened: _opened_units(opened, own).groupBy("g").applyInArrow(_flag(percent), UNITS)
+    labels = linked(likely, buckets, source.where("doc_id is not null").select("v", "text"), shingle, percent, flagged, repeated)
+    return assigned(rows, classes, labels, repeated).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: What is told of the texts that are to meet.
+UNITS = "unit long, stray boolean, v long, c long, n_shingles long"
+
+
+def _opened_units(opened: DataFrame, own: DataFrame) -> DataFrame:
+    """opened (band, v, c) and own (v, n_shingles, ...) as units: blocks of a bucket's members against blocks of those outside its largest component, in groups g of about GROUP_ROWS rows."""
+    per_component = opened.join(own.select("v", "n_shingles"), "v").groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
     plan = per_component.groupBy("band").agg(F.max(F.struct("n", "size", "c")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     plan = cut(plan.select("band", F.col("main.c").alias("main"), blocks(F.col("n"), F.col("size")).alias("m_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("s_blocks"), "n"))
@@ -334,4 +350,4 @@ def _opened_units(opened: DataFrame, classes: DataFrame) -> DataFrame:
     members = dealt.withColumn("m", block("m_blocks")).withColumn("s", each("s_blocks")).withColumn("stray", F.lit(False))
     strays = dealt.where("c <> main").withColumn("s", block("s_blocks")).withColumn("m", each("m_blocks")).withColumn("stray", F.lit(True))
     units = members.unionByName(strays).select("band", "stray", "v", "c", F.xxhash64("band", "m", "s").alias("unit"))
-    return units.join(own, "v").withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups))).select("g", "unit", "band", "stray", "v", "c", "n_shingles", "bands", *_SKETCH)
+    return units.join(own, "v").withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups))).select("g", "unit", "band", "stray", "v", "c", *own.columns[1:])

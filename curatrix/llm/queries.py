@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, merkle, mixing, neardup, sentencepiece, spelling, toxicity
+from curatrix.llm import ann, chat, cotraining, htmltext, language, linecrf, merkle, mixing, neardup, ngramjoin, sentencepiece, spelling, toxicity
 from curatrix.llm.common import read
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -93,7 +93,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proved(docs, F.when(chosen, small).otherwise(F.col("text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources, op11_spelling_variants, op12_merkle_manifest)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_join(read(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_minhash_neardup, op4_ann_search, op5_quality_cotraining, op6_language_id, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_mix_sources, op11_spelling_variants, op12_merkle_manifest, op13_ngram_join)}
 
 #: Common table expressions of the SQL below: crc holds the table of CRC-32 by byte.
 _CRC = "crc AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::UBIGINT) ORDER BY b) AS crc_table FROM range(256) r(b))"
@@ -108,26 +112,17 @@ def _crc32(text: str) -> str:
 #: SQL for the joined siblings before and after place i of its run of sixteen nodes.
 _BEFORE, _AFTER = "array_to_string(nodes[i // 16 * 16 + 1:i], '')", "array_to_string(nodes[i + 2:i // 16 * 16 + 16], '')"
 
-ORACLE_SQL = {
-    "op1_chat_format": r"""
-        WITH t AS (
-            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
-        SELECT conv_id, count(*)::BIGINT AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(12 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars
-        FROM t GROUP BY conv_id""",
-    "op3_minhash_neardup": r"""
+def _links_sql(words: int, kept: str) -> str:
+    """SQL for the components of near-duplicate documents by shingles of so many words."""
+    follow = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, words))])
+    return rf"""
         WITH RECURSIVE split AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
-        runs AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS shingle FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS (SELECT doc_id, {follow} AS shingle FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         every AS (
             SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL
-            UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND 3),
+            UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND {words - 1}),
         sets AS (SELECT doc_id, count(*) AS n, list(shingle ORDER BY shingle) AS shingles FROM every GROUP BY 1),
         sizes AS (SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN sets USING (doc_id)),
         -- Copies meet as one set, so that a group of them isn't squared.
@@ -140,8 +135,23 @@ ORACLE_SQL = {
         sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reached AS (SELECT DISTINCT hub AS doc_id, hub AS root FROM same UNION SELECT b, root FROM reached JOIN sides ON a = reached.doc_id AND root < b),
         roots AS (SELECT doc_id AS hub, min(root) AS root FROM reached GROUP BY 1)
-        SELECT sizes.doc_id, n::BIGINT AS n_shingles, coalesce(root, sizes.doc_id)::BIGINT AS component_id, sizes.doc_id = coalesce(root, sizes.doc_id) AS kept
-        FROM sizes LEFT JOIN same USING (doc_id) LEFT JOIN roots USING (hub)""",
+        SELECT sizes.doc_id, n::BIGINT AS n_shingles, coalesce(root, sizes.doc_id)::BIGINT AS component_id{kept}
+        FROM sizes LEFT JOIN same USING (doc_id) LEFT JOIN roots USING (hub)"""
+
+
+ORACLE_SQL = {
+    "op1_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(12 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op3_minhash_neardup": _links_sql(4, ", sizes.doc_id = coalesce(root, sizes.doc_id) AS kept"),
     "op11_spelling_variants": rf"""
         WITH RECURSIVE {_CRC},
         runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
@@ -189,4 +199,5 @@ ORACLE_SQL = {
             FROM ascent c JOIN over r ON r.level = c.level AND len(nodes) > 1)
         SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, h AS folded_root, h = root AS verified
         FROM ascent JOIN (SELECT nodes[1] AS root, level AS top FROM over WHERE len(nodes) = 1) ON level = top""",
+    "op13_ngram_join": _links_sql(5, ""),
 }
