@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from curatrix.functions import similarity
+
 EX = "http://example.org/ns#"
 
 
@@ -115,18 +115,13 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity of lower-case strings; the second string is the matcher's reference, so the order matters."""
-    out, matcher, last = [], SequenceMatcher(), None
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if y != last:
-            matcher.set_seq2(y.lower())
-            last = y
-        matcher.set_seq1(x.lower())
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    """Ratcliff/Obershelp similarity of lower-case strings; the second string is the matcher's reference, so the order matters. All pairs of a batch are compared at once."""
+    out = pd.Series(float("nan"), index=a.index, dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    if known.any():
+        (x, left), (y, right) = pd.factorize(a[known]), pd.factorize(b[known])
+        out[known] = similarity.ratios(similarity.Strings(similarity.lowered(list(left))), similarity.Strings(similarity.lowered(list(right))), x, y)
+    return out.astype(object).where(known, None).astype("float64")
 
 
 def ratio_bound(a: Column, b: Column) -> Column:

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import text
+from curatrix.operators import nameindex
 from curatrix.session import cut
 
 HIGH, LOW = 0.95, 0.70
 MERGE, GUARD, ORGANISATION = 0.72, 0.72, 0.85
+#: From this similarity on a name is looked up by its rare parts; the fewer letters must agree, the more names share one.
+NEAR = 0.8
 BROADCAST_ROWS = 20_000
 Similarity = Callable[[Column, Column], Column]
 
@@ -60,21 +63,27 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("raw").agg(best.alias("b")).select("raw", "b.*")
 
 
-def match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, low: float = LOW) -> DataFrame:
-    """(raw, canonical, score): for each name the best of all candidates, as if it had met every one.
+def indexed(names: DataFrame, registry: DataFrame, threshold: float, similarity: Similarity = text.ratio) -> DataFrame:
+    """(raw, candidate, canonical, ord, score) of the pairs that reach a threshold, by the index."""
+    pairs = nameindex.alike(names.select(F.col("raw").alias("name")), registry.select(F.col("candidate").alias("name")).distinct(), threshold, similarity)
+    return pairs.toDF("raw", "candidate", "score").join(registry, "candidate")
 
-    Names equal to a candidate apart from case score 1 without comparison. The others meet the candidates whose length
-    lets them reach `low`, and only those that find none there meet the rest. An empty registry gives no rows."""
+
+def match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, low: float = LOW, below: bool = True) -> DataFrame:
+    """(raw, canonical, score): for each name the best of all candidates, as if it had met every one; those below `low` only if `below`.
+
+    Names equal to a candidate apart from case score 1 without comparison. The others look for candidates from NEAR on in
+    the index; those that find none there are compared in blocks, by bounds. An empty registry gives no rows."""
+    registry = cut(registry)
     names = names_of(raws)
     known = registry.select(F.lower("candidate").alias("key"), "canonical", "ord").groupBy("key").agg(F.min_by(F.struct("canonical", "ord"), "ord").alias("b"))
     exact = names.join(known, F.lower("raw") == F.col("key")).select("raw", "b.canonical", F.lit(1.0).alias("score"), "b.ord")
-    bound = text.ratio_bound(F.col("raw"), F.col("candidate"))
-    near = cut(best_match(scored(names.join(exact.select("raw"), "raw", "left_anti"), registry, similarity, bound >= low)))
-    found = exact.unionByName(near.where(F.col("score") >= low))
-    others = cut(names.join(found.select("raw"), "raw", "left_anti"))
-    far = scored(others, registry, similarity, bound < low).select("raw", "canonical", "score", "ord")
-    far = best_match(far.unionByName(near.where(F.col("score") < low)))
-    return found.unionByName(far).select("raw", "canonical", "score")
+    found, others = exact, cut(names.join(exact.select("raw"), "raw", "left_anti"))
+    if low < NEAR:
+        near = cut(best_match(indexed(others, registry, NEAR, similarity)))
+        found, others = exact.unionByName(near), cut(others.join(near.select("raw"), "raw", "left_anti"))
+    rest = best_match(nameindex.nearest(others, registry, similarity, 0.0 if below else low))
+    return found.unionByName(rest).select("raw", "canonical", "score")
 
 
 def decided(matches: DataFrame, high: float = HIGH, low: float = LOW) -> DataFrame:
@@ -95,8 +104,8 @@ def guarded_merge(raws: DataFrame, registry: DataFrame, similarity: Similarity =
     variants = registry.where("candidate <> canonical").groupBy(F.col("candidate").alias("raw")).agg(F.max_by("canonical", "ord").alias("canonical"))
     known = names.join(variants, "raw").withColumn("score", similarity(F.col("raw"), F.col("canonical")))
     known = cut(known.where((F.col("score") >= threshold) & alike("canonical")).select("raw", "canonical", F.lit("variant-exact").alias("method"), "score"))
-    pairs = scored(names.join(known, "raw", "left_anti"), own, similarity, text.ratio_bound(F.col("raw"), F.col("candidate")) >= threshold)
-    best = best_match(pairs.where(F.col("score") >= threshold).where(alike("candidate")))
+    pairs = indexed(names.join(known, "raw", "left_anti"), own, threshold, similarity)
+    best = best_match(pairs.where(alike("candidate")))
     merges = known.unionByName(best.select("raw", "canonical", F.lit("fuzzy").alias("method"), "score"))
     return merges.where(text.name_to_uri(F.col("raw")) != text.name_to_uri(F.col("canonical"))).withColumn("score", F.round("score", 4))
 
@@ -119,10 +128,10 @@ def leader_clusters(names: DataFrame, threshold: float = LOW) -> DataFrame:
     among them. So every round decides many names at once, wherever they stand: the sweep is rounds of joins over the
     open links. A name given twice counts at its least ord; null names count not at all."""
     names = cut(names.where("name is not null").groupBy("name").agg(F.min("ord").alias("ord")))
-    left = names.select(F.col("name").alias("a"), F.col("ord").alias("ao"))
-    right = names.select(F.col("name").alias("b"), F.col("ord").alias("bo"))
-    bound = (F.col("ao") < F.col("bo")) & (text.ratio_bound(F.col("a"), F.col("b")) >= threshold)
-    links = cut(facing(left, right, bound).where(text.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "ao", "b"))
+    met = nameindex.met(names.select("name"), names.select("name"), threshold)
+    for side in ("a", "b"):
+        met = met.join(names.select(F.col("name").alias(side), F.col("ord").alias(f"{side}o")), side)
+    links = cut(met.where("ao < bo").where(text.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "ao", "b"))
     open_names, open_links, leaders = names.select("name"), links, []
     while True:
         heads = cut(open_names.join(open_links.select(F.col("b").alias("name")), "name", "left_anti"))
