@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernel, neardup
-from curatrix.llm.common import cut, marked, release, slices
+from curatrix.llm.common import BITMAP_WORDS, cut, marked, release, slices
 
 #: Seeds of the orders that follow the one by frequency.
 SEEDS = (2, 3)
 ORDERS = 1 + len(SEEDS)
+#: Keys with which an eighth of the bitmap's bits are set.
+BITMAP_KEYS = 8 * BITMAP_WORDS
 
 
 def need(n, percent: int):
@@ -77,36 +79,75 @@ def _sets(k: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(kernel.shingle_sets(part.column("text"), k))
-                yield pa.RecordBatch.from_arrays([part.column("v"), _lists(sets)], names=["v", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("v"), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["v", "n_shingles", "tokens"])
 
     return run
 
 
-def described(rows: DataFrame) -> DataFrame:
-    """Classes (h1, h2, doc_id, v, n_shingles, open) of rows (v, doc_id, n_shingles, wanted, h1, h2, lead); those that the first filter leaves are open.
+def promising(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, n_shingles) of the classes (v) that the first filter leaves, of rows (v, n_shingles, wanted, lead).
 
-    A token that one class alone holds counts against it; hot tokens shrink to a row for each task before they travel."""
-    held = rows.where("n_shingles > 0 and doc_id is not null")
-    tokens = held.select("h1", F.explode("lead").alias("token")).groupBy("token").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-    alone = tokens.where("low = high").groupBy(F.col("low").alias("h1")).agg(F.count("*").alias("alone"))
-    least = F.min(F.struct("doc_id", "v", "n_shingles", "wanted", F.size("lead").alias("size"))).alias("least")
-    classes = held.groupBy("h1", "h2").agg(least).select("h1", "h2", "least.*").join(alone, "h1", "left")
-    return classes.select("h1", "h2", "doc_id", "v", "n_shingles", (F.col("size") - F.coalesce("alone", F.lit(0)) >= F.col("wanted")).alias("open"))
+    A token that one class alone holds counts against it; hot tokens shrink to a row for each task before they travel.
+    The bitmap may let a copy through, which then counts for its class: more is compared, nothing is lost."""
+    held = marked(rows, classes, "v").where("marked")
+    tokens = held.select("v", F.explode("lead").alias("token")).groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    alone = tokens.where("low = high").groupBy(F.col("low").alias("v")).agg(F.count("*").alias("alone"))
+    found = classes.join(alone, "v", "left")
+    return found.where(F.col("size") - F.coalesce("alone", F.lit(0)) >= F.col("wanted")).select("v", "n_shingles")
+
+
+def _first(order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """For each group the first of its values in an order that keeps groups together."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values[order[at]], kind))
+
+
+def _prefixes(percent: int):
+    """Prefixes of whole sets from rows (v, n_shingles, df, token) that stand together by v and in order of df and token."""
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        v, n, df, token = (table.column(c).to_numpy() for c in ("v", "n_shingles", "df", "token"))
+        starts = np.flatnonzero(np.diff(v, prepend=v[0] - 1))
+        known = np.diff(np.append(starts, len(v)))
+        lengths = known - need(n[starts], percent) + 1
+        kept = lengths > 0
+        owner, level = np.repeat(np.arange(len(starts)), known), np.frexp(df.astype(float))[1]
+        starts, lengths = starts[kept], lengths[kept]
+        columns = [pa.array(v[starts]), pa.array(n[starts]), _first(np.arange(len(v)), starts, lengths, token, pa.int64())]
+        for seed in SEEDS:
+            h = kernel.mix(token.view(np.uint64) ^ kernel.mix(np.array([seed], np.uint64)))
+            columns.append(_first(np.lexsort((h, level, owner)), starts, lengths, (h >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()))
+        return pa.RecordBatch.from_arrays(columns, names=["v", "n_shingles", *(f"o{i}" for i in range(ORDERS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the last set so far, which the next batch may go on with
+        for batch in batches:
+            v = batch.column("v").to_numpy()
+            if not len(v):
+                continue
+            begin, last = 0, int(np.searchsorted(v, v[-1]))
+            if rest:
+                begin = int(np.searchsorted(v, rest[0].column("v")[0].as_py(), "right"))
+                rest.append(batch.slice(0, begin))
+                if begin == len(v):
+                    continue
+                yield made(pa.Table.from_batches(rest))
+            if last > begin:
+                yield made(pa.Table.from_batches([batch.slice(begin, last - begin)]))
+            rest = [batch.slice(last)]
+        if rest:
+            yield made(pa.Table.from_batches(rest))
+
+    return run
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(v, n_shingles, o0, o1, ...): of sets (v, n_shingles, tokens) the prefixes under each order, without the n-grams that one set alone holds; sets whose whole prefix is such go."""
-    tokens = sets.select("v", F.explode("tokens").alias("token"))
+    tokens = sets.select("v", "n_shingles", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    listed = tokens.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
-    n = F.col("n_shingles")
-    length = n - F.expr(f"(n_shingles * {percent} + 99) div 100") + 1 - (n - F.size("known"))
-    placed = listed.join(sets.select("v", "n_shingles"), "v").withColumn("length", length.cast("int")).where("length > 0")
-    first = lambda c: F.slice(c, F.lit(1), F.col("length"))
-    other = lambda seed: F.sort_array(F.transform("known", lambda x: F.struct(F.length(F.bin(x["df"])).alias("level"), F.hash(F.lit(seed), x["token"]).alias("h"))))
-    orders = [F.transform(first(F.col("known")), lambda x: x["token"]).alias("o0")]
-    orders += [F.transform(first(other(seed)), lambda x: x["h"]).alias(f"o{i + 1}") for i, seed in enumerate(SEEDS)]
-    return placed.select("v", "n_shingles", *orders)
+    listed = tokens.join(shared, "token").select("v", "n_shingles", "df", "token")
+    kinds = "v long, n_shingles long, o0 array<long>, " + ", ".join(f"o{i + 1} array<int>" for i in range(len(SEEDS)))
+    return listed.repartition("v").sortWithinPartitions("v", "df", "token").mapInArrow(_prefixes(percent), kinds)
 
 
 def _buckets(index: DataFrame) -> DataFrame:
@@ -187,14 +228,17 @@ def ngram_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     source = source.withColumn("v", F.xxhash64("doc_id", "text") if repeated else F.col("doc_id"))
     texts = source.where("doc_id is not null").select("v", "text")
     rows = cut(source.select("v", "doc_id", "text").mapInArrow(_described(shingle, percent), "v long, doc_id long, n_shingles long, wanted long, h1 long, h2 long, lead array<long>"))
-    classes = cut(described(rows))
-
-    promising = classes.where("open").select("v", "n_shingles")
-    own = marked(texts, promising, "v").where("marked").drop("marked").join(promising, "v", "left_semi")
+    held = rows.where("n_shingles > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "v", "n_shingles", "wanted", F.size("lead").alias("size"))).alias("least")
+    classes = cut(held.groupBy("h1", "h2").agg(least).select("h1", "h2", "least.*"))
+    open_ = cut(promising(held.select("v", "n_shingles", "wanted", "lead"), classes))
+    own = marked(texts, open_, "v").where("marked").select("v", "text")
+    if open_.count() > BITMAP_KEYS:  # the bitmap lets most texts through
+        own = own.join(open_.select("v"), "v", "left_semi")
     own = own.groupBy("v").agg(F.first("text").alias("text")) if repeated else own
-    sets = cut(own.mapInArrow(_sets(shingle), "v long, tokens array<long>").join(promising, "v"))
+    sets = cut(own.mapInArrow(_sets(shingle), "v long, n_shingles long, tokens array<long>"))
     index = cut(prefixes(sets, percent))
-    release(sets)
+    release(sets, open_)
 
     shared = _buckets(index)
     # A bucket's hub is the member that shares buckets with most others: the text that copies were made of.
