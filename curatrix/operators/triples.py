@@ -86,15 +86,41 @@ def labels(triples: DataFrame) -> DataFrame:
     return own.select("s", F.coalesce("label", F.regexp_extract("s", "([^/#:]*)$", 1)).alias("label"))
 
 
-def resolved(merges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(old, new) followed to its end, so that chains don't depend on their order; each round doubles the reach, and cycles go."""
-    for _ in range(rounds):
-        nxt = merges.select(F.col("old").alias("new"), F.col("new").alias("further"))
-        step = cut(merges.join(nxt, "new", "left").select("old", F.coalesce("further", "new").alias("new")).where("old <> new"))
-        if step.join(merges, ["old", "new"], "left_anti").limit(1).count() == 0:
-            return step
-        merges = step
-    return merges
+def _followed(merges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(old, new, least) followed until new is no old any more, and the rows that never end because they lead into a cycle; there least is the least address on the way.
+
+    Each round doubles the reach, so a chain ends after the logarithm of its length; what is open once the reach exceeds
+    the number of rows is in a cycle or leads into one."""
+    table = merges.where("old <> new").groupBy("old").agg(F.min("new").alias("new")).withColumn("least", F.col("new"))
+    reach, rows, table = 1, None, cut(table)
+    while True:
+        onward = table.select(F.col("old").alias("new"), F.col("new").alias("further"), F.col("least").alias("below"))
+        endless = table.join(onward, "new")
+        if endless.isEmpty():
+            return table, None
+        rows = rows or table.count()
+        if reach > rows:
+            return table, cut(endless.select("old", "new", "below"))
+        met = table.join(onward, "new", "left")
+        table = cut(met.select("old", F.coalesce("further", "new").alias("new"), F.least("least", F.coalesce("below", "least")).alias("least")))
+        reach *= 2
+
+
+def resolved(merges: DataFrame) -> DataFrame:
+    """(old, new) followed to its end, so that chains of any length don't depend on their order. Of several targets of an address the least holds; the addresses of a cycle become its least one."""
+    table, endless = _followed(merges)
+    if endless is None:
+        return table.select("old", "new")
+    ends = endless.select("old", F.col("below").alias("end"))
+    return table.join(ends, "old", "left").select("old", F.coalesce("end", "new").alias("new")).where("old <> new")
+
+
+def cycles(merges: DataFrame) -> DataFrame:
+    """(address, least) of the addresses whose merges lead back to themselves, with the least address of their cycle."""
+    _, endless = _followed(merges)
+    if endless is None:
+        return merges.where(F.lit(False)).select(F.col("old").alias("address"), F.col("new").alias("least"))
+    return endless.select(F.col("new").alias("address"), F.col("below").alias("least")).distinct()
 
 
 def merge_uris(triples: DataFrame, merges: DataFrame, names: DataFrame | None = None) -> DataFrame:
