@@ -31,6 +31,10 @@ from curatrix.llm.common import cut, held, in_sample, one_text, release, sample_
 TRAIN_ROWS = 20_000
 #: Automaton states and words' matches that a task keeps; beyond that they are built anew.
 MAX_STATES, MAX_SEEN = 100_000, 100_000
+#: Matches of longer words are found anew each time, so that kept ones stay small.
+KEPT_LETTERS = 100
+#: How likely a lexicon holds any term by chance.
+CHANCE = 0.05
 FOLDS = 5
 WINDOW = 6
 STEM_LENGTHS = range(4, 9)
@@ -139,11 +143,12 @@ class Lexicon:
             if stems:
                 weight, term = max(stems)
                 found = (term, 0, weight)
-        if found is None and 3 < len(word) < 40 and (near := self.fuzzy(word)):
+        if found is None and len(word) > 3 and (near := self.fuzzy(word)):
             found = (near[0], near[1], self.near[near[0]])
-        if len(self.seen) > MAX_SEEN:
-            self.seen.clear()
-        self.seen[word] = found
+        if len(word) < KEPT_LETTERS:
+            if len(self.seen) > MAX_SEEN:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
 
@@ -226,7 +231,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def terms_of(text: str) -> set[str]:
     """Words of three letters or more, and their beginnings marked by *."""
-    words = {w for w in _WORD.findall(text.lower()) if 3 <= len(w) < 40}
+    words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
     return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
 
 
@@ -296,11 +301,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return Model({}, {}, [0.0] * len(FEATURES) + [-10.0])
-    counted = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = cut(rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0"))
+    k, share = F.col("toxic") + F.col("clean"), n1 / (n1 + n0)
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    least = max(3, n1 // 100)
-    chosen = counted.where(F.col("toxic") >= least).select("term", "toxic", lift.alias("lift")).where(F.col("lift") >= 2.0)
-    top = chosen.orderBy("term").collect()  # at most 100 times as many as a toxic text has terms
+    # The chance that rows without regard to labels hold a term so unevenly is at most exp(-k * divergence); with as many terms as were counted, none is to enter by it.
+    gain = lambda n, p: F.when(n > 0, n * F.log(n / (k * p))).otherwise(0.0)
+    evidence = gain(F.col("toxic"), share) + gain(F.col("clean"), 1 - share)
+    chosen = counted.select("term", "toxic", "clean", lift.alias("lift"), evidence.alias("evidence")).where((F.col("lift") >= 2.0) & (F.col("evidence") >= float(np.log(max(counted.count(), 1) / CHANCE))))
+    top = chosen.orderBy("term").collect()  # each needs several toxic rows of a bounded sample
+    release(counted)
     counts = {r.term: r.toxic for r in top}
     weights_of = {r.term: min(4.0, float(r["lift"])) / 4.0 for r in top}
     # A beginning that says little more than one whole word gives way to it; a term that a beginning covers as strongly goes.
