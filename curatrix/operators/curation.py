@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ def existing(candidates: DataFrame, *stores: DataFrame, key: str) -> DataFrame:
     return out.distinct()
 
 
+def duplicates(candidates: DataFrame, *stores: DataFrame) -> DataFrame:
+    """Candidates (file_title, `dct:title`, ...) that some store holds, with why: file, or title if that is alike apart from case and outer spaces. An empty title is no reason."""
+    title = text.normalise(F.coalesce("dct:title", F.lit("")))
+    held = [s.select("file_title", title.alias("_title")) for s in stores]
+    every = reduce(DataFrame.union, held)
+    files = every.select("file_title").distinct().withColumn("_file", F.lit(True))
+    titles = every.select("_title").where("_title <> ''").distinct().withColumn("_named", F.lit(True))
+    met = candidates.withColumn("_title", title).join(files, "file_title", "left").join(titles, "_title", "left")
+    why = F.when(F.col("_file"), F.lit("file")).when(F.col("_named"), F.lit("title"))
+    return met.withColumn("why", why).where("why is not null").select(*candidates.columns, "why")
+
+
 def unseen(candidates: DataFrame, *stores: DataFrame, key: str) -> DataFrame:
     """Candidates whose key no store holds."""
     for store in stores:

@@ -121,6 +121,15 @@ def organisation_match(raws: DataFrame, registry: DataFrame, similarity: Similar
     return best.select("raw", "canonical", F.round("score", 4).alias("score"))
 
 
+def affiliated(raws: DataFrame, known: DataFrame, similarity: Similarity = text.ratio, threshold: float = ORGANISATION) -> DataFrame:
+    """(raw, matched, name, address, confidence) of each distinct name against a list (key, name, address): the list's name and address of the best hit, the least name on ties; a name without a hit stays as it is at 0."""
+    registry = registry_long(known, "key")
+    best = organisation_match(raws, registry, similarity, threshold).select("raw", F.col("canonical").alias("key"), "score")
+    met = names_of(raws).join(best.join(known, "key"), "raw", "left")
+    hit = F.col("score").isNotNull()
+    return met.select("raw", hit.alias("matched"), F.coalesce("name", "raw").alias("name"), "address", F.coalesce("score", F.lit(0.0)).alias("confidence"))
+
+
 def leader_clusters(names: DataFrame, threshold: float = LOW) -> DataFrame:
     """(leader, member) from (name, ord): in order each unassigned name leads and takes all later unassigned names whose ratio to it reaches threshold.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from curatrix.functions import text
+from curatrix.operators import triples
 
 # The largest share of a query that may be edited, and the lengths of result lists.
 FUZZY, RATIO = 0.35, 0.3
@@ -77,3 +78,40 @@ def node_search(nodes: DataFrame, query: str, n: int = NODES, threshold: float =
     holds, alike = F.contains(F.lower("label"), wanted), text.ratio(wanted, F.col("label"))
     scored = nodes.withColumn("score", F.greatest(alike, holds.cast("double")) if contained else alike)
     return scored.where((F.col("score") >= threshold) | F.contains(F.lower("label"), wanted)).orderBy(F.desc("score"), "id").limit(n)
+
+
+#: Predicates that lead from an abstract to the nodes whose labels a mode searches; titles are its own.
+MODES = {"title": None, "author": triples.AUTHOR, "affiliation": triples.SOURCE}
+
+
+def _alike(query: str, name: Column) -> Column:
+    """Similarity of a name to a query, 1 if it holds it."""
+    wanted = F.lit(query.strip().lower())
+    return F.greatest(text.ratio(wanted, name), F.contains(F.lower(name), wanted).cast("double"))
+
+
+def abstract_search(t: DataFrame, query: str, mode: str = "title", n: int = TRIPLES, threshold: float = RATIO) -> DataFrame:
+    """(s, title, score): the best abstracts by title, or by their likest author or organisation; ties by address. A blank query finds nothing.
+
+    Distinct names are scored once, and only names that reach the threshold are joined to abstracts."""
+    abstracts, labels = triples.nodes_of(t, triples.ABSTRACT), triples.titles(t)
+    if not query.strip():
+        return labels.where(F.lit(False)).select("s", "title", F.lit(0.0).alias("score"))
+    owners = labels.join(abstracts, "s", "left_semi")
+    link = MODES[mode]
+    named = owners.select("s", F.col("title").alias("name"))
+    if link:
+        named = t.where(F.col("p") == link).select("s", F.col("o").alias("node")).join(labels.select(F.col("s").alias("node"), F.col("title").alias("name")), "node").join(abstracts, "s", "left_semi")
+    good = named.select("name").distinct().withColumn("score", _alike(query, F.col("name"))).where(F.col("score") >= threshold)
+    best = named.join(good, "name").groupBy("s").agg(F.max("score").alias("score"))
+    return best.join(owners, "s").select("s", "title", "score").orderBy(F.desc("score"), "s").limit(n)
+
+
+def graph_search(t: DataFrame, query: str, kind: str, prop: str, n: int = NODES, threshold: float = RATIO) -> DataFrame:
+    """(s, name, score): the best nodes of a class by the similarity of their property and label together; a text that holds the query stays at any similarity. Name is the property, else the label."""
+    wanted = query.lower()
+    own = t.join(triples.nodes_of(t, kind), "s", "left_semi").groupBy("s").agg(*[F.coalesce(F.min(F.when(F.col("p") == p, F.col("o"))), F.lit("")).alias(c) for p, c in ((prop, "title"), (triples.LABEL, "label"))])
+    rows = own.where("title <> '' or label <> ''").withColumn("both", F.concat_ws(" ", "title", "label"))
+    scored = rows.select("both").distinct().withColumn("score", text.ratio(F.lit(wanted), F.col("both"))).where((F.col("score") >= threshold) | F.contains(F.lower("both"), F.lit(wanted)))
+    name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("label"))
+    return rows.join(scored, "both").select("s", name.alias("name"), "score").orderBy(F.desc("score"), "s").limit(n)

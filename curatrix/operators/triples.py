@@ -86,6 +86,12 @@ def labels(triples: DataFrame) -> DataFrame:
     return own.select("s", F.coalesce("label", F.regexp_extract("s", "([^/#:]*)$", 1)).alias("label"))
 
 
+def titles(triples: DataFrame) -> DataFrame:
+    """(s, title) of the nodes that have one: the title, else the smallest label."""
+    own = triples.where(F.col("p").isin("dct:title", LABEL)).groupBy("s").agg(F.min(F.struct((F.col("p") != "dct:title").alias("second"), "o")).alias("best"))
+    return own.select("s", F.col("best.o").alias("title"))
+
+
 def _followed(merges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(old, new, least) followed until new is no old any more, and the rows that never end because they lead into a cycle; there least is the least address on the way.
 

@@ -1068,3 +1068,6 @@ def author_block(spark, sf_dir):
     block = documents.author_block(F.coalesce("text", F.lit("")))
     said = F.transform(documents.attributed(block), lambda x: F.concat(x["name"], F.lit(": "), F.array_join(x["affiliations"], "; ")))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(block, "\n").alias("block"), F.array_join(said, "\n").alias("authors"))
+
+
+from curatrix.plans import lifecycle  # noqa: E402, F401  registers its queries
