@@ -18,6 +18,12 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
 
 
+def last_of(df: DataFrame, *keys: str, at: str | None = None) -> DataFrame:
+    """One row for each value of the keys: the last by column `at`, without which rows that repeat keys are taken by all of their columns."""
+    order = F.struct(*[c for c in ([at] if at else []) + df.columns if c not in keys and "map<" not in dict(df.dtypes)[c]])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+
+
 def decided_value(decision: Column, raw: Column, matched: Column, new: Column) -> Column:
     """What a decision makes of a raw name; without one it stays."""
     return F.when(decision.isin("existing", "auto_existing"), F.coalesce(matched, raw)).when(decision.isin("new", "auto_new"), F.coalesce(new, raw)).otherwise(raw)
@@ -86,13 +92,14 @@ def approve_reviewed(staged: DataFrame, approved: DataFrame, decisions: DataFram
     return approved.unionByName(moved, allowMissingColumns=True), staged.join(keys, key, "left_anti"), grown
 
 
-def save(store: DataFrame, edits: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """The first row of each edited key, by `order`, takes the edit, new keys are appended; without an order keys are unique."""
+def save(store: DataFrame, edits: DataFrame, key: str, order: str | None = None, at: str | None = None) -> DataFrame:
+    """The first row of each edited key, by `order`, takes the edit, new keys are appended; without an order keys are unique. Of several edits of a key the last by `at` holds."""
+    edits = last_of(edits, key, at=at).select(edits.columns if at is None or at in store.columns else [c for c in edits.columns if c != at])
     if order is None:
         return store.join(edits.select(key), key, "left_anti").unionByName(edits)
     firsts = store.join(edits.select(key), key, "left_semi").groupBy(key).agg(F.min(order).alias(order))
     others = store.join(firsts, [key, order], "left_anti")
-    return others.unionByName(edits.drop(order).join(firsts, key, "left").select(store.columns))
+    return others.unionByName(edits.drop(order).join(firsts, key, "left").select(store.columns)).select(store.columns)
 
 
 def remove_author(records: DataFrame, decisions: DataFrame, removed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +109,10 @@ def remove_author(records: DataFrame, decisions: DataFrame, removed: DataFrame,
     return kept, decisions.join(removed.select(key, "author").distinct(), [key, "author"], "left_anti")
 
 
-def rename_author(records: DataFrame, decisions: DataFrame, renamed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(records, decisions) after renames (key, author, place, name): the author at that place, and every decision of the old name, also a namesake's."""
-    by = renamed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "name"))).alias("_names"))
+def rename_author(records: DataFrame, decisions: DataFrame, renamed: DataFrame, key: str, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, decisions) after renames (key, author, place, name): the author at that place, and every decision of the old name, also a namesake's. Of several renames of a place the last by `at` holds."""
+    renamed = last_of(renamed, key, "author", "place", at=at)
+    by = last_of(renamed, key, "place", at=at).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "name"))).alias("_names"))
     new = lambda a, i: a.withField("name", F.coalesce(F.try_element_at("_names", i), a["name"]))
     rows = records.join(by, key, "left").withColumn("authors", F.transform("authors", new)).drop("_names")
     names = renamed.groupBy(key, "author").agg(F.max_by("name", "place").alias("_name"))
@@ -125,9 +133,9 @@ def registry_upsert(registry: DataFrame, additions: DataFrame) -> DataFrame:
     return registry.unionByName(fresh)
 
 
-def edited(df: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows whose value an update changes, null-safe."""
-    new = updates.select(key, F.col(column).alias("_new"))
+def edited(df: DataFrame, updates: DataFrame, key: str, column: str, at: str | None = None) -> DataFrame:
+    """Rows whose value an update changes, null-safe; of several updates of a key the last by `at` holds."""
+    new = last_of(updates, key, at=at).select(key, F.col(column).alias("_new"))
     return df.join(new, key).where(~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_new")
 
 
@@ -147,12 +155,12 @@ def lazy_decisions(pairs: DataFrame, decisions: DataFrame, registry: DataFrame,
     return decisions.select(names).unionByName(made)
 
 
-def review(decisions: DataFrame, overrides: DataFrame) -> DataFrame:
+def review(decisions: DataFrame, overrides: DataFrame, at: str | None = None) -> DataFrame:
     """Decisions (author, raw, matched_canonical, decision, new_canonical) after a reviewer's overrides (author, raw, choice, name).
 
     A choice of existing or new takes its name; revert restores what matching found, an automatic decision as a plain
-    one; without an override nothing changes."""
-    by = overrides.select("author", "raw", "choice", "name")
+    one; without an override nothing changes. Of several overrides of a pair the last by `at` holds."""
+    by = last_of(overrides, "author", "raw", at=at).select("author", "raw", "choice", "name")
     choice, was = F.col("choice"), F.col("decision")
     plain = F.when(was == "auto_existing", "existing").when(was == "auto_new", "new").otherwise(F.lit("pending"))
     decision = F.when(choice.isin("existing", "new"), choice).when(choice == "revert", plain).otherwise(was)

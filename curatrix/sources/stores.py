@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.operators import numbering
+from curatrix.sources import splitting
+
 RECORD = "file_title string, `dct:title` string, `dcat:contactPoint` string, `dcat:keyword` string, `dct:publisher` string, `dcat:theme` string, `dct:type` string, `dct:language` string, `dct:issued` string, authors array<struct<name:string,affiliations:array<string>>>, `dct:relation` array<string>"
 STAGED = RECORD + ", _status string, _error string, _aff_decisions array<struct<author:string,raw:string,matched_canonical:string,match_score:double,decision:string,new_canonical:string>>, _raw_affiliations map<string,array<string>>"
 
@@ -21,10 +24,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
-
-
 def read_store(spark: SparkSession, path: str, schema: str = STAGED) -> DataFrame:
     """Records of a JSON array (or of JSON lines, as write_store leaves them), with ord; a missing file or other JSON gives none, items that are no objects go."""
     if not exists(spark, path) and exists(spark, f"{path}.old"):
@@ -33,11 +32,8 @@ def read_store(spark: SparkSession, path: str, schema: str = STAGED) -> DataFram
         return spark.createDataFrame([], schema + ", ord long")
     if _path(spark, path)[1].isDirectory(_path(spark, path)[0]):
         return spark.read.schema(schema + ", ord long").json(path)
-    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    rows = _whole(spark, path).select(F.posexplode(items).alias("ord", "item"))
-    rows = rows.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
-    parsed = rows.select(F.col("ord").cast("long").alias("ord"), F.from_json(F.to_json("item"), schema).alias("r"))
-    return parsed.select("r.*", "ord")
+    rows = splitting.array_objects(spark, path)
+    return rows.select(F.from_json("value", schema).alias("r"), "ord").select("r.*", "ord")
 
 
 def write_store(records: DataFrame, path: str) -> None:
@@ -62,22 +58,60 @@ def write_stamped(records: DataFrame, folder: str, name: str, now: dt.datetime)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(canonical, canon_ord, variant, var_ord) of a JSON map; a canonical without variants has one row with null; a missing file gives none."""
+    """(canonical, canon_ord, variant, var_ord) of a JSON map, or of what write_registry leaves; a canonical without variants has one row with null; a missing file gives none."""
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        path = f"{path}.old"
+    if exists(spark, path) and _path(spark, path)[1].isDirectory(_path(spark, path)[0]):
+        lines = spark.read.schema("canonical string, variants array<string>, canon_ord int").json(path)
+        return lines.select("canon_ord", "canonical", F.posexplode_outer("variants").alias("var_ord", "variant"))
     if not exists(spark, path):
         return spark.createDataFrame([], "canon_ord int, canonical string, var_ord int, variant string")
-    entries = _whole(spark, path).select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("canon_ord", "e"))
+    entries = splitting.map_entries(spark, path).select(F.col("ord").cast("int").alias("canon_ord"), F.explode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("e"))
     return entries.select("canon_ord", F.col("e.key").alias("canonical"), F.posexplode_outer("e.value").alias("var_ord", "variant"))
 
 
-def registry_json(registry: DataFrame) -> DataFrame:
-    """One line of JSON per canonical (canonical, variants), in code point order and variants in theirs."""
+def registry_rows(registry: DataFrame) -> DataFrame:
+    """(canonical, variants): each variant once, in order of its first place."""
+    firsts = registry.groupBy("canonical", "variant").agg(F.min("var_ord").alias("var_ord"))
     variants = F.transform(F.sort_array(F.collect_list(F.when(F.col("variant").isNotNull(), F.struct("var_ord", "variant")))), lambda x: x["variant"])
-    return registry.groupBy("canonical").agg(variants.alias("variants")).orderBy("canonical")
+    return firsts.groupBy("canonical").agg(variants.alias("variants"))
+
+
+def registry_json(registry: DataFrame) -> DataFrame:
+    """One row per canonical (canonical, variants), in code point order and variants in theirs."""
+    return registry_rows(registry).orderBy("canonical")
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """A registry (canonical, var_ord, variant) as lines in parts, canonicals numbered in code point order; replaced whole as a store is."""
+    lines = numbering.numbered(registry_rows(registry), "canonical").withColumnRenamed("i", "canon_ord")
+    write_store(lines.select("canonical", "variants", F.col("canon_ord").cast("int").alias("canon_ord")), path)
+
+
+def migrate(spark: SparkSession, layout: dict[str, str], legacy: dict[str, str]) -> dict[str, str]:
+    """Brings a dataset to its layout, once: what exists is skipped, what an older layout has is converted, the rest starts empty.
+
+    Both name paths of records, staged and registry; an older registry is a group file. Tells of each what was done."""
+    done = {}
+    for name, path in layout.items():
+        old = legacy.get(name)
+        if exists(spark, path) or exists(spark, f"{path}.old"):
+            done[name] = "skipped"
+        elif name == "registry":
+            found = bool(old) and exists(spark, old)
+            groups = migrated(read_groups(spark, old)) if found else spark.createDataFrame([], "canonical string, var_ord int, variant string")
+            write_registry(groups, path)
+            done[name] = "converted" if found else "started empty"
+        else:
+            found = name != "staged" and bool(old) and exists(spark, old)
+            write_store(read_store(spark, old) if found else spark.createDataFrame([], STAGED + ", ord long"), path)
+            done[name] = "converted" if found else "started empty"
+    return done
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """(canonical, group_ord, variant, ord) of a group file: canonical to a list of maps of a variant and its count."""
-    groups = _whole(spark, path).select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<map<string,int>>>"))).alias("group_ord", "e"))
+    groups = splitting.map_entries(spark, path).select(F.col("ord").cast("int").alias("group_ord"), F.explode(F.map_entries(F.from_json("value", "map<string,array<map<string,int>>>"))).alias("e"))
     names = F.flatten(F.transform("e.value", F.map_keys))
     return groups.select("group_ord", F.col("e.key").alias("canonical"), F.posexplode_outer(names).alias("ord", "variant"))
 
@@ -98,12 +132,13 @@ def read_organisations(spark: SparkSession, path: str, name: str, address: str)
     """(key, name, address) of a tab-separated list with trimmed headers; a missing file gives none; of repeated keys the last holds."""
     if not exists(spark, path):
         return spark.createDataFrame([], "key string, name string, address string")
-    lines = _whole(spark, path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("trim(line) <> ''")
-    header = lines.orderBy("at").first()
+    lines = splitting.pieces(spark, path, "\n").withColumn("line", F.regexp_replace("value", "\r$", "")).where("trim(line) <> ''")
+    header = lines.where("block = 0").orderBy("at").first()
     names = [c.strip() for c in header.line.split("\t")] if header else []
     cell = lambda column: F.trim(F.coalesce(F.try_element_at(F.split("line", "\t"), F.lit(names.index(column) + 1)), F.lit("")))
-    rows = lines.where(F.col("at") > (header.at if header else 0)).select(F.lower(cell(name)).alias("key"), cell(name).alias("name"), cell(address).alias("address"), "at")
-    return rows.where("key <> ''").groupBy("key").agg(F.max_by(F.struct("name", "address"), "at").alias("r")).select("key", "r.*")
+    body = lines.where((F.col("block") > 0) | (F.col("at") > (header["at"] if header else 0)))
+    rows = body.select(F.lower(cell(name)).alias("key"), cell(name).alias("name"), cell(address).alias("address"), F.struct("block", "at").alias("order"))
+    return rows.where("key <> ''").groupBy("key").agg(F.max_by(F.struct("name", "address"), "order").alias("r")).select("key", "r.*")
 
 
 def read_table(spark: SparkSession, path: str, dropped: tuple[str, ...] = ("file_title",)) -> DataFrame:
