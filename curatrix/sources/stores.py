@@ -24,6 +24,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def empty(spark: SparkSession, path: str) -> None:
+    """Removes a folder that is to be written anew."""
+    place, system = _path(spark, path)
+    system.delete(place, True)
+
+
 def read_store(spark: SparkSession, path: str, schema: str = STAGED) -> DataFrame:
     """Records of a JSON array (or of JSON lines, as write_store leaves them), with ord; a missing file or other JSON gives none, items that are no objects go."""
     if not exists(spark, path) and exists(spark, f"{path}.old"):
