@@ -991,11 +991,11 @@ def _vowl_sql() -> str:
     properties = [row("property", i, "owl:ObjectProperty", p, p.split(":")[1], d, r, None, inv) for p, (i, d, r, inv) in profiles.BASE_PROPERTIES.items()]
     parents = " ".join(f"WHEN '{p}' THEN '{v[0]}'" for p, v in profiles.BASE_PROPERTIES.items())
     return f"""WITH {TRIPLES_SQL}, named AS (SELECT s, coalesce(min(o) FILTER (p = 'rdfs:label'), split_part(s, ':', 2)) AS label FROM t GROUP BY 1),
-    kinds AS (SELECT t.s AS iri, CASE o WHEN 'foaf:Person' THEN 'person_' WHEN 'ex:Abstract' THEN 'abstract_' ELSE 'organisation_' END || left(md5(t.s), 16) AS id, label,
+    kinds AS (SELECT t.s AS iri, CASE o WHEN 'foaf:Person' THEN 'person' WHEN 'ex:Abstract' THEN 'abstract' ELSE 'organisation' END || row_number() OVER (PARTITION BY o ORDER BY t.s) AS id, label,
         CASE o WHEN 'foaf:Person' THEN 'foaf_Person' WHEN 'ex:Abstract' THEN 'ex_Abstract' ELSE 'schema_Organization' END AS parent FROM t JOIN named ON named.s = t.s WHERE p = 'rdf:type'),
     every(section, {", ".join(fields)}) AS (VALUES {", ".join(classes + properties)}
         UNION ALL SELECT 'class', id, 'owl:Class', iri, label, NULL, NULL, parent, NULL FROM kinds
-        UNION ALL SELECT 'property', 'prop_' || left(md5(s || '|' || p || '|' || o), 16), 'owl:ObjectProperty', p, split_part(p, ':', 2), x.id, y.id, CASE p {parents} END, NULL
+        UNION ALL SELECT 'property', 'prop_' || (row_number() OVER (ORDER BY s, p, o) - 1), 'owl:ObjectProperty', p, split_part(p, ':', 2), x.id, y.id, CASE p {parents} END, NULL
             FROM t JOIN kinds x ON x.iri = s JOIN kinds y ON y.iri = o WHERE p IN ({", ".join(f"'{p}'" for p in profiles.BASE_PROPERTIES)}))
     SELECT section, id, {item} AS item FROM every"""
 

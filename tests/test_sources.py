@@ -173,6 +173,6 @@ def test_drawing(spark):
     edges = spark.createDataFrame([("a:1", "ex:hasAuthor", "u:1"), ("a:1", "ex:hasAuthor", "u:none")], "s string, p string, o string")
     rows = [(r.section, json.loads(r.item)) for r in profiles.drawing(nodes, edges).collect()]
     ids = {x["iri"]: x["id"] for kind, x in rows if kind == "class"}
-    assert len(rows) == 3 + 6 + 2 + 1 and ids["u:1"].startswith("person_")
-    (link,) = [x for kind, x in rows if x["id"].startswith("prop_")]
+    assert len(rows) == 3 + 6 + 2 + 1 and ids["u:1"] == "person1" and ids["a:1"] == "abstract1"
+    (link,) = [x for kind, x in rows if x["id"] == "prop_0"]
     assert (link["domain"], link["range"], link["parent"], link["label"]) == (ids["a:1"], ids["u:1"], "ex_hasAuthor", "hasAuthor")
