@@ -53,20 +53,66 @@ def fuzzy_score(query: str) -> Callable[[Column], Column]:
     return score
 
 
+def needed_grams(query: str, threshold: float) -> tuple[dict[str, int], int]:
+    """(pairs of neighbouring letters of a query with how often each occurs, how many of these places any text within the threshold holds): an edit spoils two places at most."""
+    wanted = query.strip().lower()
+    grams: dict[str, int] = {}
+    for i in range(len(wanted) - 1):
+        grams[wanted[i : i + 2]] = grams.get(wanted[i : i + 2], 0) + 1
+    return grams, len(wanted) - 1 - 2 * int(threshold * len(wanted) + 1e-9)
+
+
+def _may_match(query: str, threshold: float) -> Callable[[Column], Column]:
+    """Whether an array of texts has one with enough of the query's pairs of letters, which the rest need not be compared for."""
+    grams, need = needed_grams(query, threshold)
+    if need <= 0:
+        return lambda values: F.lit(True)
+
+    def enough(value: Column) -> Column:
+        held = [F.contains(F.lower(value), F.lit(g)).cast("int") * n for g, n in grams.items()]
+        return sum(held[1:], held[0]) >= need
+
+    return lambda values: F.exists(values, enough)
+
+
+def _texts(entries: DataFrame, mode: str) -> Column:
+    kinds = dict(entries.dtypes)
+    return F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) if kinds[c].startswith("array") else F.array(F.col(c).cast("string")) for c in FIELDS[mode]])
+
+
+def gram_index(entries: DataFrame, key: str, mode: str = "all") -> DataFrame:
+    """(gram, key): which entries hold which pairs of neighbouring letters in a field; written by gram once, it answers any number of queries."""
+    letters = F.explode(F.array_distinct(F.filter(_texts(entries, mode), lambda v: v.isNotNull()))).alias("value")
+    rows = entries.select(key, letters).select(key, F.lower("value").alias("value")).where("length(value) > 1")
+    grams = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(2)))
+    return rows.select(F.explode(F.array_distinct(grams)).alias("gram"), key).distinct()
+
+
+def indexed_search(entries: DataFrame, index: DataFrame, key: str, query: str, mode: str = "all", threshold: float = FUZZY) -> DataFrame:
+    """As fuzzy_search, but only entries that the index (gram, key) gives enough pairs of letters for are read further; keys are unique. A query too short to need a pair reads all."""
+    grams, need = needed_grams(query, threshold)
+    if not query.strip() or need <= 0:
+        return fuzzy_search(entries, query, mode, threshold)
+    weight = F.element_at(F.create_map(*[F.lit(x) for g, n in grams.items() for x in (g, n)]), F.col("gram"))
+    near = index.where(F.col("gram").isin(*grams)).groupBy(key).agg(F.sum(weight).alias("held")).where(F.col("held") >= need)
+    return fuzzy_search(entries.join(near.select(key), key, "left_semi"), query, mode, threshold)
+
+
 def fuzzy_search(entries: DataFrame, query: str, mode: str = "all", threshold: float = FUZZY) -> DataFrame:
     """Entries with a field near the query and their score, best first is score order; a blank query keeps all at score 0.
 
-    Fields that aren't arrays count as one text. A map over rows: nothing is shuffled."""
+    Fields that aren't arrays count as one text. A map over rows: nothing is shuffled, and only entries that hold enough
+    of the query's pairs of letters are compared."""
     if not query.strip():
         return entries.withColumn("score", F.lit(0.0))
-    kinds = dict(entries.dtypes)
-    parts = [F.coalesce(F.col(c), F.array().cast("array<string>")) if kinds[c].startswith("array") else F.array(F.col(c).cast("string")) for c in FIELDS[mode]]
-    return entries.withColumn("score", fuzzy_score(query)(F.concat(*parts))).where(F.col("score") <= threshold)
+    texts = _texts(entries, mode)
+    return entries.where(_may_match(query, threshold)(texts)).withColumn("score", fuzzy_score(query)(texts)).where(F.col("score") <= threshold)
 
 
 def suggestions(nodes: DataFrame, query: str, n: int = SUGGESTIONS) -> DataFrame:
     """The nearest nodes (id, label) to a query, best first, ties by id."""
-    near = nodes.withColumn("score", fuzzy_score(query)(F.array("label"))).where(F.col("score") <= FUZZY)
+    label = F.array("label")
+    near = nodes.where(_may_match(query, FUZZY)(label)).withColumn("score", fuzzy_score(query)(label)).where(F.col("score") <= FUZZY)
     return near.orderBy("score", "id").limit(n)
 
 
