@@ -40,9 +40,17 @@ def instance_triples(abstracts: DataFrame, authorship: DataFrame, affiliation: D
 def restrictions(edges: DataFrame, prop: str) -> DataFrame:
     """Class axioms for edges (s, o): a some-values-from restriction whose node id is a hash of what it says, so that reruns agree."""
     node = F.concat(F.lit("_:"), F.substring(F.md5(F.concat_ws("|", "s", F.lit(prop), "o").cast("binary")), 1, 16))
-    with_node = edges.select("s", "o", node.alias("b"))
+    # A node says one edge, so distinct edges give distinct triples.
+    with_node = edges.select("s", "o").distinct().select("s", "o", node.alias("b"))
     s, o, b = F.col("s"), F.col("o"), F.col("b")
-    return exploded(with_node, triple(s, SUBCLASS, b, "bnode"), triple(b, TYPE, F.lit(RESTRICTION)), triple(b, "owl:onProperty", F.lit(prop)), triple(b, "owl:someValuesFrom", o)).distinct()
+    return exploded(with_node, triple(s, SUBCLASS, b, "bnode"), triple(b, TYPE, F.lit(RESTRICTION)), triple(b, "owl:onProperty", F.lit(prop)), triple(b, "owl:someValuesFrom", o))
+
+
+def restricted(triples: DataFrame) -> DataFrame:
+    """(b, s, o) of restrictions: the node, the class below it and what its property leads to, by one grouping of the triples."""
+    below, some = F.col("p") == SUBCLASS, F.col("p") == "owl:someValuesFrom"
+    told = triples.where((below & (F.col("o_kind") == "bnode")) | some).select(F.when(below, F.col("o")).otherwise(F.col("s")).alias("b"), F.when(below, F.col("s")).alias("s"), F.when(some, F.col("o")).alias("o"))
+    return told.groupBy("b").agg(F.max("s").alias("s"), F.max("o").alias("o")).where("s is not null and o is not null")
 
 
 # Object properties with their label, domain, range, inverse and the inverse's label; annotation properties; properties of citations as literals.

@@ -732,10 +732,8 @@ def graph_totals(spark, sf_dir):
 
 @query("SELECT DISTINCT '_:' || left(md5(s || '|ex:hasAuthor|' || o), 16) AS b, s, o FROM (SELECT 'a:' || l_orderkey AS s, 'u:' || l_suppkey AS o FROM lineitem)")
 def class_restrictions(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a:"), "l_orderkey").alias("s"), F.concat(F.lit("u:"), "l_suppkey").alias("o")).distinct()
-    out = triples.restrictions(pairs, triples.AUTHOR)
-    some = out.where("p = 'owl:someValuesFrom'").select(F.col("s").alias("b"), "o")
-    return out.where("o_kind = 'bnode'").select("s", F.col("o").alias("b")).join(some, "b").select("b", "s", "o")
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a:"), "l_orderkey").alias("s"), F.concat(F.lit("u:"), "l_suppkey").alias("o"))
+    return triples.restricted(triples.restrictions(pairs, triples.AUTHOR))
 
 
 _PROPERTIES_SQL = """pr(p, l, d, r, i, b) AS (VALUES ('ex:hasAuthor', 'has author', 'ex:Abstract', 'foaf:Person', 'ex:isAuthorOf', 'is author of'), ('ex:contactPoint', 'contact point', 'ex:Abstract', 'foaf:Person', 'ex:isContactFor', 'is contact for'),
