@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, content_score, meta_score, score), a row for every input row.
 
-    Nulls in any column count as missing values of their own and empty texts as such; ids may be null or repeat;
-    further columns are not read."""
+    Nulls in any column count as missing values of their own and empty texts as such; ids may be null or repeat.
+    Whole texts count, however long; an empty table gives no rows; further columns are not read."""
     names = ["doc_id", "content_score", "meta_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,7 +228,11 @@ COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 
 def quality_rules(docs: DataFrame, weights: np.ndarray, share: float = CONTENT_SHARE) -> DataFrame:
-    """COLUMNS, a row for every input row. Null texts count as empty and fail; ids may be null or repeat; other columns are not read."""
+    """COLUMNS, a row for every input row.
+
+    Null texts count as empty and fail; ids may be null or repeat. Texts of any length are decoded as one chain of all
+    their lines, where ties go to the smaller label. An empty table gives no rows, and other columns
+    are not read."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     weights = np.array(weights)
 

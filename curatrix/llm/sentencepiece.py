@@ -275,7 +275,8 @@ def _run(shared, columns: list[str], schema: pa.Schema):
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, n_ids, round_trip), a row for every input row; round_trip: decoding gave the text back.
 
-    Null and empty texts have no ids. Ids may be null or repeat. Other columns are not read. The model's pieces
+    Null and empty texts have no ids. Ids may be null or repeat. Texts of any length are encoded whole, in one pass;
+    an empty table gives no rows; other columns are not read. The model's pieces
     are broadcast: their number is the vocabulary's, whatever the input."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(path))

@@ -370,7 +370,9 @@ def _scores(model: Model, columns: list[str], schema: pa.Schema):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score), a row for every input row. Null and empty texts score as texts without hits; ids may be null or repeat; other columns are not read."""
+    """(doc_id, score), a row for every input row. Null and empty texts score as texts without hits; ids may be null or repeat; other columns are not read.
+
+    Texts and words of any length count whole; of terms equally near to a word the smaller one counts; an empty table gives no rows."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(model, ["doc_id"], schema), "doc_id long, score double")
 
