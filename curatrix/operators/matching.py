@@ -1,9 +1,9 @@
 """Registry matching, guarded merges and leader clustering.
 
-Fuzzy joins run on distinct strings, after equal ones have met by an ordinary join, and against a registry whose size
-is checked: up to BROADCAST_ROWS rows it is broadcast to a nested loop, beyond that both sides are dealt into blocks
-that meet once each. Length bounds discard pairs before any string is compared; only names for which no candidate
-reaches the lower threshold meet the rest of the registry."""
+Fuzzy joins run on distinct strings, after equal ones have met by an ordinary join. Candidates come from an inverted
+index of rare letters or pairs of letters, or from blocks whose bounds order them (`nameindex`); no nested loop forms
+all pairs. Only `facing`, for callers that ask for all pairs of two small tables, does: it broadcasts a side of at most
+BROADCAST_ROWS counted rows, and beyond that deals both sides into blocks that meet once each."""
 
 from __future__ import annotations
 
@@ -41,9 +41,8 @@ def facing(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), condition)
     n = 64
-    block = lambda df, key: F.pmod(F.xxhash64(*df.columns), F.lit(n)).alias(key)
-    spread = left.select("*", block(left, "_block"))
-    copied = right.select("*", block(right, "_own")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).drop("_own")
+    spread = left.select("*", F.pmod(F.xxhash64(*left.columns), F.lit(n)).alias("_block"))
+    copied = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread.join(copied.withColumnRenamed("_block", "_other"), (F.col("_block") == F.col("_other")) & condition).drop("_block", "_other")
 
 
@@ -51,12 +50,6 @@ def names_of(raws: DataFrame) -> DataFrame:
     return raws.select("raw").where("raw is not null").distinct()
 
 
-def scored(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, condition: Column | None = None) -> DataFrame:
-    """(raw, candidate, canonical, ord, score) of the pairs that meet a condition on raw and candidate."""
-    pairs = facing(names_of(raws), registry, F.lit(True) if condition is None else condition)
-    return pairs.withColumn("score", similarity(F.col("raw"), F.col("candidate")))
-
-
 def best_match(pairs: DataFrame) -> DataFrame:
     """(raw, canonical, score, ord): the highest score, the first candidate in registry order on ties."""
     best = F.min_by(F.struct("canonical", "score", "ord"), F.struct((-F.col("score")).alias("down"), "ord"))
@@ -110,14 +103,32 @@ def guarded_merge(raws: DataFrame, registry: DataFrame, similarity: Similarity =
     return merges.where(text.name_to_uri(F.col("raw")) != text.name_to_uri(F.col("canonical"))).withColumn("score", F.round("score", 4))
 
 
+def _held(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) of distinct names (name) of which the first, not empty, stands in the second apart from case; they meet on the rarest pair of letters of the first, or on its one letter."""
+    low = F.lower("name")
+    pairs = lambda x: F.when(F.length(x) == 1, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))))
+    letters = lambda x: F.array_distinct(F.split(x, ""))
+    grams = outer.where("name <> ''").select(F.col("name").alias("outer"), F.explode(F.array_union(pairs(low), letters(low))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    own = inner.where("name <> ''").select(F.col("name").alias("inner"), F.explode(pairs(low)).alias("gram"))
+    rarest = own.join(counts, "gram").groupBy("inner").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(grams, "gram").where(F.contains(F.lower("outer"), F.lower("inner"))).select("inner", "outer")
+
+
 def organisation_match(raws: DataFrame, registry: DataFrame, similarity: Similarity = text.ratio, threshold: float = ORGANISATION) -> DataFrame:
-    """(raw, canonical, score): equal apart from case 1, containment either way 0.9, else the similarity."""
-    a, b = F.lower("raw"), F.lower("candidate")
-    inside = F.contains(a, b) | F.contains(b, a)
-    pairs = facing(names_of(raws), registry, inside | (text.ratio_bound(F.col("raw"), F.col("candidate")) >= threshold))
-    told = pairs.where(inside).withColumn("score", F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.9)))
-    other = pairs.where(~inside).withColumn("score", similarity(F.col("raw"), F.col("candidate")))
-    best = best_match(told.unionByName(other).where(F.col("score") >= threshold))
+    """(raw, canonical, score): equal apart from case 1, containment either way 0.9, else the similarity. An empty name stands in every candidate, so it has the first.
+
+    Equal names and names that hold each other meet on a rare pair of letters, like ones by the index; no other pair is formed."""
+    registry = cut(registry)
+    names = names_of(raws)
+    left, right = names.select(F.col("raw").alias("name")), registry.select(F.col("candidate").alias("name")).distinct()
+    inside = _held(left, right).toDF("raw", "candidate").union(_held(right, left).select("outer", "inner"))
+    told = inside.distinct().withColumn("score", F.when(F.lower("raw") == F.lower("candidate"), F.lit(1.0)).otherwise(F.lit(0.9)))
+    near = nameindex.alike(left, right, threshold, similarity).toDF("raw", "candidate", "score").join(told.select("raw", "candidate"), ["raw", "candidate"], "left_anti")
+    pairs = told.where(F.col("score") >= threshold).unionByName(near).join(registry, "candidate")
+    first = registry.orderBy("ord").limit(1).select("candidate", "canonical", "ord").withColumn("score", F.lit(0.9)).where(F.col("score") >= threshold)
+    empty = names.where("raw = ''").withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    best = best_match(pairs.unionByName(empty.select(pairs.columns)))
     return best.select("raw", "canonical", F.round("score", 4).alias("score"))
 
 

@@ -104,3 +104,20 @@ def test_nearest_equals_a_loop(spark, monkeypatch, measure):
 def test_empty_sides(spark):
     none, some = frame(spark, []), frame(spark, ["a"])
     assert nameindex.alike(none, some, 0.8).collect() == [] == nameindex.alike(some, none, 0.8).collect()
+
+
+def test_organisations_equal_a_loop(spark):
+    raws, known = ["", "x", "lab", "nobody at all", *names(12, 60)], names(13, 60) + ["Lab", "a"]
+    raws += [k[2:-1] for k in known[::5]] + [f"the {k.upper()} here" for k in known[::6]]
+    want = {}
+    for raw in set(raws):
+        best, score = None, 0.0
+        for k in sorted(set(known)):
+            a, b = raw.lower(), k.lower()
+            s = 1.0 if a == b else 0.9 if a in b or b in a else ratio(raw, k)
+            if s > score and s >= 0.85:
+                best, score = k, s
+        if best is not None:
+            want[raw] = (best, round(score, 4))
+    got = {r.raw: (r.canonical, r.score) for r in matching.organisation_match(frame(spark, raws, "raw"), matching.registry_long(frame(spark, known, "c"), "c")).collect()}
+    assert got == want and len(want) > 20
