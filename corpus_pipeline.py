@@ -57,17 +57,18 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(docs)
 
 
-#: Rows of an Arrow batch between a task and its Python worker. Each side holds whole batches, some of very long texts; the default of 10 000 rows takes a tenth of a small executor.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch between a task and its Python worker. Each side holds whole batches, some of very long texts; the defaults of 10 000 rows and 64 MB take a tenth of a small executor.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def _small_batches(stage: Stage) -> Stage:
-    """The stage with batches of BATCH_ROWS rows in its session, unless these are smaller already."""
+    """The stage with batches of BATCH_BYTES and of BATCH_ROWS rows, unless the session has smaller ones already."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
             spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run
