@@ -17,5 +17,5 @@ def test_equals_sql(spark, name):
     columns = sorted(want.columns)
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == columns
-    expected = sorted(want.select(*columns).fetchall())
-    assert sorted(tuple(r) for r in got.select(columns).collect()) == expected and expected
+    expected = sorted(want.select(*columns).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in got.select(columns).collect()), key=repr) == expected and expected
