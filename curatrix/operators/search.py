@@ -145,18 +145,22 @@ def abstract_search(t: DataFrame, query: str, mode: str = "title", n: int = TRIP
         return labels.where(F.lit(False)).select("s", "title", F.lit(0.0).alias("score"))
     owners = labels.join(abstracts, "s", "left_semi")
     link = MODES[mode]
-    named = owners.select("s", F.col("title").alias("name"))
     if link:
-        named = t.where(F.col("p") == link).select("s", F.col("o").alias("node")).join(labels.select(F.col("s").alias("node"), F.col("title").alias("name")), "node").join(abstracts, "s", "left_semi")
+        links = t.where(F.col("p") == link).select("s", F.col("o").alias("node"))
+        named = labels.withColumnRenamed("s", "node").join(links.select("node").distinct(), "node", "left_semi").withColumnRenamed("title", "name")
+    else:
+        named = owners.select("s", F.col("title").alias("name"))
     good = named.select("name").distinct().withColumn("score", _alike(query, F.col("name"))).where(F.col("score") >= threshold)
-    best = named.join(good, "name").groupBy("s").agg(F.max("score").alias("score"))
-    return best.join(owners, "s").select("s", "title", "score").orderBy(F.desc("score"), "s").limit(n)
+    best = named.join(good, "name")
+    if link:
+        best = links.join(best.select("node", "score"), "node")
+    return best.groupBy("s").agg(F.max("score").alias("score")).join(owners, "s").select("s", "title", "score").orderBy(F.desc("score"), "s").limit(n)
 
 
 def graph_search(t: DataFrame, query: str, kind: str, prop: str, n: int = NODES, threshold: float = RATIO) -> DataFrame:
     """(s, name, score): the best nodes of a class by the similarity of their property and label together; a text that holds the query stays at any similarity. Name is the property, else the label."""
     wanted = query.lower()
-    own = t.join(triples.nodes_of(t, kind), "s", "left_semi").groupBy("s").agg(*[F.coalesce(F.min(F.when(F.col("p") == p, F.col("o"))), F.lit("")).alias(c) for p, c in ((prop, "title"), (triples.LABEL, "label"))])
+    own = t.where(F.col("p").isin(prop, triples.LABEL)).join(triples.nodes_of(t, kind), "s", "left_semi").groupBy("s").agg(*[F.coalesce(F.min(F.when(F.col("p") == p, F.col("o"))), F.lit("")).alias(c) for p, c in ((prop, "title"), (triples.LABEL, "label"))])
     rows = own.where("title <> '' or label <> ''").withColumn("both", F.concat_ws(" ", "title", "label"))
     scored = rows.select("both").distinct().withColumn("score", text.ratio(F.lit(wanted), F.col("both"))).where((F.col("score") >= threshold) | F.contains(F.lower("both"), F.lit(wanted)))
     name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("label"))
