@@ -8,6 +8,7 @@ node goes with the last abstract that refers to it."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +36,18 @@ class Deleted:
 
 
 def references(triples: DataFrame) -> DataFrame:
-    """(s, node, kind), once however many predicates of a kind an abstract uses."""
-    known = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
-    found = triples.where(F.col("p").isin(*REFERENCES) & (F.col("o_kind") != "literal"))
-    return found.select("s", F.col("o").alias("node"), F.element_at(known, F.col("p")).alias("kind")).distinct()
+    """(s, node, kind), once however many predicates of a kind an abstract uses.
+
+    Triples don't repeat, so those of the first predicate of a kind are distinct as they are; what others say besides is added."""
+    parts = []
+    for kind in dict.fromkeys(REFERENCES.values()):
+        predicates = [p for p, k in REFERENCES.items() if k == kind]
+        first = (F.col("p") == predicates[0]) & (F.col("o_kind") == "uri")
+        own = triples.where(F.col("p").isin(predicates) & (F.col("o_kind") != "literal"))
+        main = own.where(first).select("s", F.col("o").alias("node"))
+        more = own.where(~first).select("s", F.col("o").alias("node")).distinct().join(main, ["s", "node"], "left_anti")
+        parts.append(main.union(more).select("s", "node", F.lit(kind).alias("kind")))
+    return reduce(DataFrame.union, parts)
 
 
 def counted(refs: DataFrame) -> DataFrame:
@@ -62,9 +71,9 @@ def _labels(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(best, "s", "left").withColumn("title", F.coalesce("best.o", F.regexp_extract("s", "([^/#:]*)$", 1))).drop("best")
 
 
-def preview(triples: DataFrame, counts: DataFrame, doomed: DataFrame) -> DataFrame:
-    """(node, kind, label) that would go with the doomed abstracts (s): all their references come from these."""
-    touched = counted(references(triples.join(doomed.select("s"), "s", "left_semi")))
+def preview(triples: DataFrame, counts: DataFrame, doomed: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """(node, kind, label) that would go with the doomed abstracts (s): all their references come from these. lost: their references, if they are known."""
+    touched = counted(lost if lost is not None else references(triples).join(doomed.select("s"), "s", "left_semi"))
     gone = touched.join(counts.withColumnRenamed("n", "all"), ["node", "kind"]).where(F.col("n") >= F.col("all"))
     return _labels(triples, gone.select(F.col("node").alias("s"), "kind")).select(F.col("s").alias("node"), "kind", F.col("title").alias("label"))
 
@@ -75,12 +84,10 @@ def delete_abstracts(triples: DataFrame, counts: DataFrame, records: DataFrame,
     Every abstract takes the first record of its title that no earlier one has taken; abstracts go in order of their
     addresses. A record whose file is not listed, and an abstract without a record, give a warning."""
     doomed = cut(doomed.select("s").distinct())
-    lost = cut(references(triples.join(doomed, "s", "left_semi")))
-    orphans = cut(preview(triples, counts, doomed))
+    lost = cut(references(triples).join(doomed, "s", "left_semi"))
+    orphans = cut(preview(triples, counts, doomed, lost))
     gone = cut(doomed.select(F.col("s").alias("node")).union(orphans.select("node")).distinct())
-    objects = gone.select(F.col("node").alias("o"), F.lit(True).alias("_gone"))
-    left = triples.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(objects, "o", "left")
-    left = left.where("_gone is null or o_kind = 'literal'").select(T.COLUMNS)
+    left = T.without(triples, gone)
 
     nth = lambda order: F.row_number().over(Window.partitionBy("title").orderBy(order)).alias("nth")
     asked = _labels(triples, doomed).select("s", "title", nth("s"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.operators import curation, deletion, matching, search, triples
-from curatrix.plans.catalogue import EDGES_SQL, RATIO_SQL, edges, query, table
-from curatrix.session import cut
+from curatrix.plans.catalogue import EDGES_SQL, RATIO_SQL, _edges, authored, query, table
+from curatrix.session import cut, spread
 
 _TITLE = "o_orderpriority || ' ' || (o_custkey % 50)"
 _DATASET_SQL = f"""{EDGES_SQL}, ab AS (SELECT 'a:' || o_orderkey AS a, o_orderkey AS k, {_TITLE} AS title FROM orders),
@@ -22,14 +22,16 @@ _DATASET_SQL = f"""{EDGES_SQL}, ab AS (SELECT 'a:' || o_orderkey AS a, o_orderke
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples in which abstracts name persons and organisations, and all nodes have labels."""
-    abs_au, au_aff = edges(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("a:"), "o_orderkey").alias("a"), F.expr(_TITLE).alias("title"), F.lit(None).cast("string").alias("contact"))
-    base = triples.instance_triples(orders, abs_au, au_aff)
-    s, name = F.col("s"), F.col("name")
-    places = abs_au.join(au_aff, "u").select(F.col("a").alias("s"), "f").distinct()
-    named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u:"), "s_suppkey").alias("s"), F.col("s_name").alias("name"))
-    named = named.union(table(spark, sf_dir, "nation").select(F.concat(F.lit("f:"), "n_nationkey"), "n_name"))
-    return cut(base.union(triples.exploded(places, triples.triple(s, triples.SOURCE, F.col("f")))).union(triples.exploded(named, triples.triple(s, triples.LABEL, name, "literal"))))
+    au = authored(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("a:"), "o_orderkey").alias("a"), F.expr(_TITLE).alias("title"))
+    base = triples.instance_triples(orders, *_edges(spark, sf_dir, au))
+    supplier = table(spark, sf_dir, "supplier")
+    met = au.join(supplier.select(F.col("s_suppkey").alias("u"), F.col("s_nationkey").alias("f")), "u").select("k", "f")
+    places = cut(spread(met, au.count(), "k").distinct()).select(F.concat(F.lit("a:"), "k").alias("a"), F.concat(F.lit("f:"), "f").alias("f"))
+    people = supplier.select(F.concat(F.lit("u:"), "s_suppkey").alias("s"), F.col("s_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("f:"), "n_nationkey").alias("s"), F.col("n_name").alias("name"))
+    named = [triples.told(x, "s", triples.LABEL, "name", "literal") for x in (people, nations)]
+    return base.union(triples.told(places, "a", triples.SOURCE, "f")).union(named[0]).union(named[1])
 
 
 def doomed(t: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def reference_counts(spark, sf_dir):
 @query(f"WITH {_DATASET_SQL} SELECT node, kind, name AS label FROM orphan JOIN (SELECT * FROM people UNION ALL SELECT * FROM places) ON s = node")
 def deletion_preview(spark, sf_dir):
     t = dataset(spark, sf_dir)
-    return deletion.preview(t, deletion.counted(deletion.references(t)), doomed(t))
+    return deletion.preview(t, deletion.counted(deletion.references(t)), cut(doomed(t)))
 
 
 @query(f"WITH {_DATASET_SQL} SELECT node, kind, count(DISTINCT s)::BIGINT AS n FROM ref WHERE s NOT IN (SELECT s FROM doomed) GROUP BY 1, 2")
@@ -163,10 +165,14 @@ def duplicates_by_title(spark, sf_dir):
     SELECT 'u:' || s_suppkey AS id, s_name AS label, n_name AS affiliations, count(k)::BIGINT AS n_abstracts, string_agg('a:' || k, ' ' ORDER BY k) AS abstracts, coauthors FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN au ON au.u = s_suppkey LEFT JOIN top ON top.u = s_suppkey GROUP BY ALL""")
 def author_panels(spark, sf_dir):
     """What a panel lists of an author: affiliations, abstracts in order, the five nearest co-authors."""
-    au = cut(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_orderkey").alias("k")).distinct())
+    au = authored(spark, sf_dir).select("u", "k")
     people = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    pairs = au.join(au.withColumnRenamed("u", "v"), "k").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
-    met = pairs.join(people.select(F.col("s_suppkey").alias("v"), "s_name"), "v")
+    known = au.withColumnRenamed("u", "v").join(people.select(F.col("s_suppkey").alias("v")), "v", "left_semi")
+    pairs = spread(au.join(known, "k").where("u <> v"), 4 * au.count(), "u").groupBy("u", "v").agg(F.count("*").alias("n"))
+    # Names decide between equal counts only, so they are looked up for the five largest counts of an author and what equals the least of these.
+    down = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("down"), "v"))).alias("met")
+    most = pairs.groupBy("u").agg(down).select("u", F.explode(F.expr("filter(met, x -> x.down <= element_at(met, least(5, size(met))).down)")).alias("x"))
+    met = most.select("u", "x.v", (-F.col("x.down")).alias("n")).join(people.select(F.col("s_suppkey").alias("v"), "s_name"), "v")
     five = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("down"), "s_name"))), 1, 5)
     near = met.groupBy("u").agg(F.array_join(F.transform(five, lambda x: F.concat(x["s_name"], F.lit(" ("), (-x["down"]).cast("string"), F.lit(")"))), ", ").alias("coauthors"))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda k: F.concat(F.lit("a:"), k.cast("string"))), " ")
