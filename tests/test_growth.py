@@ -80,3 +80,12 @@ def test_search_groups_only_the_texts_it_compares(spark):
     found = search.graph_search(t, "steel", triples.ABSTRACT, "dct:title")
     assert "IN (dct:title,rdfs:label)" in plan(found) and [r.s for r in found.collect()] == ["a:1"]
     assert [tuple(r) for r in search.abstract_search(t, "ann", "author").collect()] == [("a:1", "Steel", 1.0)]
+
+
+def test_flat_splits_cells_once(spark):
+    rows = [("a:1", "foaf:agent", "A, B, A"), ("a:2", "foaf:agent", "A"), ("a:1", "schema:Organization", "U, Street 7, P; V"), ("a:2", "schema:Organization", "V"), ("a:2", "x", None)]
+    known = spark.createDataFrame([("U, Street 7, P", "Uni", "Uni, Street 7, P")], "raw string, name string, address string")
+    out = profiles.flat(spark.createDataFrame(rows, "a string, column string, value string"), known)
+    assert plan(out).count("foaf:agent") == 0
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) == 1 + 2 + 2 + 3 + 4 + 3 + 4 + 3 + 1
