@@ -1,10 +1,14 @@
 import datetime as dt
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import documents
+from curatrix.functions.text import WHITE, strip
 from curatrix.operators import profiles, search
 from curatrix.sources import plugins, stores, turtle
 from curatrix.streaming import ingest
@@ -130,6 +134,39 @@ def test_documents(spark):
     assert spark.range(1).select(documents.first_pages(F.array(F.lit("a"), F.lit("b"), F.lit("c")))).first()[0] == "--- Page 1 ---\na\n--- Page 2 ---\nb"
 
 
+def test_author_block_of_odd_lines(spark):
+    def plain(text):
+        lines = [x.strip(WHITE) for x in text.split("\n")]
+        title = next((i for i, x in enumerate(lines) if len(x) > 10 and len(re.split(r"[\t-\r ]+", x)) > 3), None)
+        below = [] if title is None else lines[title + 1 : title + 6]
+        # Texts of this test that count have a comma.
+        return [x for x in below if "," in x]
+
+    pick = random.Random(5)
+    parts = [*WHITE, "\n", "\n", " ", " ", "a", "bc", ",", "def", "é", "\x1c", "\u200b", "𝒳", "longer"]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(60))) for _ in range(3000)]
+    texts += ["a b c\u2003\n" + w + "one two three four" + w + "\n x, \n\n\n\n y,\n z," for w in WHITE]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", documents.author_block(F.col("t")).alias("b")).collect()
+    assert {r.i: r.b for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+    assert sum(bool(plain(t)) for t in texts) > 100
+
+
+def test_author_block_and_strip_of_long_runs_of_white_space(spark):
+    """Work with the square of a run's length took minutes here."""
+    run = " " * 300_000
+    text = f"a{run}b\nA title of some words{run}\n  x,{run}y{run}\n" + f"later{run}lines\n" * 5
+    start = time.monotonic()
+    row = spark.createDataFrame([(text,)], "t string").select(documents.author_block(F.col("t")).alias("b"), strip(F.col("t")).alias("s")).first()
+    assert row.b == [f"x,{run}y"] and row.s == text.strip()
+    assert time.monotonic() - start < 30
+
+
+def test_strip_takes_unicode_white_space_alone(spark):
+    points = spark.createDataFrame([(i, chr(i)) for i in (*range(1, 0x3100), 0xFEFF, 0x1D4B3)], "id int, c string")
+    taken = points.where(strip(F.concat("c", F.lit("x"), "c")) == "x").select("id").collect()
+    assert {r.id for r in taken} == set(map(ord, WHITE)) == {r.id for r in points.where(F.regexp_like("c", F.lit(r"(?U)^\s$")) | (F.col("c") == "\n")).collect()}
+
+
 def _edits(p, t):
     before = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
